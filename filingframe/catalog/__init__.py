@@ -1 +1,6 @@
+"""Named queries with the SQL they are checked against."""
 
+from . import statements  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

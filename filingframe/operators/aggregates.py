@@ -39,12 +39,14 @@ def pivot_accounts(
     order: str = "ord",
     statement: str = "sj_div",
     scale: Column | None = None,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Statement lines -> one wide record per key.
 
     ``first``: per field the patterns in order, equal before contained, first row by order; the
     statements are tried one after another. ``last``: every row goes to one field and a later
-    present amount overwrites. ``scale`` divides (floor) the picked amounts.
+    present amount overwrites. ``scale`` (an aggregate) divides the picked amounts by its floor;
+    ``extra`` aggregates come along in the same pass.
     """
     value = parse_amount(amount) if dict(lines.dtypes)[amount] == "string" else F.col(amount)
     aggs = []
@@ -63,17 +65,31 @@ def pivot_accounts(
             aggs.append(F.max_by(F.when(hit, F.col("_value")), F.when(hit, F.col(order))).alias(field))
     else:
         raise ValueError(f"unknown rule {rule!r}")
+    aggs += extra
     if scale is not None:
-        aggs.append(F.max(scale).alias("_scale"))
+        aggs.append(scale.alias("_scale"))
     wide = lines.groupBy(*keys).agg(*aggs)
     if scale is None:
         return wide
     return wide.select(
         *keys,
         *(F.when(F.col("_scale") > 1, floor_div(F.col(f), F.col("_scale"))).otherwise(F.col(f)).alias(f) for f in rules),
+        *(c for c in wide.columns if c not in {*keys, *rules, "_scale"}),
     )
 
 
+def sum_of_label(labels: Sequence[str], amount: Column, account: Column | str, exclusions: Rules = lx.LABEL_EXCLUSIONS, where: Column | None = None) -> Column:
+    """Aggregate: sum of all rows under a label; contained labels count only without an equal one."""
+    parts = []
+    for label in labels:
+        rank = label_rank(account, [label], exclusions)
+        if where is not None:
+            rank = F.when(where, rank)
+        exact, part = F.sum(F.when(rank == 0, amount)), F.sum(F.when(rank == 1, amount))
+        parts.append(F.when(F.count_if(rank == 0) > 0, exact).otherwise(part))
+    return sum_skip_null(*parts)
+
+
 def sum_matching(
     lines: DataFrame,
     *,
@@ -84,25 +100,18 @@ def sum_matching(
     amount: str = "amount",
     out: str = "total",
 ) -> DataFrame:
-    """Sum of all rows under a label; contained labels count only where no equal one exists."""
+    """All rows under a label, added up per key."""
     value = parse_amount(amount) if dict(lines.dtypes)[amount] == "string" else F.col(amount)
-    parts = []
-    for label in labels:
-        rank = label_rank(account, [label], exclusions)
-        exact, part = F.sum(F.when(rank == 0, value)), F.sum(F.when(rank == 1, value))
-        parts.append(F.when(F.count_if(rank == 0) > 0, exact).otherwise(part))
-    return lines.groupBy(*keys).agg(sum_skip_null(*parts).alias(out))
+    return lines.groupBy(*keys).agg(sum_of_label(labels, value, account, exclusions).alias(out))
 
 
 def inflation_scale(amount: Column, statement: Column) -> Column:
     """Aggregate: 1,000,000 when at least two income amounts exceed 100,000 in magnitude and all
-    of those divide by 1,000,000, else 1. Works as an aggregate and over a window."""
+    of those divide by 1,000,000, else 1."""
     big = statement.isin("IS", "CIS") & (F.abs(amount) > 100_000)
     whole = F.pmod(amount, F.lit(1_000_000).cast("bigint")) == 0
-    # max(0/1) instead of bool_and keeps it usable over any window
-    broken = F.max(F.when(big, F.when(whole, 0).otherwise(1)))
-    n = F.sum(F.when(big, 1).otherwise(0))
-    return n, broken
+    inflated = (F.count_if(big) >= 2) & F.bool_and(F.when(big, whole))
+    return F.when(inflated, F.lit(1_000_000)).otherwise(F.lit(1)).cast("bigint")
 
 
 def detect_unit_inflation(
@@ -110,23 +119,7 @@ def detect_unit_inflation(
 ) -> DataFrame:
     """One row per filing with the scale its income amounts are inflated by."""
     value = parse_amount(amount) if dict(lines.dtypes)[amount] == "string" else F.col(amount)
-    n, broken = inflation_scale(value, F.col(statement))
-    return lines.groupBy(*keys).agg(
-        F.when((n >= 2) & (broken == 0), F.lit(1_000_000)).otherwise(F.lit(1)).cast("bigint").alias(out)
-    )
-
-
-def with_unit_scale(
-    lines: DataFrame, *, keys: Sequence[str], amount: str = "amount", statement: str = "sj_div", out: str = "scale"
-) -> DataFrame:
-    """The same scale on every line of its filing (a filing is a bounded window)."""
-    value = parse_amount(amount) if dict(lines.dtypes)[amount] == "string" else F.col(amount)
-    w = Window.partitionBy(*keys)
-    n, broken = inflation_scale(value, F.col(statement))
-    return lines.withColumn(
-        out,
-        F.when((n.over(w) >= 2) & (broken.over(w) == 0), F.lit(1_000_000)).otherwise(F.lit(1)).cast("bigint"),
-    )
+    return lines.groupBy(*keys).agg(inflation_scale(value, F.col(statement)).alias(out))
 
 
 def interest_bearing_debt() -> Column:

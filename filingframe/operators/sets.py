@@ -35,23 +35,23 @@ def ordered_union(a: Column, b: Column, n: int | None = None) -> Column:
     return F.slice(out, 1, n) if n else out
 
 
-def merge_sections(existing: DataFrame, new: DataFrame, *, keys: Sequence[str], header: str = "header", order: str = "ord", body: str = "body", data_headers: Sequence[str] = ()) -> DataFrame:
+def merge_sections(existing: DataFrame, new: DataFrame, *, keys: Sequence[str], header: str = "header", order: str = "ord", body: str = "body", analysis_headers: Sequence[str] = ()) -> DataFrame:
     """Sections of an updated report.
 
-    Data sections are replaced, other sections keep their existing text when there is some, new
-    sections are added, and sections only the old report has stay at its end.
+    Analysis sections keep their existing text when there is some, all other sections of the
+    new report replace it, and sections only the old report has stay at its end.
     """
     old = existing.select(*keys, header, F.col(order).alias("_oo"), F.col(body).alias("_ob"))
     add = new.select(*keys, header, F.col(order).alias("_no"), F.col(body).alias("_nb"))
     j = old.join(add, [*keys, header], "full_outer")
-    is_data = F.col(header).isin(*data_headers) if data_headers else F.lit(False)
-    had = F.coalesce(F.trim("_ob"), F.lit("")) != ""
-    text = F.when(F.col("_no").isNull(), F.col("_ob")).when(is_data | ~had, F.col("_nb")).otherwise(F.col("_ob"))
+    analysis = F.col(header).isin(*analysis_headers) if analysis_headers else F.lit(False)
+    keep = analysis & (F.coalesce(F.trim("_ob"), F.lit("")) != "")
+    text = F.when(F.col("_no").isNull() | keep, F.col("_ob")).otherwise(F.col("_nb"))
     action = (
         F.when(F.col("_no").isNull(), F.lit("kept_at_end"))
         .when(F.col("_oo").isNull(), F.lit("added"))
-        .when(is_data | ~had, F.lit("replaced"))
-        .otherwise(F.lit("kept"))
+        .when(keep, F.lit("kept"))
+        .otherwise(F.lit("replaced"))
     )
     return j.select(
         *keys,

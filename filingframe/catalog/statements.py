@@ -13,6 +13,7 @@ from ..operators import joins as J
 from ..operators import ordering as O
 from ..operators import predicates as P
 from ..operators import windows as W
+from ..operators import years as Y
 from ..operators.labels import match_accounts
 from ..plans import statements as S
 from . import proxies as X
@@ -286,10 +287,10 @@ def e12(spark, sf):
     return S.backlog_series(_segments(spark, sf))
 
 
-_PARTS = """parts AS (
-  SELECT issuer, period, segment AS label,
-    CAST(round_even(CAST(sum(amount) AS DOUBLE) * [1,10,100,1000,37][issuer%5+1] / 100.0, 0) AS BIGINT) amount FROM seg GROUP BY ALL
-  UNION ALL SELECT issuer, period, '합계', CAST(round_even(CAST(sum(amount) AS DOUBLE)/100.0,0) AS BIGINT) FROM seg GROUP BY ALL)"""
+_PARTS = """comp AS (SELECT issuer, period, segment AS label, CAST(sum(amount) AS DOUBLE) a FROM seg GROUP BY ALL),
+parts AS (
+  SELECT issuer, period, label, CAST(round_even(a * [1,10,100,1000,37][issuer%5+1] / 100.0, 0) AS BIGINT) amount FROM comp
+  UNION ALL SELECT issuer, period, '합계', CAST(round_even(sum(a)/100.0,0) AS BIGINT) FROM comp GROUP BY ALL)"""
 
 
 def _parts(spark, sf):
@@ -352,7 +353,7 @@ stand AS (SELECT c.issuer,c.fy,c.fq,{_STAND} FROM cum c
 
 @query("w2_standalone_from_cumulative", CUM + "," + STAND_SQL + " SELECT * FROM stand")
 def w2(spark, sf):
-    return W.standalone_from_cumulative(X.cum(spark, sf), measures=MS)
+    return Y.standalone_from_cumulative(X.cum(spark, sf), measures=MS)
 
 
 def _estimates(spark, sf):
@@ -443,7 +444,7 @@ def q4_sql(src: str, out: str) -> str:
 def w7(spark, sf):
     blank = [F.when(F.col("fq") != 4, F.col(m)).alias(m) for m in MS]
     src = X.stmt(spark, sf).select("issuer", "fy", "fq", *blank)
-    return W.q4_backfill(src, X.annual(spark, sf), measures=MS)
+    return Y.q4_backfill(src, X.annual(spark, sf), measures=MS)
 
 
 def fill_sql(src: str, ytd: str, out: str) -> str:
@@ -462,7 +463,7 @@ def fill_sql(src: str, ytd: str, out: str) -> str:
 
 @query("w8_fill_from_cumulative", STMT + "," + X.CUM_SQL + "," + fill_sql("stmt", "cum", "filled") + " SELECT * FROM filled")
 def w8(spark, sf):
-    return W.fill_from_cumulative(X.stmt(spark, sf), X.cum(spark, sf), measures=MS)
+    return Y.fill_from_cumulative(X.stmt(spark, sf), X.cum(spark, sf), measures=MS)
 
 
 # -- joins ---------------------------------------------------------------------------------------
@@ -688,7 +689,7 @@ SELECT issuer, fy||'.Q'||fq AS period, {_QTR} FROM y"""
 def e7q(spark, sf):
     """Statement lines -> income records -> standalone quarters -> labels -> display rows."""
     income = S.income_records(_good_lines(spark, sf), keys=FILING)
-    quarters = W.standalone_from_cumulative(income, measures=MS)
+    quarters = Y.standalone_from_cumulative(income, measures=MS)
     labelled = W.yoy_positional(quarters, measures=MS)
     return S.quarterly_rows(labelled.withColumn("currency", F.lit("KRW")), measures=MS)
 
@@ -793,7 +794,7 @@ def perf_sql(src: str, out: str) -> str:
 @query("e9_integrate_performance", STMT + "," + _PERF_SQL + "," + perf_sql("stmt", "merged") + " SELECT * FROM merged")
 def e9(spark, sf):
     perf = S.performance_statements(_performance(spark, sf), measures=MS)
-    return S.integrate_performance(X.stmt(spark, sf), perf, measures=MS)
+    return Y.integrate_performance(X.stmt(spark, sf), perf, measures=MS)
 
 
 def _preliminary(spark, sf):
@@ -818,7 +819,7 @@ _PREPICK = _each("CASE WHEN coalesce(s.revenue,s.operating_income,s.net_income)
 )
 def e10(spark, sf):
     pre = S.preliminary_statements(_preliminary(spark, sf), measures=MS)
-    return S.integrate_preliminary(X.stmt(spark, sf), pre, measures=MS)
+    return Y.integrate_preliminary(X.stmt(spark, sf), pre, measures=MS)
 
 
 _E11 = (

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
+from ..session import cut_lineage
 
 
 def enrich_missing(base: DataFrame, extra: DataFrame, keys: Sequence[str], cols: Sequence[str], *, zero_is_missing: bool = True) -> DataFrame:
@@ -176,8 +177,6 @@ def containment_dedup(news: DataFrame, *, block: Sequence[str], order: str, titl
     earliest stays when it has at least ``min_chars``; shorter ones never match anything), then
     containment pairs are resolved greedily.
     """
-    from ..session import ensure_checkpoint_dir
-
     block = list(block)
     bare = F.regexp_replace(F.coalesce(F.col(title), F.lit("")), r"\[.*?\]|【.*?】", "")
     marked = news.withColumn("_norm", squeeze(bare)).where(F.col("_norm") != "")
@@ -185,10 +184,9 @@ def containment_dedup(news: DataFrame, *, block: Sequence[str], order: str, titl
     first = (
         marked.where(long_enough).groupBy(*block, "_norm").agg(F.min(order).alias(order))
     )
-    ensure_checkpoint_dir(news.sparkSession)
-    first = first.checkpoint()
-    pairs = containment_pairs(first, block=block, order=order, norm="_norm", min_chars=min_chars).checkpoint()
-    gone = resolve_greedy(pairs, block=block, checkpoint=lambda d: d.checkpoint())
+    first = cut_lineage(first)
+    pairs = cut_lineage(containment_pairs(first, block=block, order=order, norm="_norm", min_chars=min_chars))
+    gone = resolve_greedy(pairs, block=block, checkpoint=cut_lineage)
     kept = first.join(gone.withColumnRenamed("late", order), [*block, order], "left_anti")
     keep_keys = kept.select(*block, order).unionByName(
         marked.where(~long_enough).select(*block, order)

@@ -23,35 +23,6 @@ def yoy_positional(periods: DataFrame, *, issuer: str = "issuer", fy: str = "fy"
     )
 
 
-def standalone_from_cumulative(ytd: DataFrame, *, issuer: str = "issuer", fy: str = "fy", fq: str = "fq", measures: Sequence[str]) -> DataFrame:
-    """Standalone quarters from year-to-date figures (4 = full year).
-
-    A wholly empty or absent earlier span lets the later figure stand as is; a single missing
-    earlier field makes only that field NULL.
-    """
-    one = ytd.select(F.col(issuer), F.col(fy), F.col(fq), F.struct(*measures).alias("_m"))
-    by_q = one.groupBy(issuer, fy).agg(
-        *(F.max(F.when(F.col(fq) == q, F.col("_m"))).alias(f"_q{q}") for q in (1, 2, 3, 4)),
-        *(F.max(F.col(fq) == q).alias(f"_has{q}") for q in (1, 2, 3, 4)),
-    )
-    rows = []
-    for q in (1, 2, 3, 4):
-        fields = []
-        for m in measures:
-            later = F.col(f"_q{q}")[m]
-            if q == 1:
-                value = later
-            else:
-                earlier = F.col(f"_q{q - 1}")
-                no_data = F.coalesce(*(earlier[x] for x in measures)).isNull()
-                value = F.when(no_data, later).otherwise(later - earlier[m])
-            fields.append(value.alias(m))
-        rows.append(F.when(F.col(f"_has{q}"), F.struct(F.lit(q).cast("bigint").alias(fq), *fields)))
-    return by_q.select(issuer, fy, F.explode(F.array_compact(F.array(*rows))).alias("_r")).select(
-        issuer, fy, "_r.*"
-    )
-
-
 def moving_average(bars: DataFrame, *, issuer: str = "issuer", day: str = "trade_date", close: str = "close", spans: Sequence[int] = (20, 60), last_n: int | None = None) -> DataFrame:
     """Simple moving averages over the whole series, NULL until a window is full; then the last
     ``last_n`` days. A partition is one issuer's trading days."""
@@ -119,72 +90,6 @@ def with_comparison_sheet(picked: DataFrame, sheets: DataFrame, *, issuer: str =
     return picked.join(prior, [issuer, "prev_fy"], "left")
 
 
-def q4_backfill(quarters: DataFrame, annual: DataFrame, *, issuer: str = "issuer", fy: str = "fy", fq: str = "fq", measures: Sequence[str]) -> DataFrame:
-    """Empty fourth quarters = annual - Q1 - Q2 - Q3.
-
-    Needs all four records non-empty, a positive annual revenue and Q1..Q3 revenue within it;
-    a field is filled only when all four of its values are present.
-    """
-    revenue = measures[0]
-    q = F.col(fq)
-    first3 = q.isin(1, 2, 3)
-    full = F.coalesce(*(F.col(m) for m in measures)).isNotNull()
-    sums = quarters.groupBy(issuer, fy).agg(
-        F.count_if(first3 & full).alias("_n"),
-        *(
-            F.when(F.count(F.when(first3, F.col(m))) == 3, F.sum(F.when(first3, F.col(m)))).alias(f"_s_{m}")
-            for m in measures
-        ),
-        F.coalesce(F.sum(F.when(first3, F.col(revenue))), F.lit(0)).alias("_rev3"),
-    )
-    year = annual.select(issuer, fy, *(F.col(m).alias(f"_a_{m}") for m in measures))
-    base = quarters.join(sums, [issuer, fy], "left").join(year, [issuer, fy], "left")
-    usable = (
-        (q == 4)
-        & ~full
-        & (F.col("_n") == 3)
-        & (F.col(f"_a_{revenue}") > 0)
-        & (F.col("_rev3") <= F.col(f"_a_{revenue}"))
-    )
-    filled = [
-        F.when(F.coalesce(usable, F.lit(False)), F.col(f"_a_{m}") - F.col(f"_s_{m}")).otherwise(F.col(m)).alias(m)
-        for m in measures
-    ]
-    return base.select(*(c for c in quarters.columns if c not in measures), *filled).select(*quarters.columns)
-
-
-def fill_from_cumulative(quarters: DataFrame, ytd: DataFrame, *, issuer: str = "issuer", fy: str = "fy", fq: str = "fq", measures: Sequence[str]) -> DataFrame:
-    """Fill absent fields of Q1..Q3: Q1 from the report, Q2 = H1 - Q1, Q3 = 9M - H1.
-
-    Q1 of the subtraction is the quarter's own record after filling; a Q3 needs a non-empty H1.
-    """
-    q = F.col(fq)
-    pick = lambda n: F.max(F.when(q == n, F.struct(*measures)))
-    own = quarters.where(q == 1).select(issuer, fy, *(F.col(m).alias(f"_own_{m}") for m in measures), F.lit(True).alias("_own"))
-    y = ytd.where(q.isin(1, 2, 3)).groupBy(issuer, fy).agg(*(pick(n).alias(f"_y{n}") for n in (1, 2, 3)))
-    base = quarters.join(y, [issuer, fy], "left").join(own, [issuer, fy], "left")
-
-    def y_of(n: int, m: str) -> Column:
-        return F.col(f"_y{n}")[m]
-
-    def q1(m: str) -> Column:
-        filled = F.coalesce(F.col(f"_own_{m}"), y_of(1, m))
-        return F.when(F.col("_own"), filled)
-
-    q1_empty = F.coalesce(*(q1(m) for m in measures)).isNull()
-    h1_empty = F.coalesce(*(y_of(2, m) for m in measures)).isNull()
-
-    def fill(m: str) -> Column:
-        second = F.when(q1_empty, y_of(2, m)).otherwise(y_of(2, m) - q1(m))
-        third = F.when(~h1_empty, y_of(3, m) - y_of(2, m))
-        value = F.when(q == 1, y_of(1, m)).when(q == 2, second).when(q == 3, third)
-        return F.coalesce(F.col(m), value).alias(m)
-
-    return base.select(*(c for c in quarters.columns if c not in measures), *(fill(m) for m in measures)).select(
-        *quarters.columns
-    )
-
-
 def running_sum(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: str, slot: Column, out: str = "before") -> DataFrame:
     """Sum of ``value`` over the earlier rows of a key, in two levels.
 

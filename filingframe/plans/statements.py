@@ -16,6 +16,7 @@ from ..operators import joins as J
 from ..operators import ordering as O
 from ..operators import predicates as P
 from ..operators import windows as W
+from ..operators import years as Y
 
 MEASURES = ("revenue", "operating_income", "net_income")
 FILING = ("issuer", "fy", "report_code")
@@ -196,48 +197,6 @@ def performance_statements(notices: DataFrame, *, measures: Sequence[str] = MEAS
     return first.select("issuer", "fy", "fq", "cumulative", "_m.*")
 
 
-def integrate_performance(quarters: DataFrame, perf: DataFrame, *, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Quarters with the notices merged in; existing non-empty records stay.
-
-    Plain quarters first; then half years minus Q1, then nine months minus Q1 and Q2.
-    """
-    keys = ["issuer", "fy", "fq"]
-    cols = [*keys, *measures]
-    nonempty = ~P.is_empty_statement(measures)
-
-    def put(base: DataFrame, new: DataFrame) -> DataFrame:
-        return J.upsert(base, new.select(*cols), keys, policy="skip_nonempty", measures=measures)
-
-    step = put(quarters.select(*cols), perf.where(~F.col("cumulative") & (F.col("fq") > 0)))
-
-    def known(n: int) -> DataFrame:
-        return step.where((F.col("fq") == n) & nonempty).select(
-            "issuer", "fy", *(F.col(m).alias(f"_q{n}_{m}") for m in measures)
-        )
-
-    half = perf.where(F.col("cumulative") & (F.col("fq") == 2)).join(known(1), ["issuer", "fy"])
-    second = half.select(*keys, *((F.col(m) - F.col(f"_q1_{m}")).alias(m) for m in measures)).where(nonempty)
-    step = put(step, second)
-    nine = (
-        perf.where(F.col("cumulative") & (F.col("fq") == 3))
-        .join(known(1), ["issuer", "fy"])
-        .join(known(2), ["issuer", "fy"])
-    )
-    both = {m: F.col(f"_q1_{m}") + F.col(f"_q2_{m}") for m in measures}
-    none = F.coalesce(*both.values()).isNull()
-    third = nine.select(
-        *keys, *(F.when(none, F.col(m)).otherwise(F.col(m) - both[m]).alias(m) for m in measures)
-    ).where(nonempty)
-    return put(step, third)
-
-
-def integrate_performance_annual(annual: DataFrame, perf: DataFrame, *, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Annual records with full-year notices merged in."""
-    cols = ["issuer", "fy", *measures]
-    new = perf.where(F.col("fq") == 0).select(*cols)
-    return J.upsert(annual.select(*cols), new, ["issuer", "fy"], policy="skip_nonempty", measures=measures)
-
-
 def preliminary_statements(results: DataFrame, *, measures: Sequence[str] = MEASURES, label: str = "label") -> DataFrame:
     """Preliminary results in won, keyed by the quarter of their label (first non-empty wins)."""
     p = D.parse_period(label)
@@ -270,14 +229,6 @@ def full_year_results(results: DataFrame, *, start: str = "cum_start", end: str
     return first.select("issuer", "fy", "_m.*")
 
 
-def integrate_preliminary(quarters: DataFrame, preliminary: DataFrame, *, measures: Sequence[str] = MEASURES) -> DataFrame:
-    cols = ["issuer", "fy", "fq", *measures]
-    return J.upsert(
-        quarters.select(*cols), preliminary.select(*cols), ["issuer", "fy", "fq"],
-        policy="skip_nonempty", measures=measures,
-    )
-
-
 def reconcile_statements(
     quarters: DataFrame, annual: DataFrame, report_ytd: DataFrame, performance: DataFrame, preliminary: DataFrame,
     *, report_quarters: DataFrame | None = None, measures: Sequence[str] = MEASURES, n_quarters: int = 8, n_years: int = 2,
@@ -285,18 +236,28 @@ def reconcile_statements(
     """The quarterly table of a report.
 
     Notices, preliminary results, report gap fill, year-to-date differences, Q4 from the year,
-    labels, empty rows out, newest n quarters, latest calendar years. Period is the sort key
-    throughout, never list position.
+    labels, empty rows out, newest n quarters, latest calendar years. Everything up to the
+    labels happens inside one row per (issuer, fy), after a single shuffle of the united
+    sources. Period is the sort key throughout, never list position.
     """
-    year = integrate_performance_annual(annual, performance, measures=measures)
-    q = integrate_performance(quarters, performance, measures=measures)
-    q = integrate_preliminary(q, preliminary, measures=measures)
+    sources = {
+        **Y.quarter_source("q", quarters),
+        **Y.annual_source("a", annual),
+        **Y.quarter_source("y", report_ytd, (1, 2, 3)),
+        **Y.performance_source(performance),
+        **Y.quarter_source("r", preliminary),
+    }
+    if report_quarters is not None:
+        sources |= Y.quarter_source("g", report_quarters, (1, 2, 3))
+    wide = Y.year_slots(sources, measures)
+    wide = Y.put(wide, "a0", "pa0", measures)
+    wide = Y.merge_performance(wide, measures)
+    wide = Y.put_quarters(wide, "q", "r", measures)
     if report_quarters is not None:
-        gaps = report_quarters.where(F.col("fq").isin(1, 2, 3))
-        q = J.upsert(q, gaps, ["issuer", "fy", "fq"], policy="skip_nonempty", measures=measures)
-    q = W.fill_from_cumulative(q, report_ytd, measures=measures)
-    q = W.q4_backfill(q, year, measures=measures)
-    q = W.yoy_positional(q, measures=measures)
+        wide = Y.put_quarters(wide, "q", "g", measures, (1, 2, 3))
+    wide = Y.fill_from_ytd(wide, measures)
+    wide = Y.fill_q4(wide, measures)
+    q = W.yoy_positional(Y.quarter_rows(wide, measures), measures=measures)
     q = q.where(~P.is_empty_statement(measures))
     q = O.top_n_per_key(q, n_quarters, keys=["issuer"], order=[F.desc("fy"), F.desc("fq")])
     return P.display_years(q, years=n_years)

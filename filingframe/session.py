@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Set only when the session does not say otherwise.
 _DEFAULTS = {
@@ -49,3 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         shared = tempfile.mkdtemp(prefix="filingframe-ckpt-")
     sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives the loss of executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -16,6 +16,7 @@ from ..functions import maps as K
 from ..functions.dates import quarter_end_label
 from ..functions.numbers import canonical_item, parse_korean_float, parse_korean_int
 from ..functions.text import page_heading
+from ..operators.barrier import pin
 from ..operators.predicates import classify_heading, exercise_subtype, price_adj_subtype
 from . import cells as C
 
@@ -58,6 +59,7 @@ def parsed_documents(docs: DataFrame, *, keys: Sequence[str], html: str = "html"
     ``tables`` keeps header and span marks, ``texts`` is the same as plain cell texts.
     """
     parsed = docs.select(*keys, page_heading(html).alias("heading"), C.html_tables(html).alias("tables"))
+    parsed = pin(parsed)
     return parsed.withColumn(
         "texts", F.transform("tables", lambda t: F.filter(F.transform(t, C.row_texts), lambda r: F.size(r) > 0))
     )
@@ -211,7 +213,7 @@ def exercise_records(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
 
 def child_rows(records: DataFrame, *, keys: Sequence[str], column: str) -> DataFrame:
     """Child table of an array column, in document order (``pos``)."""
-    return records.select(*keys, F.posexplode(column).alias("pos", "_c")).select(*keys, "pos", "_c.*")
+    return pin(records.select(*keys, column)).select(*keys, F.posexplode(column).alias("pos", "_c")).select(*keys, "pos", "_c.*")
 
 
 def state_balances(records: DataFrame, *, keys: Sequence[str]) -> DataFrame:
@@ -220,7 +222,7 @@ def state_balances(records: DataFrame, *, keys: Sequence[str]) -> DataFrame:
         F.coalesce(F.exists("claims", lambda c: has(F.coalesce(c["bond_type"], F.lit("")), "교환")), F.lit(False))
         | F.coalesce(has(F.col("notes"), "교환사채", "교환청구권"), F.lit(False))
     )
-    rows = records.select(
+    rows = pin(records).select(
         *keys, "type", exchangeable.alias("exchangeable"), F.col("option_remaining")["new_shares"].alias("new_shares"),
         F.posexplode_outer("balances").alias("pos", "_b"),
     )

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import maps as K
 from ..functions.numbers import parse_korean_float, parse_korean_int, performance_unit
 from ..functions.text import clean_text, page_title, strip_tags
+from ..operators.barrier import pin
 from . import cells as C
 from .exchange import at, first_of, has, joined
 
 
 def parsed_filings(docs: DataFrame, *, keys: Sequence[str], html: str = "html") -> DataFrame:
     """(keys, title, body, tables, texts, pairs) of filing pages."""
-    step = docs.select(
-        *keys, page_title(html).alias("title"), clean_text(strip_tags(html, " ")).alias("body"), C.html_tables(html).alias("tables")
+    step = pin(
+        docs.select(*keys, page_title(html).alias("title"), clean_text(strip_tags(html, " ")).alias("body"), C.html_tables(html).alias("tables"))
     )
     return step.select(
         "*",

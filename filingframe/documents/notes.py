@@ -16,6 +16,7 @@ from .. import lexicon as lx
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions.text import clip_at_break, squeeze, strip_tags, text_lines
+from ..operators.barrier import pin
 from ..operators.predicates import text_says_inactive
 from .cells import PAIR_TYPE
 from .exchange import at, has
@@ -50,7 +51,7 @@ def note_blocks(docs: DataFrame, *, keys: Sequence[str], html: str = "html") ->
             b.alias("html"),
         ),
     )
-    return docs.select(*keys, blocks.alias("blocks"))
+    return pin(docs.select(*keys, blocks.alias("blocks")))
 
 
 _TD = r"(?is)<td\b([^>]*>.*?)(?:</td\s*>|(?=<t[dh]\b)|(?=</tr)|$)"
@@ -321,14 +322,14 @@ def _candidates() -> Column:
 
 def section_instruments(blocks: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     """Bonds and convertible preferred stock of all sections of all pages."""
-    step = blocks.withColumn("_secs", _sections()).select(*keys, "blocks", F.explode("_secs").alias("_sec"))
+    step = pin(blocks.withColumn("_secs", _sections())).select(*keys, "blocks", F.explode("_secs").alias("_sec"))
     sec = F.col("_sec")
     inside = F.filter(
         F.transform("blocks", lambda b, i: F.struct(i.cast("int").alias("i"), b["is_table"].alias("is_table"), b["html"].alias("html"))),
         lambda b: b["is_table"] & (b["i"] > sec["a"]) & (b["i"] < sec["b"]),
     )
     step = step.withColumn("_tables", F.transform(inside, lambda t: F.struct(t["i"].alias("i"), _rows(t["html"], _ANY).alias("rows"))))
-    step = step.withColumn("_found", _candidates()).select(*keys, "blocks", "_sec", F.explode("_found").alias("_c"))
+    step = pin(step.withColumn("_found", _candidates())).select(*keys, "blocks", "_sec", F.explode("_found").alias("_c"))
     c = F.col("_c")
     html = F.get("blocks", c["table_at"])["html"]
     step = step.withColumns(
@@ -349,7 +350,7 @@ def section_instruments(blocks: DataFrame, *, keys: Sequence[str]) -> DataFrame:
         (c["column"].isNotNull() | ~F.coalesce("_inactive", F.lit(False))).alias("active"),
         F.filter(entries, lambda e: F.coalesce(e["key"], F.lit("")) != "").alias("_e"),
     )
-    cand = cand.withColumn("pairs", join_pairs(F.col("_e"))).where(F.size("pairs") > 0)
+    cand = pin(cand.withColumn("pairs", join_pairs(F.col("_e")))).where(F.size("pairs") > 0)
     out = _preferred_terms(read_fields(cand))
     # a bond inside another section names its series in the caption row
     p = F.col("pairs")
@@ -357,7 +358,7 @@ def section_instruments(blocks: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     named = F.regexp_extract("_caption", r"(\d+)\s*회", 1).try_cast("bigint")
     out = out.withColumns({"series": F.coalesce(named, "series"), "kind": F.coalesce("_caption", "kind")})
     empty = ~F.col("titled") & (F.col("face_value") == 0) & (F.col("convertible_shares") == 0)
-    return _shape(out.where(~empty), keys)
+    return _shape(pin(out).where(~empty), keys)
 
 
 def _preferred_terms(records: DataFrame) -> DataFrame:
@@ -394,9 +395,9 @@ def option_instruments(blocks: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     """Stock options: rows of grant tables with shares left, columns found by caption."""
     start = F.array_min(F.transform("blocks", lambda b, i: F.when(~b["is_table"] & squeeze(b["text"]).rlike(SECTION_HEADINGS["SO"]), i.cast("int"))))
     stop = F.array_min(F.transform("blocks", lambda b, i: F.when((i > F.col("_a")) & ~b["is_table"] & b["text"].rlike(_TOP), i.cast("int"))))
-    step = blocks.withColumn("_a", start).where(F.col("_a").isNotNull()).withColumn("_b", F.coalesce(stop, F.size("blocks")))
+    step = pin(blocks.withColumn("_a", start)).where(F.col("_a").isNotNull()).withColumn("_b", F.coalesce(stop, F.size("blocks")))
     tables = F.filter(F.transform("blocks", lambda b, i: F.when(b["is_table"] & (i > F.col("_a")) & (i < F.col("_b")), b["html"])), lambda x: x.isNotNull())
-    step = step.select(*keys, F.posexplode(tables).alias("table_no", "_h"))
+    step = pin(step.select(*keys, tables.alias("_tables"))).select(*keys, F.posexplode("_tables").alias("table_no", "_h"))
     texts = F.transform(_rows(F.col("_h"), _ANY), lambda r: F.transform(r, lambda c: c["text"]))
     step = step.select(*keys, "table_no", texts.alias("_t"))
     head = F.transform(at(F.col("_t"), 0), squeeze)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import is_amount_cell, is_note_reference, normalize_label, parse_report_amount, report_header_unit, unit_multiplier
 from ..functions.text import squeeze
+from ..operators.barrier import pin
 from . import cells as C
 from .exchange import at, has
 
@@ -62,7 +63,8 @@ def statement_tables(docs: DataFrame, *, keys: Sequence[str], html: str = "html"
 
     order = F.when(F.size("_t") >= 2, F.sequence(F.lit(0), F.size("_t") - 2)).otherwise(F.array().cast("array<int>"))
     found = F.aggregate(order, start, visit)["found"]
-    out = step.select(*keys, "_t", "_m", F.explode(found).alias("_f"))
+    step = pin(step.select(*keys, "_t", "_m", found.alias("_found")))
+    out = step.select(*keys, "_t", "_m", F.explode("_found").alias("_f"))
     return out.select(
         *keys, F.col("_f")["sj_div"].alias("sj_div"), report_header_unit(F.get("_m", F.col("_f")["i"])["text"]).alias("unit"),
         F.get("_t", F.col("_f")["i"] + 1).alias("rows"),

@@ -1,6 +1,6 @@
 """Named queries with the SQL they are checked against."""
 
-from . import disclosures, prices, statements  # noqa: F401
+from . import disclosures, newsfeed, pages, prices, statements, streams, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

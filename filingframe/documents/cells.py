@@ -199,25 +199,35 @@ def header_index(rows: Column) -> Column:
     return F.when(at > 0, at.cast("int") - 1).otherwise(F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body names it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def headed_rows(rows: Column) -> Column:
     """Data rows as ordered ``(header, text)`` pairs; surplus cells are ``col_<i>``."""
-    at = header_index(rows)
-    head_row = F.get(rows, at)
-    head = F.when(
-        F.exists(head_row, lambda c: c["is_header"]),
-        row_texts(F.filter(head_row, lambda c: c["is_header"])),
-    ).otherwise(row_texts(head_row))
-    data = F.filter(rows, lambda r, i: (i > at) & (F.size(r) > 0))
-    return F.transform(
-        data,
-        lambda r: F.transform(
-            r,
-            lambda c, j: F.struct(
-                F.coalesce(F.get(head, j), F.concat(F.lit("col_"), j.cast("string"))).alias("key"),
-                c["text"].alias("value"),
+
+    def head_texts(head: Column) -> Column:
+        marked = F.filter(head, lambda c: c["is_header"])
+        return row_texts(F.when(F.size(marked) > 0, marked).otherwise(head))
+
+    def pairs(data: Column, head: Column) -> Column:
+        return F.transform(
+            data,
+            lambda r: F.transform(
+                r,
+                lambda c, j: F.struct(
+                    F.coalesce(F.get(head, j), F.concat(F.lit("col_"), j.cast("string"))).alias("key"),
+                    c["text"].alias("value"),
+                ),
             ),
-        ),
-    )
+        )
+
+    def after(table: Column, at: Column) -> Column:
+        data = F.filter(F.slice(table, at + 2, F.greatest(F.size(table) - at - 1, F.lit(0))), lambda r: F.size(r) > 0)
+        return let(head_texts(F.get(table, at)), lambda head: pairs(data, head))
+
+    return let(rows, lambda table: let(header_index(table), lambda at: after(table, at)))
 
 
 def html_table(rows: Column, header: list[str] | None = None) -> Column:

@@ -1,0 +1,61 @@
+"""Source bundle and the nested report record of each issuer."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def source_bundle(reports: DataFrame, research: DataFrame, news: DataFrame, *, issuer: str = "issuer") -> DataFrame:
+    """Report text, research texts by file name and news entries by date, under headings.
+
+    News comes in cut to its budget, research files of an issuer are few; both lists stay small.
+    """
+    r = reports.select(issuer, F.lit(0).alias("part"), F.lit("").alias("key"), F.concat(F.lit("### 자동 생성된 재무 분석 보고서 (섹션 1~4)\n\n"), F.col("report_text")).alias("body")).where(
+        F.coalesce("report_text", F.lit("")) != ""
+    ) if "report_text" in reports.columns else None
+    s = research.where(F.coalesce("text", F.lit("")) != "").select(
+        issuer, F.lit(1).alias("part"), F.col("file").alias("key"), F.concat(F.lit("### 리서치 리포트: "), F.col("file"), F.lit("\n\n"), F.col("text")).alias("body")
+    )
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("date", "ord", "entry"))), lambda e: e["entry"])
+    n = news.groupBy(issuer).agg(F.array_join(lines, "\n").alias("_n")).select(
+        issuer, F.lit(2).alias("part"), F.lit("").alias("key"), F.concat(F.lit("### 최근 뉴스\n\n"), F.col("_n")).alias("body")
+    )
+    every = s.unionByName(n) if r is None else r.unionByName(s).unionByName(n)
+    body = F.transform(F.array_sort(F.collect_list(F.struct("part", "key", "body"))), lambda p: p["body"])
+    return every.groupBy(issuer).agg(F.array_join(body, "\n\n---\n\n").alias("sources_content"))
+
+
+def nest(rows: DataFrame, name: str, *, issuer: str = "issuer", order: Sequence[str]) -> DataFrame:
+    """Display rows of an issuer as one ordered array. Inputs are report tables: top-n quarters,
+    instruments, years - bounded per issuer by the operators that made them."""
+    cols = [c for c in rows.columns if c != issuer]
+    keyed = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.struct(*cols).alias("row"))
+    return rows.groupBy(issuer).agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["row"]).alias(name))
+
+
+def assemble_report(issuers: DataFrame, scalars: Sequence[DataFrame], tables: Mapping[str, tuple], *, issuer: str = "issuer") -> DataFrame:
+    """One nested record per issuer: scalar columns and arrays of display rows.
+
+    Missing inputs give NULL scalars and empty arrays, never a lost issuer.
+    """
+    out = issuers
+    for df in scalars:
+        out = out.join(df, issuer, "left")
+    names = []
+    for name, (df, order) in tables.items():
+        out = out.join(nest(df, name, issuer=issuer, order=order), issuer, "left")
+        names.append(name)
+    types = dict(out.dtypes)
+    filled = {n: F.coalesce(F.col(n), F.array().cast(types[n])) for n in names}
+    return out.withColumns(filled) if filled else out
+
+
+def summary_counts(reports: DataFrame, tables: Sequence[str]) -> Column:
+    """How many of the tables of a report are empty."""
+    total = F.lit(0)
+    for t in tables:
+        total = total + F.when(F.size(t) == 0, 1).otherwise(0)
+    return total

@@ -17,6 +17,7 @@ from ..operators import ordering as O
 from ..operators import predicates as P
 from ..operators import windows as W
 from ..plans import valuation as V
+from ..session import cut_lineage
 from . import proxies as X
 from . import sqltext as Q
 from .registry import query
@@ -245,7 +246,8 @@ def v2(spark, sf):
 
 
 def _state2(spark, sf):
-    return ST.apply_events(decisions(spark, sf), ST.apply_notes(notes(spark, sf)))
+    """State before exercises; later steps read it several times, so its lineage is cut."""
+    return cut_lineage(ST.apply_events(decisions(spark, sf), ST.apply_notes(notes(spark, sf))))
 
 
 _EO = "entry_date, ord"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
@@ -16,6 +13,7 @@ from ..operators import ordering as O
 from ..operators import predicates as P
 from ..operators import sets as U
 from ..operators import windows as W
+from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import sinks as SK
 from . import proxies as X
@@ -243,7 +241,9 @@ def e14(spark, sf):
     entries = n.select("issuer", "date", "ord", W.news_entry().alias("entry"))
     kept = W.char_budget(entries, keys=["issuer"], order=["date", "ord"], text="entry", slot=F.col("date"))
     reports = n.groupBy("issuer").agg(F.concat(F.lit("# "), F.first("issuer"), F.lit(" "), F.count("*").cast("string")).alias("report_text"))
-    research = n.where("ord % 50 = 0").select("issuer", F.concat(F.lit("r"), F.col("ord").cast("string"), F.lit(".pdf")).alias("file"), F.substring("title", 1, 40).alias("text"))
+    # the newest ten research notes of an issuer
+    newest = O.top_n_per_key(n, 10, keys=["issuer"], order=[F.desc("date"), F.desc("ord")])
+    research = newest.select("issuer", F.concat(F.lit("r"), F.col("ord").cast("string"), F.lit(".pdf")).alias("file"), F.substring("title", 1, 40).alias("text"))
     return RP.source_bundle(reports, research, kept)
 
 
@@ -316,34 +316,27 @@ def h19(spark, sf):
 
 @query("s1_read_code_map", "SELECT lpad(CAST(c_custkey AS VARCHAR),6,'0') code, c_name AS name FROM customer")
 def s1(spark, sf):
-    path = _scratch("codes")
-    pairs = F.map_from_entries(F.collect_list(F.struct(cat(" ", F.col("c_custkey")), cat(F.col("c_name"), " "))))
-    X.table(spark, sf, "customer").agg(F.to_json(pairs).alias("value")).write.text(path)
-    return R.read_code_map(spark, path)
+    """Lists of a hundred companies each, as JSON objects."""
+    entry = F.struct(cat(" ", F.col("c_custkey")), cat(F.col("c_name"), " "))
+    lists = X.table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 100)).agg(
+        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")
+    )
+    return R.code_map_rows(lists)
 
 
 @query("s2_read_legacy_csv", "SELECT lpad(CAST(s_suppkey AS VARCHAR),6,'0') code, '회사'||s_name AS name FROM supplier WHERE s_suppkey%7<>0")
 def s2(spark, sf):
-    return R.read_legacy_csv(spark, _legacy_file(spark, sf))
-
-
-def _legacy_file(spark, sf) -> str:
-    """CP949 file written by tasks, one part per partition."""
-    path = _scratch("legacy")
-    os.makedirs(path, exist_ok=True)
+    """CP949 files of a hundred companies each, as bytes."""
     name = F.when(F.col("s_suppkey") % 7 != 0, cat("회사", F.col("s_name")))
-    rows = X.table(spark, sf, "supplier").select(F.concat_ws(",", F.lit("1"), F.lit("KRX"), cat("'", F.col("s_suppkey")), F.coalesce(name, F.lit(""))).alias("line"))
-
-    def write(batches):
-        import pandas as pd
+    line = F.concat_ws(",", F.lit("1"), F.lit("KRX"), cat("'", F.col("s_suppkey")), F.coalesce(name, F.lit("")))
+    texts = X.table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 100)).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
 
-        for n, batch in enumerate(batches):
-            with open(f"{path}/part-{os.getpid()}-{n}.csv", "w", encoding="cp949") as f:
-                f.write("no,market,code,name\n" + "\n".join(batch["line"]))
-            yield pd.DataFrame({"n": [len(batch)]})
+    def encode(batches):
+        for b in batches:
+            yield b.assign(content=[("no,market,code,name\n<!-- euc-kr -->\n" + t).encode("cp949") for t in b["body"]])[["content"]]
 
-    rows.mapInPandas(write, "n long").agg(F.sum("n")).collect()
-    return path
+    files = texts.select("body").mapInPandas(encode, "content binary")
+    return R.legacy_csv_rows(R.decode_documents(files))
 
 
 @query("s8_decode_documents", "SELECT s_suppkey, '<meta charset='||CASE WHEN s_suppkey%2=0 THEN 'euc-kr' ELSE 'utf-8' END||'>회사'||s_name AS text, CASE WHEN s_suppkey%2=0 THEN 'cp949' ELSE 'utf-8' END encoding FROM supplier")
@@ -360,13 +353,9 @@ def s8(spark, sf):
     return R.decode_documents(raw).select("s_suppkey", "text", "encoding")
 
 
-def _scratch(name: str) -> str:
-    return os.path.join(tempfile.mkdtemp(prefix="filingframe-"), name)
-
-
 @query("s11_write_dated_json", NEWS + f" SELECT issuer, {DAY.format(chr(34) + 'date' + chr(34))} run_date, ord, url FROM news")
 def s11(spark, sf):
-    path = _scratch("news")
+    path = scratch_path(spark, "news")
     rows = X.news(spark, sf).select("issuer", F.date_format("date", "yyyyMMdd").alias("run_date"), "ord", "url")
     # one file per partition value instead of one per task and value
     SK.write_dated_json(SK.dashed_date(rows, "run_date").repartition("issuer", "run_date"), path)
@@ -375,7 +364,7 @@ def s11(spark, sf):
 
 @query("s12_write_report_rows", DISC + " SELECT issuer, count(*) n, CAST(sum(shares) AS BIGINT) shares FROM disc GROUP BY ALL")
 def s12(spark, sf):
-    path = _scratch("reports")
+    path = scratch_path(spark, "reports")
     parts = F.struct("kind", "shares")
     rows = X.disc(spark, sf).groupBy("issuer", "kind").agg(F.count("*").alias("n"), F.sum("shares").alias("shares"))
     nested = rows.groupBy("issuer").agg(F.sum("n").alias("n"), F.collect_list(parts).alias("parts")).withColumn("run_date", F.lit("2024-01-31"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..dilution import state as ST
@@ -12,6 +10,7 @@ from ..operators import windows as W
 from ..plans import report as RP
 from ..plans import statements as S
 from ..plans import valuation as V
+from ..session import scratch_path
 from ..streaming import ingest as I
 from ..streaming import instruments as SI
 from . import disclosures as DS
@@ -23,16 +22,13 @@ DISC = "WITH " + X.DISC_SQL
 _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _scratch(name: str) -> str:
-    return tempfile.mkdtemp(prefix="filingframe-") + "/" + name
-
-
 def _events(spark, sf):
     return spark.readStream.schema(_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _finish(writer, path: str):
-    q = writer.option("checkpointLocation", _scratch("checkpoint")).trigger(availableNow=True).start(path) if path else writer.option("checkpointLocation", _scratch("checkpoint")).trigger(availableNow=True).start()
+def _finish(spark, writer, path: str | None = None) -> None:
+    """Run a stream over all the data there is and wait for it."""
+    q = writer.option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).start(path)
     q.awaitTermination()
 
 
@@ -42,8 +38,8 @@ def t1(spark, sf):
     e = _events(spark, sf)
     entries = e.select(F.col("user_id").alias("issuer"), F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("ts"))
     out = I.stream_dedup_ingest(entries, keys=["issuer", "kind", "day"], delay="2 days")
-    path = _scratch("t1")
-    _finish(out.select("issuer", "kind", "day", F.lit(True).alias("seen")).writeStream.format("parquet").outputMode("append"), path)
+    path = scratch_path(spark, "t1")
+    _finish(spark, out.select("issuer", "kind", "day", F.lit(True).alias("seen")).writeStream.format("parquet").outputMode("append"), path)
     return spark.read.parquet(path)
 
 
@@ -52,9 +48,10 @@ def t3(spark, sf):
     f = _events(spark, sf).select(
         F.col("user_id").alias("issuer"), F.date_format("ts", "yyyy-MM-dd").alias("rcept_dt"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("rcept_no"), F.col("event_type").alias("kind")
     )
-    path = _scratch("t3")
-    _finish(f.writeStream.foreachBatch(I.upsert_latest(path)), "")
-    return spark.read.parquet(f"{path}/v0")
+    path = scratch_path(spark, "t3")
+    writer = I.LatestTable(path)
+    _finish(spark, f.writeStream.foreachBatch(writer))
+    return writer.read(spark)
 
 
 def state_records(spark, d):
@@ -85,13 +82,15 @@ def t2(spark, sf):
         "issuer", "ord", "entry_date", "kind", "k", (F.col("k") % 5 + 1).alias("series"), (500 + (F.col("c") * 7 + F.col("k")) % 9500).alias("price"),
         (1000 + (F.col("c") * 3 + F.col("k") * 11) % 90000).alias("shares"), ((F.col("c") * 17 + F.col("k") * 1009) % 1000003 * 1000).alias("face"),
     )
-    path = _scratch("t2")
+    path = scratch_path(spark, "t2")
 
     def keep(batch, batch_id):
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/b{batch_id}")
 
-    _finish(SI.stream_instrument_state(state_records(spark, d)).writeStream.foreachBatch(keep).outputMode("update"), "")
-    return spark.read.parquet(f"{path}/b*").drop("batch_id")
+    _finish(spark, SI.stream_instrument_state(state_records(spark, d)).writeStream.foreachBatch(keep).outputMode("update"))
+    every = spark.read.parquet(f"{path}/b*")
+    last = every.groupBy("issuer").agg(F.max("batch_id").alias("batch_id"))
+    return every.join(last, ["issuer", "batch_id"]).drop("batch_id")
 
 
 @query("e15_assemble_report")

@@ -18,10 +18,14 @@ def pad_code(c: Column) -> Column:
 
 
 def read_code_map(spark: SparkSession, path: str) -> DataFrame:
-    """JSON object {code: name} -> (code, name). A company list is a small file read whole."""
-    doc = spark.read.text(path, wholetext=True)
-    entries = F.explode(F.from_json("value", "map<string,string>")).alias("code", "name")
-    return doc.select(entries).select(pad_code(F.col("code")).alias("code"), F.trim("name").alias("name"))
+    """JSON object {code: name} per file -> (code, name)."""
+    return code_map_rows(spark.read.text(path, wholetext=True))
+
+
+def code_map_rows(docs: DataFrame, value: str = "value") -> DataFrame:
+    """(code, name) of JSON objects."""
+    entries = docs.select(F.explode(F.from_json(value, "map<string,string>")).alias("code", "name"))
+    return entries.select(pad_code(F.col("code")).alias("code"), F.trim("name").alias("name"))
 
 
 def decode_korean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,7 +75,11 @@ def read_legacy_csv(spark: SparkSession, path: str, columns: tuple = (2, 3)) ->
     The file is decoded first and then split by the CSV expression, because the CSV source
     takes standard charsets only.
     """
-    files = decode_documents(spark.read.format("binaryFile").load(path).select("content"))
+    return legacy_csv_rows(decode_documents(spark.read.format("binaryFile").load(path).select("content")), columns)
+
+
+def legacy_csv_rows(files: DataFrame, columns: tuple = (2, 3)) -> DataFrame:
+    """The same from decoded files (column ``text``); the first line of each is its header."""
     lines = files.select(F.posexplode(F.split("text", r"\r?\n")).alias("n", "line")).where(
         (F.col("n") > 0) & (F.trim("line") != "")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import latest_per_issuer
@@ -23,19 +23,24 @@ def stream_latest_filing(filings: DataFrame, *, issuer: str = "issuer", order: S
     return best.select(issuer, "_r.*").select(*filings.columns)
 
 
-def upsert_latest(path: str, *, issuer: Sequence[str] = ("issuer",), order: Sequence[str] = ("rcept_dt", "rcept_no")):
+class LatestTable:
     """``foreachBatch`` writer that keeps the newest filing per issuer in a Parquet table.
 
-    Versions alternate by batch number: a batch reads the table of the batch before it and
-    writes its own, so a repeated batch writes the same result again.
+    Every batch writes a version of its own from the version before it, so a repeated batch
+    writes the same result again and readers never see a half-written table.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = latest_per_issuer(batch, issuer=issuer, order=order)
+    def __init__(self, path: str, *, issuer: Sequence[str] = ("issuer",), order: Sequence[str] = ("rcept_dt", "rcept_no")) -> None:
+        self.path, self.issuer, self.order = path, tuple(issuer), tuple(order)
+        self.version = -1
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        new = latest_per_issuer(batch, issuer=self.issuer, order=self.order)
         if batch_id > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}")
-            new = latest_per_issuer(old.unionByName(new), issuer=issuer, order=order)
-        new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{self.path}/v{batch_id - 1}")
+            new = latest_per_issuer(old.unionByName(new), issuer=self.issuer, order=self.order)
+        new.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
+        self.version = batch_id
 
-    return write
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/v{self.version}")

@@ -261,7 +261,7 @@ upd AS (SELECT s.issuer, coalesce(s.okey, CASE WHEN o.type='신주인수권행
 lst AS (SELECT issuer, key, (list(rem ORDER BY entry_date DESC, ord DESC) FILTER (WHERE rem IS NOT NULL))[1] r,
     (list(cp ORDER BY entry_date DESC, ord DESC) FILTER (WHERE cp IS NOT NULL))[1] p, (list(cs ORDER BY entry_date DESC, ord DESC) FILTER (WHERE cs IS NOT NULL))[1] s,
     max(ord) FILTER (WHERE cs IS NOT NULL) tm FROM upd GROUP BY issuer, key),
-opts AS (SELECT issuer, max(ord) tm, arg_max(new_shares, ord) n FROM exer WHERE is_option AND NOT exchangeable GROUP BY issuer),
+opts AS (SELECT issuer, max(ord) tm, arg_max(new_shares, ord) n FROM exer WHERE is_option GROUP BY issuer),
 both_s AS (SELECT * FROM s2 UNION ALL SELECT issuer, CASE WHEN type='신주인수권행사' THEN 'BW_' ELSE 'CB_' END||series, 4, ord, CASE WHEN type='신주인수권행사' THEN 'BW' ELSE 'CB' END, series, '제'||series||'회',
     coalesce({_nz('face_value')},rem,0), coalesce(rem,0), coalesce(conversion_price,0), coalesce(cs,0), '', '' FROM open1),
 s4 AS (SELECT b.issuer, instrument_key, ph, first_ord, category, series, kind, face_value, coalesce(l.r, remaining) remaining, coalesce(l.p, conversion_price) conversion_price,

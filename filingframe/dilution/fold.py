@@ -115,8 +115,8 @@ def fold_adjustments(adjustments: DataFrame, state: DataFrame) -> DataFrame:
     keyless = adjustments.where(F.col("series").isNull()).select("issuer").distinct()
     plain_state = state.join(keyless, "issuer", "left_anti")
     plain = apply_price_adjustments(adjustments.join(keyless, "issuer", "left_anti"), plain_state)
-    as_int = [c for c in _RECORD if c not in ("series",)]
-    instruments = state.join(keyless, "issuer", "left_semi").select(
+    as_int = [c for c in _RECORD if c != "series"]
+    instruments = state.select(
         *(c for c in STATE if c != "inserted"),
         F.col("inserted")["phase"].alias("phase"),
         F.col("inserted")["ord"].alias("first_ord"),
@@ -129,14 +129,18 @@ def fold_adjustments(adjustments: DataFrame, state: DataFrame) -> DataFrame:
     )
     blank = {c: F.lit("") for c in ("instrument_key", *_TEXT)}
     zero = {c: F.lit(0).cast("bigint") for c in ("face_value", "remaining", "conversion_price", "convertible_shares", "first_ord")}
-    records = adjustments.join(keyless, "issuer", "left_semi").select(
+    records = adjustments.select(
         "issuer", "series", "entry_date", "ord", "part", "pos", *as_int,
         F.lit(True).alias("is_record"), F.lit(0).alias("phase"),
         *(v.alias(c) for c, v in {**blank, **zero}.items()),
     )
+    # The key of the shuffle is a hash of the issuer on purpose: a plain repartition by issuer
+    # is dropped when both sides of the union are already partitioned by it, and the adaptive
+    # planner may then coalesce the two sides differently and part instruments from records.
     ordered = (
         instruments.unionByName(records)
-        .repartition("issuer")
+        .join(keyless, "issuer", "left_semi")
+        .repartition(F.xxhash64("issuer"))
         .sortWithinPartitions("issuer", "is_record", "phase", "first_ord", "entry_date", "ord", "part", "pos", "instrument_key")
     )
     folded = ordered.mapInPandas(fold_sorted, schema=_OUT)

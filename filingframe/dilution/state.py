@@ -191,6 +191,7 @@ def apply_events(events: DataFrame, state: DataFrame | None = None) -> DataFrame
             "_open": F.when(
                 ~share_based, _present(_derived_shares(_zero(stated), _zero(face), _zero(price)))
             ).otherwise(stated),
+            "_rights": rights_like,
             "_cat": F.when(rights_like, F.lit(sc.RIGHTS_CATEGORY)).when(option, F.lit(sc.OPTION_CATEGORY))
             .when(cat == "PERPETUAL", F.lit(sc.EVENT_CATEGORY["PERPETUAL"])).otherwise(cat),
             "_kind": F.when(rights_like, _text("share_type")).otherwise(_text("kind")),
@@ -204,6 +205,8 @@ def apply_events(events: DataFrame, state: DataFrame | None = None) -> DataFrame
         *(_first(F.col(f"_{n}"), o).alias(f"f_{n}") for n in ("price", "face", "stated", "start", "end")),
         *(_last(F.col(f"_{n}"), o).alias(f"l_{n}") for n in ("price", "stated", "start", "end")),
         F.min_by("_open", "ord").alias("_open"),
+        F.min_by("_face", "ord").alias("_open_face"),
+        F.max("_rights").alias("_rights"),
     )
     pick = lambda n: F.when(F.col("_option"), F.col(f"l_{n}")).otherwise(F.col(f"f_{n}"))
     found = per.select(
@@ -213,7 +216,8 @@ def apply_events(events: DataFrame, state: DataFrame | None = None) -> DataFrame
         "_new",
         "_option",
         pick("price").alias("e_price"),
-        F.col("f_face").alias("e_face"),
+        # a later rights record adds terms but no face value
+        F.when(F.col("_rights"), F.col("_open_face")).otherwise(F.col("f_face")).alias("e_face"),
         pick("stated").alias("e_shares"),
         F.when(F.col("_option"), F.col("l_stated")).otherwise(F.coalesce("_open", "f_stated")).alias("e_open_shares"),
         pick("start").alias("e_start"),
@@ -335,14 +339,14 @@ def apply_exercises(balances: DataFrame, state: DataFrame) -> DataFrame:
     notices set all option rows. Exchangeable bonds are skipped.
     """
     order = F.struct("entry_date", "ord", "pos")
-    rows = balances.where(~F.coalesce(F.col("exchangeable"), F.lit(False))).select(
+    rows = balances.select(
         "*",
         order.alias("_o"),
         F.when(F.col("has_remaining"), F.col("remaining")).otherwise(F.col("face_value")).alias("_rem"),
         F.coalesce(_present(F.col("convertible_shares")), F.col("remaining_shares")).alias("_cs"),
     )
     options = rows.where((F.col("type") == sc.OPTION_EXERCISE) & (F.col("new_shares") > 0))
-    bonds = rows.where(F.col("type") != sc.OPTION_EXERCISE)
+    bonds = rows.where((F.col("type") != sc.OPTION_EXERCISE) & ~F.coalesce(F.col("exchangeable"), F.lit(False)))
 
     owner = _series_owner(state).withColumn("_known", F.lit(True))
     by_series = bonds.where(F.col("series").isNotNull())

@@ -13,7 +13,7 @@ from ..documents import statements as ST
 from ..functions import text as TX
 from ..operators import aggregates as A
 from ..operators import windows as W
-from ..operators.barrier import pin
+from ..operators.barrier import pin, spread
 from .. import lexicon as lx
 from . import proxies as X
 from .registry import query
@@ -27,7 +27,7 @@ def th(c: str) -> str:
 
 
 def docs(spark, sf, html, *extra):
-    return X.disc(spark, sf).select("ord", *extra, html.alias("html"))
+    return spread(X.disc(spark, sf)).select("ord", *extra, html.alias("html"))
 
 
 def head(text):

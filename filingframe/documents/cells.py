@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, strip_tags
+from ..functions.text import clean_text, let, strip_tags
 
 _TABLE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
 _ROW = r"(?is)<tr\b[^>]*>(.*?)(?:</tr\s*>|(?=<tr\b)|$)"
@@ -26,18 +26,25 @@ def _all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
 
 
-def _span(c: Column, name: str) -> Column:
-    found = F.regexp_extract(c, rf"(?is)^[^>]*\b{name}\s*=\s*[\"']?(\d+)", 1)
-    return F.coalesce(found.try_cast("int"), F.lit(1))
+def _span(tag: Column, name: str) -> Column:
+    """Span stated in an opening tag; most cells state none."""
+    found = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?(\d+)", 1)
+    return F.when(F.contains(F.lower(tag), F.lit(name)), F.coalesce(found.try_cast("int"), F.lit(1))).otherwise(F.lit(1))
 
 
 def _cell(c: Column) -> Column:
-    return F.struct(
-        clean_text(strip_tags(F.regexp_replace(c, r"(?s)^[^>]*>", ""))).alias("text"),
-        (F.lower(F.substring(c, 1, 2)) == "th").alias("is_header"),
-        _span(c, "rowspan").alias("rowspan"),
-        _span(c, "colspan").alias("colspan"),
-    )
+    """One cell, from ``td …>content``."""
+
+    def parts(end: Column) -> Column:
+        tag = F.substring(c, F.lit(1), end)
+        return F.struct(
+            clean_text(strip_tags(F.substring(c, end + 1, F.length(c)))).alias("text"),
+            (F.lower(F.substring(c, 1, 2)) == "th").alias("is_header"),
+            _span(tag, "rowspan").alias("rowspan"),
+            _span(tag, "colspan").alias("colspan"),
+        )
+
+    return let(F.instr(c, ">"), parts)
 
 
 def html_tables(html: Column | str) -> Column:
@@ -199,11 +206,6 @@ def header_index(rows: Column) -> Column:
     return F.when(at > 0, at.cast("int") - 1).otherwise(F.lit(0))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row, however often the body names it."""
-    return F.transform(F.array(value), lambda v: body(v))[0]
-
-
 def headed_rows(rows: Column) -> Column:
     """Data rows as ordered ``(header, text)`` pairs; surplus cells are ``col_<i>``."""
 

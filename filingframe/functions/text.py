@@ -16,22 +16,39 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body names it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def unescape(c: Column | str) -> Column:
-    out = _col(c)
-    for pattern, char in _ENTITIES:
-        out = F.regexp_replace(out, pattern, char)
-    return out
+    """Character entities as characters; text without ``&`` is passed on untouched."""
+
+    def chain(t: Column) -> Column:
+        for pattern, char in _ENTITIES:
+            t = F.regexp_replace(t, pattern, char)
+        return t
+
+    return let(_col(c), lambda t: F.when(F.contains(t, F.lit("&")), chain(t)).otherwise(t))
 
 
 def clean_text(c: Column | str) -> Column:
     """Runs of blanks, tabs, line ends and wide spaces become one space; trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(_col(c), r"[\xa0　\t\r\n]+", " "), " {2,}", " "))
+
+    def squeezed(t: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, r"[\xa0　\t\r\n]+", " "), " {2,}", " ")
+
+    return F.trim(let(_col(c), lambda t: F.when(t.rlike(r"[\xa0　\t\r\n]|  "), squeezed(t)).otherwise(t)))
 
 
 def strip_tags(c: Column | str, gap: str = "") -> Column:
     """Visible text of markup: comments, scripts and styles go, then every tag."""
-    body = F.regexp_replace(_col(c), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", gap)
-    return unescape(F.regexp_replace(body, r"(?s)<[^>]+>", gap))
+
+    def bare(h: Column) -> Column:
+        body = F.regexp_replace(h, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", gap)
+        return F.regexp_replace(body, r"(?s)<[^>]+>", gap)
+
+    return unescape(let(_col(c), lambda h: F.when(F.contains(h, F.lit("<")), bare(h)).otherwise(h)))
 
 
 def html_to_text(c: Column | str) -> Column:

@@ -12,6 +12,7 @@ from .. import lexicon as lx
 from ..dilution import schemas as sc
 from ..functions import maps as K
 from ..functions.numbers import floor_div, parse_amount
+from ..operators.barrier import pin
 from ..operators.aggregates import sum_funding, validate_face_value
 from ..operators.predicates import preferred_issue_decision, preferred_issue_event
 
@@ -141,6 +142,7 @@ def normalize_instruments(items: DataFrame, *, keys: Sequence[str]) -> DataFrame
     usable = F.when(option, F.col("convertible_shares") != 0).otherwise(
         (F.col("face_value") != 0) | (F.col("convertible_shares") != 0)
     )
+    typed = pin(typed)
     remaining = F.when(F.col("remaining_balance").isNotNull(), _safe_int("remaining_balance"))
     return typed.where(usable).select(
         *keys, "category", "series", F.trim(F.coalesce("kind", F.lit(""))).alias("kind"), "face_value",
@@ -152,5 +154,6 @@ def normalize_instruments(items: DataFrame, *, keys: Sequence[str]) -> DataFrame
 
 def instrument_items(replies: DataFrame, *, keys: Sequence[str], content: str = "content") -> DataFrame:
     """Instrument records of model replies, one row each, normalised."""
-    items = replies.select(*keys, F.explode(K.parse_json_items(content, _ITEM)).alias("_i")).select(*keys, "_i.*")
+    parsed = pin(replies.select(*keys, K.parse_json_items(content, _ITEM).alias("_items")))
+    items = parsed.select(*keys, F.explode("_items").alias("_i")).select(*keys, "_i.*")
     return normalize_instruments(items, keys=keys)

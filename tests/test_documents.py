@@ -3,7 +3,6 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from filingframe.documents import cells as C
 from filingframe.documents import consensus, exchange, filings, news, notes, sections, statements

@@ -104,9 +104,7 @@ def e15(spark, sf):
     market = V.market_cap(PR._market(spark, sf)).select("issuer", "stock_price", "shares_outstanding", "value")
     state = ST.apply_notes(DS.notes(spark, sf)).withColumn("issuer", F.col("issuer") % 25)
     overhang = ST.overhang_table(state, as_of=F.lit(DS.AS_OF).cast("date"), total_shares=F.lit(1_000_000).cast("bigint"))
-    prices = A.price_summary(
-        X.px(spark, sf).where("issuer < 25"), as_of=F.lit("2024-01-30").cast("date")
-    ).select("issuer", "low_price", "high_price", "return_label")
+    prices = A.price_summary(X.px(spark, sf), as_of=F.lit("2024-01-30").cast("date")).select("issuer", "low_price", "high_price", "return_label")
     income = V.latest_annual_income(X.annual(spark, sf))
     scalars = [market, prices, income]
     tables = {"quarters": (quarter_rows, ["period"]), "years": (annual_rows, ["fy"]), "overhang": (overhang, ["category_label", "instrument_key"])}

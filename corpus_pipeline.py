@@ -10,11 +10,16 @@ from filingframe.llm.common import written
 from filingframe.llm.queries import as_articles, language_model
 
 
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose doc_id is in ``kept``; a null doc_id counts as an id of its own."""
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: no letters, or no language clearly ahead of the others, and they go."""
     found = language.identify_language(as_articles(docs), language_model(docs))
     kept = found.where((F.col("language") != language.UNDETERMINED) & (F.col("score") >= 0.5)).select(F.col("url").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, kept)
 
 
 STAGES = [("language ID", by_language)]

@@ -15,7 +15,7 @@ import numpy as np
 
 PAD, END = b"\xff", b"\xfe"
 _SYMBOLS = 255  # all byte values but PAD
-_SEGMENT = 1 << 20  # bytes of text held as arrays at a time
+_SEGMENT = 1 << 18  # bytes of text held as arrays at a time
 
 
 def segments(texts: Sequence[bytes], order: int, limit: int = _SEGMENT) -> Iterator[list[tuple[int, bytes, bytes]]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import language, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +45,14 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("url").alias("doc_id"), (remainder("url", 3) == 1).alias("held_out"), F.col("language").alias("lang_pred"), "score", "bits"
     )
+
+
+@_query
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and base-line log10 probability of every document."""
+    documents = _table(spark, sf_dir, "documents")
+    model = scoring.fit_article_model(as_articles(documents.where(remainder("doc_id", 10) != 0)))
+    return scoring.score_articles(as_articles(documents), model).select(
+        F.col("url").alias("doc_id"), (remainder("url", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, scoring
+from . import language, neardup, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,3 +56,11 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("url").alias("doc_id"), (remainder("url", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score", "score",
     )
+
+
+@_query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return neardup.near_duplicates(as_articles(_table(spark, sf_dir, "documents"))).select(
+        F.col("url").alias("doc_id"), "fingerprint", F.col("component").alias("component_id")
+    )

@@ -57,7 +57,7 @@ def _least_count(counted: DataFrame, most: int) -> int:
 
 
 def fit_article_model(
-    articles: DataFrame, *, content: str = "content", order: int = 4, max_contexts: int = 1 << 20, max_words: int = 200_000
+    articles: DataFrame, *, content: str = "content", order: int = 5, max_contexts: int = 1 << 20, max_words: int = 200_000
 ) -> ArticleModel:
     """Word counts and byte-context counts of all ``articles``.
 

@@ -104,7 +104,7 @@ def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = np.minimum(la, lb)
         np.minimum.at(label, la, low)
         np.minimum.at(label, lb, low)
-        while (jumped := label[label]).tolist() != label.tolist():
+        while not np.array_equal(jumped := label[label], label):
             label = jumped
     return label
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, scoring
+from . import decontaminate, language, neardup, packing, scoring, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +65,61 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(as_articles(_table(spark, sf_dir, "documents"))).select(
         F.col("url").alias("doc_id"), "fingerprint", F.col("component").alias("component_id")
     )
+
+
+def contamination(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents against the benchmark items."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("content"))
+    return decontaminate.find_contamination(as_articles(documents), items)
+
+
+@_query
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return contamination(spark, _table(spark, sf_dir, "documents"), sf_dir).select(
+        F.col("url").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+_WORDS_SQL = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+)
+SQL["op3_contamination"] = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 13) AS size, array_to_string(list_slice(w, i, i + 12), ' ') AS piece
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM docs WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+pieces AS (
+  SELECT doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS piece FROM places, sizes WHERE i + size - 1 <= len(w)),
+found AS (SELECT p.doc_id, p.i, p.size, v.item FROM pieces p JOIN windows v ON p.size = v.size AND p.piece = v.piece),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS j FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+       sha256(coalesce(n.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""
+
+
+@_query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the byte-level tokenizer."""
+    counted = tokens.count_tokens(as_articles(_table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(F.col("url").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    pieces = packing.encode_pieces(as_articles(documents), public_tokenizers.path("word_bpe_49k.json"))
+    narrow = pieces.select(F.col("url").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack_pieces(narrow).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), "offset")
+
+
+@_query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into token sequences."""
+    return packed(_table(spark, sf_dir, "documents"))

@@ -49,3 +49,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2
 def same_text(url: str = "url", content: str = "content") -> list[Column]:
     """Key of an article that also tells apart different texts saved under one url."""
     return [F.col(url), F.xxhash64(F.col(content)).alias("digest"), F.length(content).alias("size")]
+
+
+def least_count(counted: DataFrame, most: int) -> int:
+    """Smallest count such that at most ``most`` rows have it or more."""
+    top = 1 << 16
+    sizes = sorted(counted.groupBy(F.least("n", F.lit(top)).alias("c")).count().collect(), reverse=True)  # 65,536 rows at most
+    total = 0
+    for c, rows in sizes:
+        total += rows
+        if total > most:
+            if c == top:  # so many rows above the histogram: the count of the row at the bound
+                return counted.orderBy(F.desc("n")).offset(most).first()["n"] + 1
+            return c + 1
+    return 1

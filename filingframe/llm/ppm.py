@@ -76,7 +76,7 @@ class Index:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        bits = max(4, int(4 * len(keys)).bit_length())
+        bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.table = np.full(1 << bits, -1, np.int32)
         left = np.arange(len(keys), dtype=np.int32)

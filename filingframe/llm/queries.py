@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, neardup, packing, scoring, tokens
+from . import decontaminate, fingerprints, language, neardup, packing, scoring, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +123,20 @@ def packed(documents: DataFrame) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into token sequences."""
     return packed(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprint_revisions(as_articles(_table(spark, sf_dir, "documents"))).select(
+        F.col("url").alias("doc_id"), "n_chars", F.col("revised_sha256").alias("edited_sha256"), "fingerprint",
+        F.col("revised_fingerprint").alias("edited_fingerprint"), F.col("near_revised").alias("near_edited"), "near_next",
+    )
+
+
+@_query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal size."""
+    return sharding.shard_articles(as_articles(_table(spark, sf_dir, "documents"))).select(
+        F.col("url").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ppm
-from .common import arrow_schema, read_articles, small_batches, utf8, written
+from .common import arrow_schema, least_count, read_articles, small_batches, utf8, written
 
-_FLUSH = 400_000  # entries a task holds before it hands its counts on
+_FLUSH = 250_000  # entries a task holds before it hands its counts on
 
 
 def words(text: bytes) -> list[bytes]:
@@ -42,20 +42,6 @@ class ArticleModel:
     contexts: ppm.Contexts
 
 
-def _least_count(counted: DataFrame, most: int) -> int:
-    """Smallest count such that at most ``most`` rows have it or more."""
-    top = 1 << 16
-    sizes = sorted(counted.groupBy(F.least("n", F.lit(top)).alias("c")).count().collect(), reverse=True)  # 65,536 rows at most
-    total = 0
-    for c, rows in sizes:
-        total += rows
-        if total > most:
-            if c == top:  # so many rows above the histogram: the count of the row at the bound
-                return counted.orderBy(F.desc("n")).offset(most).first()["n"] + 1
-            return c + 1
-    return 1
-
-
 def fit_article_model(
     articles: DataFrame, *, content: str = "content", order: int = 5, max_contexts: int = 1 << 20, max_words: int = 200_000
 ) -> ArticleModel:
@@ -97,7 +83,7 @@ def fit_article_model(
         F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("types"),
         F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("n"))), F.lit(0)).alias("ends"),
     ).first()
-    rare_below = _least_count(vocabulary, max_words)
+    rare_below = least_count(vocabulary, max_words)
     table = vocabulary.where(F.col("n") >= rare_below).toArrow()
     frequent = {w: math.log10(n + 0.1) for w, n in zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True)}
 
@@ -106,7 +92,7 @@ def fit_article_model(
     for j in range(order, -1, -1):
         if j < order:
             grams = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        least = min(_least_count(grams, max_contexts), least or 1 << 62)
+        least = min(least_count(grams, max_contexts), least or 1 << 62)
         table = grams.where(F.col("n") >= least).toArrow()
         levels.insert(0, ppm.summed(table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()))
     return ArticleModel(vocabulary, total["tokens"], total["types"] or 0, total["ends"], rare_below, frequent, ppm.Contexts(levels))

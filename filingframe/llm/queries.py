@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, neardup, packing, scoring, sharding, tokens
+from . import decontaminate, fingerprints, language, neardup, packing, quality, scoring, sharding, tokens
+from .common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -140,3 +141,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_articles(as_articles(_table(spark, sf_dir, "documents"))).select(
         F.col("url").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def quality_scores(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """(url, score), learnt from the labelled documents that are not held out."""
+    measured = written(quality.article_statistics(as_articles(documents)), "article_statistics")
+    labels = _table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("label"))
+    labelled = measured.join(labels, F.col("url") == F.col("doc_id")).select("statistics", "label")
+    return quality.score_quality(measured, quality.fit_quality_model(labelled))
+
+
+@_query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality_scores(spark, _table(spark, sf_dir, "documents"), sf_dir).select(
+        F.col("url").alias("doc_id"), (remainder("url", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )

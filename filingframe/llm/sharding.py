@@ -15,30 +15,32 @@ _KEY = ["digest", "crc", "size", "part"]
 _DIMENSIONS = ["bytes", "tokens", "rows"]
 
 
-def place(units: np.ndarray, residual: np.ndarray, capacity: np.ndarray) -> np.ndarray:
-    """Shard of each unit: largest first, where the dot product with the residual capacity is highest.
+def place(units: np.ndarray, residual: np.ndarray, capacity: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Shard of each unit: most bytes first, where the dot product with the residual capacity is highest.
 
-    All figures are taken as shares of ``capacity`` (that of a whole shard), so no dimension
-    outweighs another. ``residual`` is used up; of equal products the first shard is taken.
+    All figures are taken as shares of ``capacity`` (that of a whole shard); ``weights`` say how much
+    a dimension counts in the product. ``residual`` is used up; of equal products the first shard is taken.
     """
     need = units / capacity
     left = residual / capacity
     shards = np.empty(len(units), np.int32)
-    for i in np.argsort(-need.sum(axis=1), kind="stable"):
-        shard = int((left @ need[i]).argmax())
+    for i in np.argsort(-need[:, 0], kind="stable"):
+        shard = int((left @ (need[i] * weights)).argmax())
         left[shard] -= need[i]
         shards[i] = shard
     return shards
 
 
 def shard_articles(
-    articles: DataFrame, *, url: str = "url", content: str = "content", shards: int = 24, row_bytes: int = 8, task_units: int = 50_000, split: float = 0.25
+    articles: DataFrame, *, url: str = "url", content: str = "content", shards: int = 24, row_bytes: int = 8, task_units: int = 50_000, split: float = 0.25,
+    weights: tuple[float, float, float] = (1.0, 0.3, 0.03),
 ) -> DataFrame:
     """(url, size, tokens, text_crc32, shard, slot): articles dealt to shards of near equal size.
 
     ``size`` is the UTF-8 length plus ``row_bytes`` and ``tokens`` counts words. Equal texts form a
     group that is placed as one unit; a group larger than ``split`` of a shard in any dimension is
-    dealt into parts of that size first. Units above 1/1024 of a shard are placed in one step (there
+    dealt into parts of that size first. ``weights`` of bytes, tokens and rows favour bytes, as a
+    small unit weighs most as a row. Units above 1/1024 of a shard are placed in one step (there
     are at most 3 x 1024 x ``shards``), the rest in tasks of about ``task_units`` that share out
     what is left of every shard, and a bounded draw of units last, against the loads reached. Only
     loads per shard, 3 numbers each, come to the driver; texts are never shuffled.
@@ -77,7 +79,7 @@ def shard_articles(
         whole = np.maximum(np.array([x or 0 for x in phase.agg(*(F.sum(d) for d in _DIMENSIONS)).first()], float), 1e-9)
 
         schema = ", ".join(f"{k} {t}" for k, t in phase.select(*_KEY, *_DIMENSIONS).dtypes) + ", shard int"
-        done = written(phase.groupBy(F.pmod("deal", F.lit(tasks)).alias("task")).applyInArrow(_filling(free, whole, capacity), schema), f"shard_{name}")
+        done = written(phase.groupBy(F.pmod("deal", F.lit(tasks)).alias("task")).applyInArrow(_filling(free, whole, capacity, np.array(weights)), schema), f"shard_{name}")
         free = free.copy()
         for r in done.groupBy("shard").agg(*(F.sum(d).alias(d) for d in _DIMENSIONS)).collect():  # a row per shard
             free[r["shard"]] -= [r[d] for d in _DIMENSIONS]
@@ -87,13 +89,13 @@ def shard_articles(
     return _numbered(out, int(total[2]), shards, task_units).select("url", "size", "tokens", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
-def _filling(free: np.ndarray, whole: np.ndarray, capacity: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+def _filling(free: np.ndarray, whole: np.ndarray, capacity: np.ndarray, weights: np.ndarray) -> Callable[[pa.Table], pa.Table]:
     """Places the units of one task, which may use its share of the capacity that is ``free``."""
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([(k, "ascending") for k in _KEY])
         own = np.stack([table[d].to_numpy().astype(float) for d in _DIMENSIONS], axis=1)
-        chosen = place(own, free * (own.sum(axis=0) / whole), capacity)
+        chosen = place(own, free * (own.sum(axis=0) / whole), capacity, weights)
         return table.select([*_KEY, *_DIMENSIONS]).append_column("shard", pa.array(chosen))
 
     return fill

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, neardup, packing, quality, scoring, sharding, tokens
+from . import decontaminate, extraction, fingerprints, language, neardup, packing, quality, scoring, sharding, tokens
 from .common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, _table(spark, sf_dir, "documents"), sf_dir).select(
         F.col("url").alias("doc_id"), (remainder("url", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@_query
+def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    network = extraction.fit_labeller(pages)
+    return extraction.extract_content(pages, network, keys=("page_id", "url")).withColumnRenamed("content", "text")

@@ -87,14 +87,15 @@ def fit_article_model(
     table = vocabulary.where(F.col("n") >= rare_below).toArrow()
     frequent = {w: math.log10(n + 0.1) for w, n in zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True)}
 
-    levels, grams = [], counted.where(F.col("word").isNull()).select("gram", "n")
-    least = None
-    for j in range(order, -1, -1):
-        if j < order:
-            grams = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        least = min(least_count(grams, max_contexts), least or 1 << 62)
-        table = grams.where(F.col("n") >= least).toArrow()
-        levels.insert(0, ppm.summed(table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()))
+    grams = {order: counted.where(F.col("word").isNull()).select("gram", "n")}
+    for j in range(order - 1, -1, -1):
+        upper = grams[j + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        grams[j] = written(upper, "byte_contexts")
+    levels, least = [], 1
+    for j in range(order + 1):  # a pair that stays has its shorter contexts stay too
+        least = max(least, least_count(grams[j], max_contexts))
+        table = grams[j].where(F.col("n") >= least).toArrow()
+        levels.append(ppm.summed(table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()))
     return ArticleModel(vocabulary, total["tokens"], total["types"] or 0, total["ends"], rare_below, frequent, ppm.Contexts(levels))
 
 
@@ -136,8 +137,6 @@ def score_articles(articles: DataFrame, model: ArticleModel, *, url: str = "url"
 
     rare_type = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("tf", T.LongType())]))
     fields = [("n_tokens", T.LongType()), ("n_frequent", T.LongType()), ("logs", T.DoubleType()), ("score", T.DoubleType()), ("rare", rare_type)]
-    if not len(model.contexts.count[0]):
-        model.contexts.order = 0
     once = rows.mapInArrow(score, arrow_schema(rows, ["url"], *fields)).withColumn("row", F.monotonically_increasing_id())
     once = written(once, "article_scores")
     rare = once.where(F.size("rare") > 0).select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
@@ -150,7 +151,7 @@ adj AS (SELECT issuer, entry_date, ord, k%2 part, series,
     CASE WHEN k%5=0 THEN NULL WHEN k%5=1 THEN 0 ELSE face END unconverted
   FROM disc WHERE kind='purchase')"""
 
-_KEY = "CASE WHEN category IN ('CB','BW','SO') THEN category||'_'||series ELSE 'PREF_'||substring(replace(kind,' ','_'),1,40) END"
+_KEY = "CASE WHEN category IN ('CB','BW','SO') THEN category||'_'||series ELSE 'PREF_'||replace(kind,' ','_') END"
 V4_SQL = NOTES_SQL + f""",
 base AS (SELECT issuer, key instrument_key, first_ord, category, series, kind, face_value,
     CASE WHEN category='SO' THEN 0 ELSE coalesce(remaining_balance, face_value) END remaining, conversion_price,
@@ -379,8 +380,6 @@ def v8(spark, sf):
 @query("o4_instrument_output_order", _q(V8_SQL) + " SELECT issuer, row_number() OVER (PARTITION BY issuer ORDER BY category_label, instrument_key) pos, instrument_key, category_label FROM v8")
 def o4(spark, sf):
     """Positions in display order (an issuer's live instruments are few)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("issuer").orderBy("category_label", "instrument_key")
     return O.order_instruments(_table(spark, sf)).select(
         "issuer", F.row_number().over(w).cast("bigint").alias("pos"), "instrument_key", "category_label"
@@ -611,15 +610,15 @@ _PH = "CASE WHEN kind='click' THEN 1 ELSE 2 END"
 
 @query(
     "o3_event_apply_order",
-    DISC + f" SELECT issuer, ord, row_number() OVER (PARTITION BY issuer ORDER BY {_PH}, entry_date, ord) pos FROM disc WHERE kind IN ('click','purchase') QUALIFY pos<=50",
+    DISC + f" SELECT issuer, ord, row_number() OVER (PARTITION BY issuer ORDER BY {_PH}, entry_date, ord) pos FROM disc WHERE kind IN ('click','purchase')",
 )
 def o3(spark, sf):
-    """Positions of the first fifty records per issuer in the order they apply."""
+    """Positions of the records of an issuer in the order they apply."""
     d = X.disc(spark, sf).where("kind in ('click', 'purchase')")
     phase = F.when(F.col("kind") == "click", 1).otherwise(2)
     key = O.event_order(phase, F.col("entry_date"), F.col("ord"))
-    top = O.top_n_per_key(d.withColumn("_k", key), 50, keys=["issuer"], order=[F.col("_k")], rank="pos")
-    return top.select("issuer", "ord", F.col("pos").cast("bigint").alias("pos"))
+    pos = F.row_number().over(Window.partitionBy("issuer").orderBy(key))
+    return d.select("issuer", "ord", pos.cast("bigint").alias("pos"))
 
 
 @query("w5_latest_per_issuer", DISC + " SELECT issuer, CAST(ord AS VARCHAR) rcept_no, strftime(entry_date,'%Y-%m-%d') rcept_dt, kind FROM disc QUALIFY row_number() OVER (PARTITION BY issuer ORDER BY entry_date DESC, CAST(ord AS VARCHAR) DESC)=1")

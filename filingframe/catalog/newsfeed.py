@@ -209,11 +209,11 @@ _ENTRY = "'- ['||strftime(\"date\",'%Y-%m-%d')||'] '||title||CASE WHEN coalesce(
 
 @query(
     "w9_char_budget",
-    NEWS + f", e AS (SELECT issuer, ord, \"date\" d, length({_ENTRY}) n FROM news) SELECT issuer, ord, n FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY issuer ORDER BY d, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) b FROM e) x WHERE b<15000",
+    NEWS + f", e AS (SELECT issuer, ord, \"date\" d, length({_ENTRY}) n FROM news WHERE title<>'') SELECT issuer, ord, n FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY issuer ORDER BY d, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) b FROM e) x WHERE b<15000",
 )
 def w9(spark, sf):
-    e = X.news(spark, sf).select("issuer", "date", "ord", W.news_entry().alias("entry"))
-    kept = W.char_budget(e, keys=["issuer"], order=["date", "ord"], text="entry", slot=F.col("date"))
+    e = X.news(spark, sf).where("title <> ''").select("issuer", "date", "ord", W.news_entry(max_body=800).alias("entry"))
+    kept = W.char_budget(e, keys=["issuer"], order=["date", "ord"], text="entry", slot=F.col("date"), max_total=15_000)
     return kept.select("issuer", "ord", F.length("entry").cast("bigint").alias("n"))
 
 
@@ -299,18 +299,16 @@ def s13(spark, sf):
 
 @query(
     "h19_news_listing_rows",
-    NEWS + ", i AS (SELECT issuer, ord, row_number() OVER (PARTITION BY issuer ORDER BY ord)-1 pos FROM news) SELECT issuer, CAST(pos AS INTEGER) pos, strftime(DATE '2024-01-01'+CAST(ord%60 AS INTEGER),'%Y-%m-%d') AS day, 'T'||ord title, CASE WHEN ord%2=0 THEN 'https://n.example/n/'||ord ELSE 'http://x/'||ord END url FROM i WHERE pos<30",
+    NEWS + ", i AS (SELECT issuer, ord, row_number() OVER (PARTITION BY issuer ORDER BY ord)-1 pos FROM news) SELECT issuer, CAST(pos AS INTEGER) pos, strftime(DATE '2024-01-01'+CAST(ord%60 AS INTEGER),'%Y-%m-%d') AS day, 'T'||ord title, CASE WHEN ord%2=0 THEN 'https://n.example/n/'||ord ELSE 'http://x/'||ord END url FROM i",
 )
 def h19(spark, sf):
     o = F.col("ord")
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (o % 60).cast("int")), "yyyy.MM.dd")
     href = F.when(o % 2 == 0, cat("/n/", o)).otherwise(cat("http://x/", o))
     item = cat('<li><h4 class="titles"><a href="', href, '">T<b>', o, "</b></a></h4><em>", day, " 10:00</em></li>")
-    # a listing page shows at most thirty entries of an issuer
-    top = O.top_n_per_key(X.news(spark, sf).select("issuer", "ord", item.alias("item")), 30, keys=["issuer"], order=[o])
     part = F.struct("ord", "item")
-    pages = top.groupBy("issuer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["item"]), "\n").alias("html"))
-    rows = NW.listing_rows(pages, keys=["issuer"], base="https://n.example", source="wire", limit=30)
+    pages = X.news(spark, sf).select("issuer", "ord", item.alias("item")).groupBy("issuer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["item"]), "\n").alias("html"))
+    rows = NW.listing_rows(pages, keys=["issuer"], base="https://n.example", source="wire")
     return rows.select("issuer", "pos", F.date_format("date", "yyyy-MM-dd").alias("day"), "title", "url")
 
 

@@ -13,7 +13,7 @@ from ..documents import statements as ST
 from ..functions import text as TX
 from ..operators import aggregates as A
 from ..operators import windows as W
-from ..operators.barrier import pin, spread
+from ..operators.barrier import pin
 from .. import lexicon as lx
 from . import proxies as X
 from .registry import query
@@ -27,7 +27,9 @@ def th(c: str) -> str:
 
 
 def docs(spark, sf, html, *extra):
-    return spread(X.disc(spark, sf)).select("ord", *extra, html.alias("html"))
+    """One page per record; records are dealt by their number, as a page is far heavier to parse than a record to move."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return X.disc(spark, sf).repartition(partitions, "ord").select("ord", *extra, html.alias("html"))
 
 
 def head(text):
@@ -402,7 +404,7 @@ _PIECES = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({_NO
 
 @query(
     "h3_article_body",
-    f"WITH a AS (SELECT page_id, trim(regexp_replace({strip_sql(_ART, chr(10))},'[\\s\\x{{A0}}\\x{{3000}}]*\\n[\\s\\x{{A0}}\\x{{3000}}]*',chr(10),'g'), chr(10)||' ') t, array_to_string({_PIECES}, chr(10)) p FROM pages) SELECT page_id, substring(CASE WHEN length(t)>80 THEN t ELSE p END,1,1500) body FROM a",
+    f"WITH a AS (SELECT page_id, trim(regexp_replace({strip_sql(_ART, chr(10))},'[\\s\\x{{A0}}\\x{{3000}}]*\\n[\\s\\x{{A0}}\\x{{3000}}]*',chr(10),'g'), chr(10)||' ') t, array_to_string({_PIECES}, chr(10)) p FROM pages) SELECT page_id, CASE WHEN length(t)>80 THEN t ELSE p END body FROM a",
 )
 def h3(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", TX.article_body("html").alias("body"))

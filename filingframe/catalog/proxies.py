@@ -317,9 +317,9 @@ NEWS_TAGS = ["", "[속보] ", "[종합]", "【단독】", ""]
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles: issuer, date, title (first line, 60 characters), content, source, url."""
+    """Articles: issuer, date, title (first line), content, source, url."""
     d = table(spark, sf_dir, "documents")
-    first = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60)
+    first = F.split_part("text", F.lit("\n"), F.lit(1))
     n = F.col("doc_id")
     tag = F.element_at(F.array(*(F.lit(t) for t in NEWS_TAGS)), (n % 5 + 1).cast("int"))
     return d.select(
@@ -336,7 +336,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEWS_SQL = """
 news AS (
   SELECT source issuer, doc_id ord, CAST(DATE '2024-01-01' + CAST(doc_id%60 AS INTEGER) AS DATE) AS "date",
-    ['', '[속보] ', '[종합]', '【단독】', ''][doc_id%5+1] || substring(split_part(text, chr(10), 1), 1, 60) title,
+    ['', '[속보] ', '[종합]', '【단독】', ''][doc_id%5+1] || split_part(text, chr(10), 1) title,
     CASE WHEN doc_id%4<>3 THEN text END AS "content", lang,
     'http://n.example/' || CAST(doc_id%700 AS VARCHAR) url
   FROM documents)"""

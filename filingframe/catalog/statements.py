@@ -284,7 +284,7 @@ FROM r LEFT JOIN t p ON p.issuer=r.issuer AND p.fy=r.fy-1 AND p.fq=r.fq WHERE rn
 
 @query("e12_backlog_series", _BACKLOG)
 def e12(spark, sf):
-    return S.backlog_series(_segments(spark, sf))
+    return S.backlog_series(_segments(spark, sf), n=8)
 
 
 _PARTS = """comp AS (SELECT issuer, period, segment AS label, CAST(sum(amount) AS DOUBLE) a FROM seg GROUP BY ALL),
@@ -845,5 +845,5 @@ def e11(spark, sf):
         X.cum(spark, sf),
         S.performance_statements(_performance(spark, sf), measures=MS),
         S.preliminary_statements(_preliminary(spark, sf), measures=MS),
-        measures=MS,
+        measures=MS, n_quarters=8, n_years=2,
     )

@@ -61,7 +61,7 @@ def instrument_key(category: Column, series: Column, kind: Column, receipt: Colu
         F.when(category.isin("CB", "BW", "PERPETUAL"), F.concat(category, F.lit("_"), n))
         .when(category.isin("SO", "STOCK_OPTION"), F.concat(F.lit("SO_"), n))
         .when(category.isin("RIGHTS_ISSUE", "MIXED_ISSUE"), F.concat(F.lit("RIGHTS_"), _text(receipt)))
-        .otherwise(F.concat(F.lit("PREF_"), F.substring(F.regexp_replace(_text(kind), " ", "_"), 1, 40)))
+        .otherwise(F.concat(F.lit("PREF_"), F.regexp_replace(_text(kind), " ", "_")))
     )
 
 

@@ -416,8 +416,8 @@ def _first_caption(t: Column) -> Column:
 
 
 def result_unit(rows: Column, order: Sequence[str], default: str) -> Column:
-    """Unit stated in the first five rows."""
-    captions = F.filter(F.transform(F.slice(rows, 1, 5), joined), lambda t: has(t, "단위"))
+    """Unit of the first row that states one."""
+    captions = F.filter(F.transform(rows, joined), lambda t: has(t, "단위"))
     t = at(captions, 0)
     out = F.lit(default)
     for label in reversed(order):
@@ -479,8 +479,11 @@ def preliminary_records(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
 def forecast_records(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     """Forecast years with period and items, long: (year, item, value)."""
     step = parsed.select(*keys, "heading", at(F.col("texts"), 0).alias("_t"))
-    head = F.flatten(F.slice("_t", 1, 5))
-    years = F.filter(F.transform(head, lambda t: F.trim(t)), lambda t: t.rlike(r"^\d{4}$"))
+    # the years stand in one of the first rows; a page with a longer head is searched row by row
+    in_row = lambda r: F.filter(F.transform(r, lambda t: F.trim(t)), lambda t: t.rlike(r"^\d{4}$"))
+    first = in_row(F.flatten(F.slice("_t", 1, 5)))
+    later = F.get(F.filter(F.transform("_t", in_row), lambda y: F.size(y) > 0), F.lit(0))
+    years = F.when(F.size(first) > 0, first).otherwise(F.coalesce(later, first))
     step = step.select(*keys, "heading", "_t", years.alias("_years"), result_unit(F.col("_t"), ("백만원", "억원", "천원"), "억원").alias("unit"))
 
     def dates(word: str) -> Column:

@@ -81,21 +81,24 @@ def filing_balances(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
 
 
 def filing_price_changes(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """First adjustment of a price-change filing; the head data comes from the other tables."""
+    """Every adjustment of a price-change filing, numbered by ``pos``; the head data comes from the other tables.
+
+    A filing without an adjustment gives one row without prices.
+    """
     pair = lambda t: F.contains(t, F.lit("조정전")) & F.contains(t, F.lit("조정후"))
     share = lambda t: has(t, "전환가능") & has(t, "조정전", "조정후")
-    price_rows = F.flatten(F.transform(F.filter("tables", lambda t: pair(joined(C.row_texts(at(t, 0))))), lambda t: F.slice(C.headed_rows(t), 1, 1)))
-    share_rows = F.flatten(
-        F.transform(
-            F.filter("tables", lambda t: share(joined(C.row_texts(at(t, 0)))) & ~pair(joined(C.row_texts(at(t, 0))))),
-            lambda t: F.slice(C.headed_rows(t), 1, 1),
-        )
-    )
+    rows_of = lambda tables: F.flatten(F.transform(tables, C.headed_rows))
+    price_rows = rows_of(F.filter("tables", lambda t: pair(joined(C.row_texts(at(t, 0))))))
+    share_rows = rows_of(F.filter("tables", lambda t: share(joined(C.row_texts(at(t, 0)))) & ~pair(joined(C.row_texts(at(t, 0))))))
     other = F.filter("tables", lambda t: ~pair(joined(C.row_texts(at(t, 0)))) & ~share(joined(C.row_texts(at(t, 0)))))
-    step = parsed.select(*keys, at(price_rows, 0).alias("_a"), at(share_rows, 0).alias("_s"), C.merge_pairs(other).alias("_p"))
+    step = parsed.select(*keys, price_rows.alias("_prices"), share_rows.alias("_shares"), C.merge_pairs(other).alias("_p"))
+    n = F.greatest(F.size("_prices"), F.size("_shares"), F.lit(1))
+    step = step.select(*keys, "_prices", "_shares", "_p", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
+    step = step.select(*keys, "pos", F.get("_prices", F.col("pos")).alias("_a"), F.get("_shares", F.col("pos")).alias("_s"), "_p")
     a, s, p = F.col("_a"), F.col("_s"), F.col("_p")
     return step.select(
         *keys,
+        "pos",
         K.kv_first(p, "회사명", "발행회사").alias("company"),
         K.kv_first(p, "공시일", "보고일").alias("disclosure_date"),
         _int_or_null(K.kv_first(a, "회차")).alias("series"),

@@ -61,8 +61,8 @@ def payload_rows(pages: DataFrame, *, keys: Sequence[str], body: str = "html", u
     ).where(F.col("date").isNotNull())
 
 
-def feed_rows(feeds: DataFrame, *, keys: Sequence[str], xml: str = "xml", limit: int | None = 50, source: str = "feed") -> DataFrame:
-    """Entries of an RSS feed."""
+def feed_rows(feeds: DataFrame, *, keys: Sequence[str], xml: str = "xml", limit: int | None = None, source: str = "feed") -> DataFrame:
+    """Entries of an RSS feed, the first ``limit`` of each if one is given."""
     blocks = F.regexp_extract_all(xml, F.lit(r"(?is)<item\b[^>]*>(.*?)</item\s*>"), F.lit(1))
     blocks = F.slice(blocks, 1, limit) if limit else blocks
     rows = feeds.select(*keys, F.posexplode(blocks).alias("pos", "_b"))

@@ -24,7 +24,7 @@ from .exchange import at, has
 _BLOCK = r"(?is)(<table\b[^>]*>.*?</table\s*>|<p\b[^>]*>.*?</p\s*>)"
 _TOP = r"^\d+\.\s+\S"
 _SUB = r"^\(\d+\)"
-_CIRCLED = r"^[①②③④⑤⑥⑦⑧⑨⑩]"
+_CIRCLED = r"^[①-⑳㉑-㉟㊱-㊿]"
 
 # --- fixed values: section headings (white space removed) --------------------------------------
 SECTION_HEADINGS = {
@@ -452,12 +452,12 @@ BREAK = "<!-- section break -->"
 _ATTRIBUTES = r'\s+(?:style|class|width|height|align|valign|bgcolor|border|cellpadding|cellspacing|rowspan|colspan)="[^"]*"'
 
 
-def keyword_context(docs: DataFrame, *, keys: Sequence[str], html: str = "html", limit: int = 30_000) -> DataFrame:
+def keyword_context(docs: DataFrame, *, keys: Sequence[str], html: str = "html", limit: int | None = None, reach: int | None = None) -> DataFrame:
     """Passages that mention a dilution keyword, joined with break marks.
 
     A section heading takes its section, a sub-heading its sub-section, a mention in running
-    text the fifteen paragraphs from there; tables with a keyword that no passage covers come
-    with the paragraph before them.
+    text what follows up to the next heading, or ``reach`` paragraphs; tables with a keyword that
+    no passage covers come with the paragraph before them. ``limit`` cuts the result at a break.
     """
     words = "|".join(lx.OVERHANG_KEYWORDS)
     step = note_blocks(docs, keys=keys, html=html)
@@ -471,11 +471,11 @@ def keyword_context(docs: DataFrame, *, keys: Sequence[str], html: str = "html",
     )
     step = step.select(*keys, marked.alias("_m"))
 
-    def reach(m: Column) -> Column:
+    def reaches(m: Column) -> Column:
         nxt = F.filter("_m", lambda q: (q["i"] > m["i"]) & F.when(squeeze(m["text"]).rlike(r"^\d+\."), q["top"]).otherwise(q["top"] | q["sub"]))
         by_heading = F.coalesce(F.array_min(F.transform(nxt, lambda q: q["i"])), F.size("_m"))
         paragraphs = F.filter("_m", lambda q: (q["i"] >= m["i"]) & ~q["is_table"])
-        inline = F.coalesce(F.get(paragraphs, F.lit(15))["i"], F.size("_m"))
+        inline = by_heading if reach is None else F.coalesce(F.get(paragraphs, F.lit(reach))["i"], F.size("_m"))
         heading = squeeze(m["text"]).rlike(r"^\d+\.") | m["text"].rlike(_SUB)
         return F.when(heading, by_heading).otherwise(inline)
 
@@ -485,7 +485,7 @@ def keyword_context(docs: DataFrame, *, keys: Sequence[str], html: str = "html",
         hits,
         start,
         lambda acc, m: F.when(F.exists(acc, lambda r: (r["a"] <= m["i"]) & (m["i"] < r["b"])), acc).otherwise(
-            F.concat(acc, F.array(F.struct(m["i"].alias("a"), reach(m).alias("b"))))
+            F.concat(acc, F.array(F.struct(m["i"].alias("a"), reaches(m).alias("b"))))
         ),
     )
     step = step.withColumn("_r", ranges)
@@ -501,4 +501,4 @@ def keyword_context(docs: DataFrame, *, keys: Sequence[str], html: str = "html",
 
     parts = F.concat(passages, F.transform(loose, with_header))
     text = F.regexp_replace(F.array_join(parts, f"\n\n{BREAK}\n\n"), _ATTRIBUTES, "")
-    return step.select(*keys, F.size(parts).alias("n_passages"), clip_at_break(text, limit, BREAK).alias("context"))
+    return step.select(*keys, F.size(parts).alias("n_passages"), (text if limit is None else clip_at_break(text, limit, BREAK)).alias("context"))

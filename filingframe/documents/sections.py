@@ -92,16 +92,20 @@ def analysis_sections(notes: DataFrame, *, keys: Sequence[str], text: str = "tex
     return step.withColumns(risks).select(*keys, "investment_ideas", *_RISKS, "conclusion", "value_driver", "competitors")
 
 
-def backlog_subsection(c: Column | str, limit: int = 4000) -> Column:
-    """Order-backlog part of a sales section, with fallbacks to the table caption and the end."""
+def backlog_subsection(c: Column | str, limit: int | None = None) -> Column:
+    """Order-backlog part of a sales section, else from the table caption on, else the section.
+
+    ``limit`` keeps so many characters from the start of the part, or from the end of the section.
+    """
     t = F.col(c) if isinstance(c, str) else c
     tries = [
         F.nullif(F.regexp_extract(t, rf"(?s)({p}.*)", 1), F.lit("")) for p in (r"다\.\s*수주", r"다\)\s*수주", r"[Cc]\.\s*수주")
     ]
     caption = F.nullif(F.regexp_extract(t, r"(?s)(.{0,500}수주잔[고량].*)", 1), F.lit(""))
-    return F.coalesce(
-        *(F.substring(x, 1, limit) for x in tries), F.substring(caption, 1, limit + 500), F.when(F.length(t) > limit, F.right(t, F.lit(limit))).otherwise(t)
-    )
+    if limit is None:
+        return F.coalesce(*tries, caption, t)
+    end = F.when(F.length(t) > limit, F.right(t, F.lit(limit))).otherwise(t)
+    return F.coalesce(*(F.substring(x, 1, limit) for x in tries), F.substring(caption, 1, limit + 500), end)
 
 
 def strip_summary(c: Column | str) -> Column:

@@ -23,7 +23,7 @@ def header_type(t: Column) -> Column:
 
 
 def content_type(t: Column) -> Column:
-    """Statement recognised by its first rows."""
+    """Statement recognised by its rows."""
     return (
         F.when(has(t, "자산총계") | (has(t, "자산") & has(t, "유동자산")), F.lit("BS"))
         .when(has(t, "매출액", "영업수익"), F.lit("IS"))
@@ -46,7 +46,7 @@ def statement_tables(docs: DataFrame, *, keys: Sequence[str], html: str = "html"
             "_t",
             lambda t: F.struct(
                 whole(t).alias("text"), header_type(whole(t)).alias("head"),
-                content_type(whole(F.slice(t, 1, 8))).alias("content"), has(whole(t), "USD", "달러").alias("foreign"),
+                F.coalesce(content_type(whole(F.slice(t, 1, 8))), content_type(whole(t))).alias("content"), has(whole(t), "USD", "달러").alias("foreign"),
             ),
         ),
     )

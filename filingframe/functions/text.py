@@ -59,15 +59,15 @@ def _first(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(clean_text(strip_tags(F.regexp_extract(c, pattern, group))), F.lit(""))
 
 
-def page_title(html: Column | str) -> Column:
-    """``<title>``, else h1..h3, else an element with ``title`` in its class, else the text start."""
+def page_title(html: Column | str, limit: int | None = None) -> Column:
+    """``<title>``, else h1..h3, else an element with ``title`` in its class, else the text (its first ``limit`` characters)."""
     h = _col(html)
     body = F.nullif(F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*)", 1), F.lit(""))
     return F.coalesce(
         _first(h, r"(?is)<title\b[^>]*>(.*?)</title\s*>"),
         *(_first(h, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>") for tag in ("h1", "h2", "h3")),
         _first(h, r"(?is)<(\w+)\b[^>]*class\s*=\s*[\"'][^\"']*title[^\"']*[\"'][^>]*>(.*?)</\1\s*>", 2),
-        F.substring(html_to_text(body), 1, 200),
+        html_to_text(body) if limit is None else F.substring(html_to_text(body), 1, limit),
         F.lit(""),
     )
 
@@ -98,11 +98,11 @@ def text_lines(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(strip_tags(c, "\n"), r"(?U)\s*\n\s*", "\n"), F.lit("\n "))
 
 
-def article_body(html: Column | str, limit: int = 1500) -> Column:
+def article_body(html: Column | str, limit: int | None = None) -> Column:
     """Main text of a news page.
 
     The first container with more than 80 characters wins, else all paragraphs of more than
-    30 characters. A container ends at the first closing tag of its own kind.
+    30 characters. A container ends at the first closing tag of its own kind. ``limit`` cuts the text.
     """
     h = F.regexp_replace(_col(html), rf"(?is)<({_ARTICLE_NOISE})\b.*?</\1\s*>", "")
     h = F.regexp_replace(h, r"(?s)<!--.*?-->", "")
@@ -122,7 +122,8 @@ def article_body(html: Column | str, limit: int = 1500) -> Column:
     )
     joined = F.array_join(F.filter(paragraphs, lambda p: F.length(p) > 30), "\n")
     found = [container(kind, name) for kind, name in _ARTICLE_CONTAINERS]
-    return F.substring(F.coalesce(*found, joined), 1, limit)
+    body = F.coalesce(*found, joined)
+    return body if limit is None else F.substring(body, 1, limit)
 
 
 def clip(c: Column | str, n: int, mark: str = "") -> Column:

@@ -16,13 +16,3 @@ def pin(df: DataFrame) -> DataFrame:
     """
     row = "_pinned"
     return df.withColumn(row, F.monotonically_increasing_id()).where(F.col(row) >= 0).drop(row)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input comes in fewer partitions than there are cores.
-
-    For per-row work that is far heavier than moving a row, such as parsing pages. A large
-    input has more partitions than cores and passes unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -43,7 +43,7 @@ def _has(c: Column, *words: str) -> Column:
 def classify_heading(heading: Column | str, sample: Column | None = None) -> Column:
     """Route an exchange disclosure by its heading, else by the rows of its first table.
 
-    ``sample`` is the text of each of the first five rows.
+    ``sample`` is the text of each row, in order; the first row that says something decides.
     """
     h = _col(heading)
     by_heading = (
@@ -66,7 +66,7 @@ def classify_heading(heading: Column | str, sample: Column | None = None) -> Col
             .when(_has(t, "매출액") & _has(t, "손익"), F.lit("sales"))
         )
 
-    hits = F.filter(F.transform(F.slice(sample, 1, 5), by_row), lambda x: x.isNotNull())
+    hits = F.filter(F.transform(sample, by_row), lambda x: x.isNotNull())
     return F.coalesce(by_heading, F.get(hits, F.lit(0)), F.lit("unknown"))
 
 

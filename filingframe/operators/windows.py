@@ -106,17 +106,26 @@ def running_sum(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], val
     return local.join(offsets, [*keys, "_slot"]).select(*df.columns, (F.col("_offset") + F.col("_local")).alias(out))
 
 
-def news_entry(day: str = "date", title: str = "title", content: str = "content", max_body: int = 800) -> Column:
-    """One formatted article: headline, then the body clipped with dots."""
+def news_entry(day: str = "date", title: str = "title", content: str = "content", max_body: int | None = None) -> Column:
+    """One formatted article: headline, then the body, clipped with dots after ``max_body`` characters."""
     body = F.col(content)
-    cut = F.concat(F.substring(body, 1, max_body), F.when(F.length(body) > max_body, "...").otherwise(""))
+    cut = body
+    if max_body is not None:
+        cut = F.concat(F.substring(body, 1, max_body), F.when(F.length(body) > max_body, "...").otherwise(""))
     head = F.concat(F.lit("- ["), F.date_format(day, "yyyy-MM-dd"), F.lit("] "), F.col(title))
     return F.concat(head, F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit("\n  "), cut)).otherwise(""))
 
 
-def char_budget(entries: DataFrame, *, keys: Sequence[str], order: Sequence[str], text: str, slot: Column, max_total: int = 15_000) -> DataFrame:
-    """Entries while the length of all earlier ones is below the budget."""
-    sized = entries.withColumn("_len", F.length(text))
+def char_budget(entries: DataFrame, *, keys: Sequence[str], order: Sequence[str], text: str, slot: Column, max_total: int, least: int = 15) -> DataFrame:
+    """Entries while the length of all earlier ones is below the budget.
+
+    Entries shorter than ``least`` characters (a headline mark and a date have more) count that
+    much, so no more than ``max_total / least`` + 1 entries of a key can start inside the budget:
+    a group limit drops the others in every task before lengths are added up.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    few = entries.withColumn("_rank", rank).where(F.col("_rank") <= max_total // least + 1).drop("_rank")
+    sized = few.withColumn("_len", F.greatest(F.length(text), F.lit(least)))
     run = running_sum(sized, keys=keys, order=order, value="_len", slot=slot, out="_before")
     return run.where(F.col("_before") < max_total).drop("_before", "_len")
 

@@ -157,8 +157,8 @@ def statement_text(lines: DataFrame, *, keys: Sequence[str], account: str = "acc
     )
 
 
-def backlog_series(segments: DataFrame, *, issuer: str = "issuer", period: str = "period", segment: str = "segment", amount: str = "amount", order: str = "ord", n: int = 8) -> DataFrame:
-    """Order backlog per period: unified names, total, breakdown, exact year-over-year, newest n."""
+def backlog_series(segments: DataFrame, *, issuer: str = "issuer", period: str = "period", segment: str = "segment", amount: str = "amount", order: str = "ord", n: int | None = None) -> DataFrame:
+    """Order backlog per period: unified names, total, breakdown, exact year-over-year; the newest ``n`` if given."""
     named = J.canonical_names(
         segments, keys=[issuer], groups=[period], name=segment, order=order, amounts=[amount]
     )
@@ -166,7 +166,7 @@ def backlog_series(segments: DataFrame, *, issuer: str = "issuer", period: str =
     p = D.parse_period(period)
     dated = totals.select("*", p["fy"].alias("_fy"), p["fq"].alias("_fq"))
     both = J.prior_period_join(dated, keys=[issuer, "_fq"], fy="_fy", measures=["total"])
-    top = O.top_n_per_key(both, n, keys=[issuer], order=[F.desc("_fy"), F.desc("_fq")])
+    top = both if n is None else O.top_n_per_key(both, n, keys=[issuer], order=[F.desc("_fy"), F.desc("_fq")])
     return top.select(
         issuer, period, "total", "breakdown", M.plain_yoy(F.col("total"), F.col("prev_total")).alias("yoy")
     )
@@ -231,12 +231,12 @@ def full_year_results(results: DataFrame, *, start: str = "cum_start", end: str
 
 def reconcile_statements(
     quarters: DataFrame, annual: DataFrame, report_ytd: DataFrame, performance: DataFrame, preliminary: DataFrame,
-    *, report_quarters: DataFrame | None = None, measures: Sequence[str] = MEASURES, n_quarters: int = 8, n_years: int = 2,
+    *, report_quarters: DataFrame | None = None, measures: Sequence[str] = MEASURES, n_quarters: int | None = None, n_years: int | None = None,
 ) -> DataFrame:
     """The quarterly table of a report.
 
     Notices, preliminary results, report gap fill, year-to-date differences, Q4 from the year,
-    labels, empty rows out, newest n quarters, latest calendar years. Everything up to the
+    labels, empty rows out; the newest ``n_quarters`` and latest ``n_years`` calendar years if given. Everything up to the
     labels happens inside one row per (issuer, fy), after a single shuffle of the united
     sources. Period is the sort key throughout, never list position.
     """
@@ -259,5 +259,6 @@ def reconcile_statements(
     wide = Y.fill_q4(wide, measures)
     q = W.yoy_positional(Y.quarter_rows(wide, measures), measures=measures)
     q = q.where(~P.is_empty_statement(measures))
-    q = O.top_n_per_key(q, n_quarters, keys=["issuer"], order=[F.desc("fy"), F.desc("fq")])
-    return P.display_years(q, years=n_years)
+    if n_quarters is not None:
+        q = O.top_n_per_key(q, n_quarters, keys=["issuer"], order=[F.desc("fy"), F.desc("fq")])
+    return q if n_years is None else P.display_years(q, years=n_years)

@@ -28,8 +28,16 @@ def code_map_rows(docs: DataFrame, value: str = "value") -> DataFrame:
     return entries.select(pad_code(F.col("code")).alias("code"), F.trim("name").alias("name"))
 
 
+def named_encoding(raw: bytes) -> str | None:
+    """Encoding a page says it has."""
+    text = raw.lower()
+    if b"euc-kr" in text or b"ks_c_5601" in text or b"cp949" in text:
+        return "cp949"
+    return "utf-8" if b"utf-8" in text else None
+
+
 def decode_korean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bytes -> text: the encoding named in the first 2048 bytes, else UTF-8 if clean, else EUC-KR.
+    """Bytes -> text: the encoding named in the head, else UTF-8 if clean, else one named anywhere, else EUC-KR.
 
     Bad bytes become replacement characters.
     """
@@ -37,17 +45,13 @@ def decode_korean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts, names = [], []
         for blob in batch["content"]:
             raw = bytes(blob or b"")
-            head = raw[:2048].lower()
-            if b"euc-kr" in head or b"ks_c_5601" in head or b"cp949" in head:
-                name = "cp949"
-            elif b"utf-8" in head:
-                name = "utf-8"
-            else:
+            name = named_encoding(raw[:2048])
+            if name is None:
                 try:
                     raw.decode("utf-8")
                     name = "utf-8"
                 except UnicodeDecodeError:
-                    name = "cp949"
+                    name = named_encoding(raw) or "cp949"
             texts.append(raw.decode(name, errors="replace"))
             names.append(name)
         yield batch.drop(columns=["content"]).assign(text=texts, encoding=names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,22 +74,22 @@ def containment_pairs(titles: DataFrame, *, block: Sequence[str], order: str, no
     its ``min_chars``-grams does, so it is looked up under its rarest gram alone. Titles are
     distinct within a block; grams are counted before the join, which keeps a phrase shared by
     a third of all titles out of the candidates unless the title consists of nothing else.
+    Hashes of grams travel, not titles; the titles of the candidates are compared at the end.
     """
     block = list(block)
     t = titles.select(*block, order, norm).where(F.length(norm) >= min_chars)
     starts = F.sequence(F.lit(1), F.length(norm) - min_chars + 1)
-    gram_list = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(norm), i, F.lit(min_chars))))
-    grams = t.select(*block, order, norm, F.explode(gram_list).alias("_g"))
+    gram_list = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(norm), i, F.lit(min_chars)))))
+    grams = t.select(*block, order, F.length(norm).alias("_len"), F.explode(gram_list).alias("_g"))
     frequency = grams.groupBy(*block, "_g").agg(F.count("*").alias("_n"))
-    rarest = (
-        grams.join(frequency, [*block, "_g"])
-        .groupBy(*block, order, norm)
-        .agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
-    )
-    short = rarest.select(*block, "_g", F.col(order).alias("short"), F.col(norm).alias("_s"))
-    long = grams.select(*block, "_g", F.col(order).alias("long"), F.col(norm).alias("_l"))
-    inside = (F.col("short") != F.col("long")) & F.contains(F.col("_l"), F.col("_s"))
-    return short.join(long, [*block, "_g"]).where(inside).select(*block, "short", "long")
+    rarest = grams.join(frequency, [*block, "_g"]).groupBy(*block, order, "_len").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
+    short = rarest.select(*block, "_g", F.col(order).alias("short"), F.col("_len").alias("_short_len"))
+    long = grams.select(*block, "_g", F.col(order).alias("long"), F.col("_len").alias("_long_len"))
+    fits = (F.col("short") != F.col("long")) & (F.col("_short_len") <= F.col("_long_len"))
+    candidates = short.join(long, [*block, "_g"]).where(fits).select(*block, "short", "long")
+    named = lambda role, text: t.select(*block, F.col(order).alias(role), F.col(norm).alias(text))
+    both = candidates.join(named("short", "_s"), [*block, "short"]).join(named("long", "_l"), [*block, "long"])
+    return both.where(F.contains(F.col("_l"), F.col("_s"))).select(*block, "short", "long")
 
 
 def fallback_source(primary: DataFrame, secondary: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -134,39 +134,47 @@ def canonical_names(df: DataFrame, *, keys: Sequence[str], name: str, order: str
     )
 
 
-def resolve_greedy(pairs: DataFrame, *, block: Sequence[str], checkpoint=None, max_rounds: int = 200) -> DataFrame:
+def resolve_greedy(pairs: DataFrame, *, block: Sequence[str], save: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Titles dropped by the greedy rule "drop what overlaps an earlier kept title".
 
-    Non-transitive: whether a title stays depends on earlier decisions. Each round settles all
-    titles at once: a title without an undecided earlier neighbour is kept, and the later
-    neighbours of kept titles are dropped. Only pair rows move, and every round removes the
-    pairs of settled titles, so the work shrinks.
+    Non-transitive: whether a title stays depends on earlier decisions. A title is dropped if one
+    of its conditions holds; at first these are "an earlier neighbour is kept". Each round settles
+    the titles whose conditions are all known. A title left with a single condition is that
+    condition reversed, so the titles that wait for it take it over, reversed once more: a chain of
+    any length shrinks by half in a round. All titles are settled at once and only conditions move.
     """
     block = list(block)
-    edges = pairs.select(
-        *block, F.least("short", "long").alias("early"), F.greatest("short", "long").alias("late")
-    ).distinct()
-    dropped = None
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
-        waits = edges.select(*block, F.col("late").alias("early")).distinct()
-        kept = edges.select(*block, "early").distinct().join(waits, [*block, "early"], "left_anti")
-        gone = edges.join(kept, [*block, "early"], "left_semi").select(*block, "late").distinct()
-        if checkpoint is not None:
-            gone = checkpoint(gone)
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        # a dropped title neither blocks nor needs a decision any more; kept ones are settled
-        edges = edges.join(gone, [*block, "late"], "left_anti").join(
-            gone.withColumnRenamed("late", "early"), [*block, "early"], "left_anti"
+    conditions = save(pairs.select(
+        *block, F.greatest("short", "long").alias("late"), F.least("short", "long").alias("early"), F.lit(True).alias("if_kept")
+    ).distinct())
+    known = conditions.select(*block, F.col("early").alias("title")).distinct().join(
+        conditions.select(*block, F.col("late").alias("title")), [*block, "title"], "left_anti"
+    ).withColumn("kept", F.lit(True))
+    dropped = conditions.where(F.lit(False)).select(*block, "late")
+    while not conditions.isEmpty():
+        seen = conditions.join(known.withColumnRenamed("title", "early"), [*block, "early"], "left")
+        holds = F.col("kept") == F.col("if_kept")  # null while the earlier title is not settled
+        open_early = F.when(F.col("kept").isNull(), F.col("early"))
+        # kept and not kept of the same title: one of the two holds
+        both_ways = F.count(open_early) > F.count_distinct(open_early)
+        titles = save(seen.groupBy(*block, "late").agg(
+            F.coalesce(F.max(holds), F.lit(False)).alias("sure"), F.count(open_early).alias("n_open"), both_ways.alias("both_ways"),
+            F.max(F.when(F.col("kept").isNull(), F.struct("early", "if_kept"))).alias("only"),
+        ))
+        gone = titles.where(F.col("sure") | F.col("both_ways")).select(*block, "late")
+        dropped = dropped.unionByName(gone)
+        settled = F.col("sure") | F.col("both_ways") | (F.col("n_open") == 0)
+        known = titles.where(settled).select(*block, F.col("late").alias("title"), (~(F.col("sure") | F.col("both_ways"))).alias("kept"))
+        waiting = titles.where(~settled).select(*block, "late")
+        single = titles.where(~settled & (F.col("n_open") == 1)).select(
+            *block, F.col("late").alias("early"), F.col("only.early").alias("_early"), F.col("only.if_kept").alias("_if_kept")
         )
-        edges = edges.select(*block, "early", "late")
-        if checkpoint is not None:
-            edges = checkpoint(edges)
-    else:
-        raise RuntimeError("titles still undecided after the last round")
-    if dropped is None:
-        return edges.select(*block, "late")
+        rest = seen.where(F.col("kept").isNull()).select(*block, "late", "early", "if_kept").join(waiting, [*block, "late"], "left_semi")
+        moved = rest.join(single, [*block, "early"], "left")
+        conditions = save(moved.select(
+            *block, "late", F.coalesce("_early", "early").alias("early"),
+            F.when(F.col("_early").isNull(), F.col("if_kept")).otherwise(F.col("if_kept") != F.col("_if_kept")).alias("if_kept"),
+        ).distinct())
     return dropped
 
 
@@ -186,7 +194,7 @@ def containment_dedup(news: DataFrame, *, block: Sequence[str], order: str, titl
     )
     first = cut_lineage(first)
     pairs = cut_lineage(containment_pairs(first, block=block, order=order, norm="_norm", min_chars=min_chars))
-    gone = resolve_greedy(pairs, block=block, checkpoint=cut_lineage)
+    gone = resolve_greedy(pairs, block=block)
     kept = first.join(gone.withColumnRenamed("late", order), [*block, order], "left_anti")
     keep_keys = kept.select(*block, order).unionByName(
         marked.where(~long_enough).select(*block, order)

@@ -44,9 +44,12 @@ def test_containment_dedup(spark, seed):
             t = "".join(rnd.choice(words) for _ in range(rnd.randint(0, 4)))
             rows.append((block, i, rnd.choice(["", "[속보] ", "【단독】"]) + t))
     rows += [("c", i, "주요사항보고서공시" + "x" * i) for i in range(40)]  # one long chain of nested titles
+    pieces = [f"{i:08d}" for i in range(501)]
+    for i in range(500):  # every title overlaps the ones before and after it only
+        rows += [("z", 2 * i, pieces[i]), ("z", 2 * i + 1, pieces[i] + "-" + pieces[i + 1])]
     df = spark.createDataFrame(rows, "block string, ord bigint, title string").repartition(5)
     got = {(r.block, r.ord) for r in J.containment_dedup(df, block=["block"], order="ord", title="title").collect()}
-    want = {(b, o) for b in "abc" for o in kept_titles([(o, t) for bb, o, t in rows if bb == b])}
+    want = {(b, o) for b in "abcz" for o in kept_titles([(o, t) for bb, o, t in rows if bb == b])}
     assert got == want
 
 

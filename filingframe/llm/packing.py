@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +18,19 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, read_articles, small_batches, utf8, written
 
-# Characters whose lower case, class and normal form are the same to the tokenizer and to Python.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
-_CACHE = 300_000  # words a task remembers
+# Bytes of the characters U+0020-U+007E, U+00A0-U+017F, tab and line ends. Their class, lower case and
+# normal form are the same to the tokenizer and to Python, but for those of _OTHER.
+_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xC6)])
+_OTHER = re.compile(b"\xc2[\x80-\xa0]|\xc4\xb0")
+_CACHE = 1_000_000  # words a task remembers
 
 
 class Encoder:
     """Token ids as little-endian unsigned 32-bit integers, ``end`` behind each text.
 
-    A word tokenizer cuts a text into words first and encodes each by itself, so a word met before
-    need not be encoded again. Texts with other characters than Latin ones, or with what could be a
-    special string, are encoded whole by the library.
+    No token of a word tokenizer reaches over white space, so what stands between white space is
+    encoded by itself, and need not be encoded again when it comes back. Texts with other than
+    Latin characters, or with what could be a special string, are encoded whole by the library.
     """
 
     def __init__(self, path: str, end: int):
@@ -40,44 +43,71 @@ class Encoder:
         self.end = np.uint32(end).tobytes()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.suffix = spec["model"].get("end_of_word_suffix")
+        suffix = spec["model"].get("end_of_word_suffix")
         cut = next((p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.words = regex.compile(cut["pattern"]["Regex"]) if self.suffix and cut and cut["invert"] and kinds == ["NFC", "Replace", "Lowercase"] else None
-        self.special = [t["content"].lower() for t in spec["added_tokens"]]
+        self.words = regex.compile(cut["pattern"]["Regex"]) if suffix and cut and cut["invert"] and kinds == ["NFC", "Replace", "Lowercase"] else None
+        self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
+        self.cache: dict[str, bytes] = {}
         if self.words:
             vocabulary = spec["model"]["vocab"]
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.last[[i for t, i in vocabulary.items() if t.endswith(self.suffix)]] = True
-            self.cache: dict[str, bytes] = {}
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _learn(self, words: list[str]) -> bool:
-        """Encodes new words in one call and cuts the ids behind each word end."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+    def _cut(self, part: str) -> list[str]:
+        """Words of a part: letters, digits and runs of other characters apart, as the tokenizer cuts."""
+        if part.isalpha():
+            return [part]
+        if part[:-1].isalpha() and part[-1] in ".,!?;:":
+            return [part[:-1], part[-1]]
+        return self.words.findall(part)
+
+    def _learn(self, parts: list[str]) -> bool:
+        """Encodes the new words of new parts in one call and cuts the ids behind each word."""
+        cut = [self._cut(p) for p in parts]
+        new = list({w for words in cut for w in words}.difference(self.cache))
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
         ends = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
-        if len(ends) != len(words) or (len(ids) and ends[-1] != len(ids)):
+        if len(ends) != len(new) or ends[-1:].sum() != len(ids):
             return False
         raw, at = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+        for word, end in zip(new, (4 * ends).tolist(), strict=True):
             self.cache[word] = raw[at:end]
             at = end
+        get = self.cache.__getitem__
+        self.cache.update((p, b"".join(map(get, words))) for p, words in zip(parts, cut, strict=True) if len(words) != 1)
         return True
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _by_parts(self, texts: list[bytes]) -> list[bytes] | None:
+        """Every different part is looked up once; its ids are then laid out at all its places."""
+        parts = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.binary()).cast(pa.string())))
+        coded = parts.values.dictionary_encode()
+        met = coded.dictionary.to_pylist()
+        if len(self.cache) > _CACHE:
+            self.cache = {w: self.cache[w] for w in met if w in self.cache}
+        new = [w for w in met if w not in self.cache]
+        if not all(self._learn(new[i : i + 4096]) for i in range(0, len(new), 4096)):
+            return None
+        known = [self.cache[w] for w in met]
+        table = np.frombuffer(b"".join(known), np.uint32)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, code = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        n = sizes[code]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = table[np.repeat(starts[code] - ends[:-1], n) + np.arange(ends[-1])]
+        at = ends[parts.offsets.to_numpy()]
+        return [ids[a:b].tobytes() + self.end for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         if self.words:
-            if len(self.cache) > _CACHE:
-                self.cache.clear()
-            cut = {i: self.words.findall(t.lower()) for i, t in enumerate(texts) if _PLAIN.fullmatch(t) and not any(s in t.lower() for s in self.special)}
-            new = list({w for ws in cut.values() for w in ws}.difference(self.cache))
-            if all(self._learn(new[i : i + 4096]) for i in range(0, len(new), 4096)):
-                get = self.cache.__getitem__
-                for i, ws in cut.items():
-                    out[i] = b"".join(map(get, ws)) + self.end
-        return [o if o is not None else self.whole(t) + self.end for o, t in zip(out, texts, strict=True)]
+            plain = [i for i, t in enumerate(texts) if not t.translate(None, _PLAIN) and not _OTHER.search(t) and not any(s in t.lower() for s in self.special)]
+            for i, ids in zip(plain, self._by_parts([texts[i] for i in plain]) or [], strict=False):
+                out[i] = ids
+        return [o if o is not None else self.whole(t.decode()) + self.end for o, t in zip(out, texts, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -97,8 +127,8 @@ def encode_pieces(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, end)
-        for batch in small_batches(batches, "content", 1 << 20):
-            ids = own.encode([t.decode() for t in utf8(batch.column("content"))])
+        for batch in small_batches(batches, "content"):
+            ids = own.encode(utf8(batch.column("content")))
             parts = [(i, at // (4 * capacity), x[at : at + 4 * capacity]) for i, x in enumerate(ids) for at in range(0, len(x), 4 * capacity)]
             piece = np.array([p for _, p, _ in parts], np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -49,9 +49,8 @@ def t3(spark, sf):
         F.col("user_id").alias("issuer"), F.date_format("ts", "yyyy-MM-dd").alias("rcept_dt"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("rcept_no"), F.col("event_type").alias("kind")
     )
     path = scratch_path(spark, "t3")
-    writer = I.LatestTable(path)
-    _finish(spark, f.writeStream.foreachBatch(writer))
-    return writer.read(spark)
+    _finish(spark, I.stream_latest_filing(f).writeStream.foreachBatch(I.keep_changes(path)).outputMode("update"))
+    return I.latest_changes(spark, path, ["issuer"])
 
 
 def state_records(spark, d):

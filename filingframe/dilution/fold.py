@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,11 +68,7 @@ _OUT = (
 )
 
 
-def _none(v):
-    return None if v is None or v != v else v
-
-
-def fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of whole issuers in order (instruments first, then records) -> final instruments."""
     columns = [c.split()[0] for c in _OUT.split(", ")]
     numbers = ["series", "face_value", "remaining", "conversion_price", "convertible_shares"]
@@ -82,18 +78,16 @@ def fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done.extend([issuer, key, *(inst[c] for c in columns[2:])] for key, inst in book.items())
 
     for batch in batches:
-        for row in batch.to_dict("records"):
+        for row in batch.to_pylist():
             if row["issuer"] != issuer:
                 if issuer is not None:
                     flush()
                 issuer, book = row["issuer"], {}
             if row["is_record"]:
-                record = {c: (None if _none(row[c]) is None else int(row[c])) for c in _RECORD}
-                adjust(book, {**record, "part": int(row["part"])})
+                adjust(book, {c: row[c] for c in (*_RECORD, "part")})
             else:
                 book[row["instrument_key"]] = {
-                    "phase": int(row["phase"]), "first_ord": int(row["first_ord"]),
-                    **{c: row[c] for c in _TEXT}, **{c: int(row[c]) for c in numbers},
+                    c: row[c] for c in ("phase", "first_ord", *_TEXT, *numbers)
                 }
         if len(done) > 10_000:
             yield _frame(done, columns)
@@ -103,8 +97,12 @@ def fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield _frame(done, columns)
 
 
-def _frame(rows: list, columns: list) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns)
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _frame(rows: list, columns: list) -> pa.RecordBatch:
+    types = [_ARROW[c.split()[1]] for c in _OUT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=columns)
 
 
 def fold_adjustments(adjustments: DataFrame, state: DataFrame) -> DataFrame:
@@ -143,7 +141,7 @@ def fold_adjustments(adjustments: DataFrame, state: DataFrame) -> DataFrame:
         .repartition(F.xxhash64("issuer"))
         .sortWithinPartitions("issuer", "is_record", "phase", "first_ord", "entry_date", "ord", "part", "pos", "instrument_key")
     )
-    folded = ordered.mapInPandas(fold_sorted, schema=_OUT)
+    folded = ordered.mapInArrow(fold_sorted, schema=_OUT)
     inserted = F.struct(F.col("phase"), F.col("first_ord").alias("ord")).alias("inserted")
     return plain.unionByName(folded.select(*(inserted if c == "inserted" else F.col(c) for c in STATE)))
 

@@ -139,22 +139,32 @@ def apply_issuance(issuances: DataFrame, state: DataFrame | None = None) -> Data
     return replace_by_key(state, latest.select("issuer", "instrument_key", "inserted", "_f.*"))
 
 
-def _rights_keys(rights: DataFrame) -> DataFrame:
-    """Key of each rights decision.
+def _rights_keys(rights: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Key of each rights decision, and ``first_ord``, the position of the record that opened it.
 
     With a receipt number the key is the receipt. Without one the record joins the earliest
-    rights instrument of the same issuer and share count, or opens one under its document date.
+    rights instrument of the same issuer and share count, a known one first, or opens one under its
+    document date. If another share count opens the same date again, it takes the place of the
+    former instrument: only the records from there on count.
     """
     has = _text("rcept_no") != ""
     own = F.concat(F.lit("RIGHTS_"), F.when(has, F.col("rcept_no")).otherwise(_text("pdf_date")))
     keyed = rights.withColumn("_own", own).withColumn("_has", has)
-    opened = keyed.groupBy("issuer", "shares", "_own", "_has").agg(F.min("ord").alias("ord"))
-    earliest = opened.groupBy("issuer", "shares").agg(
-        F.min_by("_own", "ord").alias("_match")
-    )
-    return keyed.join(earliest, ["issuer", "shares"]).withColumn(
-        "instrument_key", F.when(F.col("_has"), F.col("_own")).otherwise(F.col("_match"))
-    )
+    at = lambda known, phase, ord_: F.struct(F.lit(known).alias("k"), phase.cast("int").alias("p"), ord_.cast("bigint").alias("o"))
+    opened = keyed.groupBy("issuer", "shares", "_own").agg(F.min(at(1, F.lit(2), F.col("ord"))).alias("_at"))
+    if state is not None:
+        known = state.where(F.col("instrument_key").startswith("RIGHTS_") & (F.col("convertible_shares") > 0))
+        opened = opened.unionByName(known.select(
+            "issuer", F.col("convertible_shares").alias("shares"), F.col("instrument_key").alias("_own"),
+            at(0, F.col("inserted")["phase"], F.col("inserted")["ord"]).alias("_at"),
+        ))
+    earliest = opened.groupBy("issuer", "shares").agg(F.min_by("_own", "_at").alias("_match"))
+    keyed = keyed.join(earliest, ["issuer", "shares"]).withColumn("instrument_key", F.when(F.col("_has"), F.col("_own")).otherwise(F.col("_match")))
+    dated = ~F.col("_has") & (F.col("instrument_key") == F.col("_own"))
+    whole = Window.partitionBy("issuer", "instrument_key")  # the decisions of one date, or of one receipt
+    keyed = keyed.withColumn("first_ord", F.min("ord").over(whole)).withColumn("_last", F.max_by(F.when(dated, F.col("shares")), F.when(dated, F.col("ord"))).over(whole))
+    keyed = keyed.withColumn("_cut", F.max(F.when(dated & (F.col("shares") != F.col("_last")), F.col("ord"))).over(whole))
+    return keyed.where(F.col("_cut").isNull() | (F.col("ord") > F.col("_cut")))
 
 
 def apply_events(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -170,10 +180,10 @@ def apply_events(events: DataFrame, state: DataFrame | None = None) -> DataFrame
         _present(F.col("shares")), F.when(cat == "STOCK_OPTION", _present(F.col("convertible_shares"))), F.lit(0)
     )
     usable = events.withColumn("shares", shares.cast("bigint")).where(~share_based | (F.col("shares") > 0))
-    rights = _rights_keys(usable.where(rights_like)).select(*usable.columns, "instrument_key")
+    rights = _rights_keys(usable.where(rights_like), state).select(*usable.columns, "instrument_key", "first_ord")
     others = usable.where(cat.isin("CB", "BW", "PERPETUAL", "STOCK_OPTION")).withColumn(
         "instrument_key", instrument_key(cat, F.col("series"), F.col("kind"), F.lit(""))
-    )
+    ).withColumn("first_ord", F.col("ord"))
     o = F.col("ord")
     option = cat == "STOCK_OPTION"
     price = F.coalesce(
@@ -199,7 +209,7 @@ def apply_events(events: DataFrame, state: DataFrame | None = None) -> DataFrame
         }
     )
     per = rows.groupBy("issuer", "instrument_key").agg(
-        F.min("ord").alias("ord"),
+        F.min("first_ord").alias("ord"),
         F.min_by(F.struct("_cat", "_kind", "_series"), "ord").alias("_new"),
         F.max(option).alias("_option"),
         *(_first(F.col(f"_{n}"), o).alias(f"f_{n}") for n in ("price", "face", "stated", "start", "end")),

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.windows import latest_per_issuer
-
 
 def stream_dedup_ingest(entries: DataFrame, *, keys: Sequence[str] = ("url",), time: str = "ts", delay: str = "7 days") -> DataFrame:
     """Each key once within the watermark delay; state is one entry per key and ages out."""
@@ -23,24 +21,21 @@ def stream_latest_filing(filings: DataFrame, *, issuer: str = "issuer", order: S
     return best.select(issuer, "_r.*").select(*filings.columns)
 
 
-class LatestTable:
-    """``foreachBatch`` writer that keeps the newest filing per issuer in a Parquet table.
+def keep_changes(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer for a stream in update mode: the changed rows of each batch.
 
-    Every batch writes a version of its own from the version before it, so a repeated batch
-    writes the same result again and readers never see a half-written table.
+    A batch has a partition of its own, which a repeated batch writes again; nothing written before
+    is read or rewritten.
     """
 
-    def __init__(self, path: str, *, issuer: Sequence[str] = ("issuer",), order: Sequence[str] = ("rcept_dt", "rcept_no")) -> None:
-        self.path, self.issuer, self.order = path, tuple(issuer), tuple(order)
-        self.version = -1
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        new = latest_per_issuer(batch, issuer=self.issuer, order=self.order)
-        if batch_id > 0:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{self.path}/v{batch_id - 1}")
-            new = latest_per_issuer(old.unionByName(new), issuer=self.issuer, order=self.order)
-        new.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        self.version = batch_id
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/v{self.version}")
+def latest_changes(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The rows of each key in the last batch that changed it."""
+    changes = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    last = changes.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return changes.join(last, [*keys, "batch"]).drop("batch")

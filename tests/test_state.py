@@ -24,7 +24,7 @@ class Book:
 
     def note(self, r):
         cat = r["category"]
-        key = f"{cat}_{r['series']}" if cat in ("CB", "BW", "SO") else "PREF_" + r["kind"].replace(" ", "_")[:40]
+        key = f"{cat}_{r['series']}" if cat in ("CB", "BW", "SO") else "PREF_" + r["kind"].replace(" ", "_")
         if cat == "SO":
             left, shares = 0, r["convertible_shares"]
         else:
@@ -225,3 +225,42 @@ def test_overhang_table_wording(spark):
     r = state.overhang_table(s, as_of=F.lit("2025-01-01").cast("date"), total_shares=F.lit(12_000_000)).first()
     assert r.category_label == "제2회 전환사채(CB)" and r.remaining_amount == "50 억원 (500,000주)"
     assert (r.exercise_price, r.dilution_ratio, r.exercise_period) == ("10,000원", "4.17%", "2023.09.28~2027.08.28")
+
+
+def _right(ord_, shares, price=None, receipt="", date="d1", start="", face=None):
+    return dict(issuer=1, ord=ord_, category="RIGHTS_ISSUE", series=0, kind="", face_value=face, conversion_price=price, convertible_shares=None, shares=shares, issue_price=None, exercise_price=None, cv_start=start, cv_end="", rcept_no=receipt, share_type="t", pdf_date=date)
+
+
+@pytest.mark.parametrize("rows", [
+    [_right(1, 100, 700, face=5000), _right(2, 200, None, face=9000)],  # another count replaces the date
+    [_right(1, 100, 700), _right(2, 200, 800), _right(3, 200, 900, start="s"), _right(4, 300, 50), _right(5, 300, None, start="z")],
+    [_right(1, 100, None, date="d2"), _right(2, 100, 650, receipt="r1"), _right(3, 100, 660, date="d3")],
+    [_right(1, 100, 5, receipt="r9"), _right(2, 100, 6), _right(3, 400, 7), _right(4, 400, 8, start="q")],
+])
+def test_rights_without_receipt(spark, rows):
+    data = ([], rows, [], [])
+    want = brute(*data)
+    assert result(fold.fold_instruments(*frames(spark, data))) == want
+
+
+def test_rights_match_known_instruments(spark):
+    """A record without a receipt enriches what an earlier batch has opened."""
+    first, second = [_right(1, 100, None, receipt="20240101000001")], [_right(2, 100, 700, date="20240105", start="s")]
+    known = state.apply_events(frames(spark, ([], first, [], []))[1])
+    got = result(state.apply_events(frames(spark, ([], second, [], []))[1], known))
+    assert got == brute([], first + second, [], [])
+    assert list(got) == [(1, "RIGHTS_20240101000001")]
+
+
+def test_kinds_with_an_equal_start_stay_apart(spark):
+    note = lambda o, kind: dict(issuer=1, ord=o, category="전환우선주", series=0, kind=kind, face_value=9, remaining_balance=None, convertible_shares=1, conversion_price=1, exercise_start="", exercise_end="")
+    notes = [note(1, "x" * 40 + "A"), note(2, "x" * 40 + "B")]
+    assert len(result(state.apply_notes(frames(spark, (notes, [], [], []))[0]))) == 2
+
+
+def test_large_numbers_stay_exact_in_the_fold(spark):
+    big = 2**53 + 1
+    notes = [dict(issuer=1, ord=1, category="CB", series=1, kind="", face_value=big, remaining_balance=None, convertible_shares=7, conversion_price=1_000, exercise_start="", exercise_end="")]
+    adj = [dict(issuer=1, entry_date=DAYS[0], ord=2, part=1, pos=0, series=None, price_before=None, price_after=None, shares_before=7, current_shares=None, shares_after=big, unconverted=None)]
+    got = result(fold.fold_instruments(*frames(spark, (notes, [], [], adj))))
+    assert got[1, "CB_1"][2] == big and got[1, "CB_1"][4] == big

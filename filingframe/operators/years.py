@@ -18,37 +18,34 @@ QUARTERS = (1, 2, 3, 4)
 
 
 def quarter_source(tag: str, df: DataFrame, quarters: Sequence[int] = QUARTERS) -> dict:
-    return {tag: (df, tuple(quarters))}
+    """Source of quarters: the rows, the slot of each row and all slots."""
+    rows = df.where(F.col("fq").isin(*quarters))
+    return {tag: (rows, F.concat(F.lit(tag), F.col("fq").cast("string")), [f"{tag}{n}" for n in quarters])}
 
 
 def annual_source(tag: str, df: DataFrame) -> dict:
-    return {tag: (df.withColumn("fq", F.lit(0).cast("bigint")), (0,))}
+    return {tag: (df, F.lit(f"{tag}0"), [f"{tag}0"])}
 
 
 def performance_source(perf: DataFrame) -> dict:
-    """Notices as plain quarters (``p``), spans (``c``) and full years (``pa``)."""
-    spans = F.col("cumulative")
-    return {
-        "p": (perf.where(~spans & (F.col("fq") > 0)), QUARTERS),
-        "c": (perf.where(spans), (2, 3)),
-        "pa": (perf.where(F.col("fq") == 0), (0,)),
-    }
+    """Notices as full years (``pa``), plain quarters (``p``) and spans (``c``), read once."""
+    fq = F.col("fq")
+    number = fq.cast("string")
+    slot = F.when(fq == 0, F.lit("pa0")).when(~F.col("cumulative"), F.concat(F.lit("p"), number)).when(fq.isin(2, 3), F.concat(F.lit("c"), number))
+    return {"p": (perf.where(slot.isNotNull()), slot, ["pa0", *(f"p{n}" for n in QUARTERS), "c2", "c3"])}
 
 
 def year_slots(sources: Mapping[str, tuple], measures: Sequence[str]) -> DataFrame:
     """One row per (issuer, fy) with the slots of every source."""
     united = None
-    for tag, (df, quarters) in sources.items():
-        part = df.where(F.col("fq").isin(*quarters)).select(
-            "issuer", "fy", F.concat(F.lit(tag), F.col("fq").cast("string")).alias("_slot"), *measures
-        )
+    for df, slot, _ in sources.values():
+        part = df.select("issuer", "fy", slot.alias("_slot"), *measures)
         united = part if united is None else united.unionByName(part)
     aggs = []
-    for tag, (_, quarters) in sources.items():
-        for n in quarters:
-            here = F.col("_slot") == f"{tag}{n}"
-            aggs.append(F.max(here).alias(f"{tag}{n}_has"))
-            aggs += [F.max(F.when(here, F.col(m))).alias(f"{tag}{n}_{m}") for m in measures]
+    for slot in (s for _, _, slots in sources.values() for s in slots):
+        here = f"_slot = '{slot}'"
+        aggs.append(F.expr(f"max({here}) AS {slot}_has"))
+        aggs += [F.expr(f"max(CASE WHEN {here} THEN `{m}` END) AS `{slot}_{m}`") for m in measures]
     return united.groupBy("issuer", "fy").agg(*aggs)
 
 
@@ -175,7 +172,7 @@ def integrate_performance(quarters: DataFrame, perf: DataFrame, *, measures: Seq
 
 def integrate_performance_annual(annual: DataFrame, perf: DataFrame, *, measures: Sequence[str]) -> DataFrame:
     """Annual records with full-year notices merged in."""
-    wide = year_slots({**annual_source("a", annual), "pa": (perf.where("fq = 0"), (0,))}, measures)
+    wide = year_slots({**annual_source("a", annual), **quarter_source("pa", perf, (0,))}, measures)
     return annual_rows(put(wide, "a0", "pa0", measures), measures)
 
 

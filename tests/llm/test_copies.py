@@ -210,7 +210,7 @@ def test_likeness_estimates_jaccard(spark):
             b = a[: int(size * keep)] + rng.sample(range(10**6, 2 * 10**6), size - int(size * keep))
             rows.append((sorted(a), sorted(b), len(set(a) & set(b)) / len(set(a) | set(b))))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, j double")
-    codes = df.select("j", *(fingerprints._code(F.col(c), F.lit(0).cast("long")).alias(c) for c in "ab"))
+    codes = df.select("j", *(fingerprints._mark(F.col(c), F.lit(0).cast("long")).alias(c) for c in "ab"))
     for r in codes.select("j", fingerprints.likeness(F.col("a"), F.col("b")).alias("l")).collect():
         assert abs(r["l"] - r["j"]) < 0.3 and (r["j"] != 1 or r["l"] == 1)
 

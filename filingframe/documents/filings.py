@@ -85,11 +85,13 @@ def filing_price_changes(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame
 
     A filing without an adjustment gives one row without prices.
     """
-    pair = lambda t: F.contains(t, F.lit("조정전")) & F.contains(t, F.lit("조정후"))
-    share = lambda t: has(t, "전환가능") & has(t, "조정전", "조정후")
+    sides = lambda t: F.contains(t, F.lit("조정전")) & F.contains(t, F.lit("조정후"))
+    # a table of share numbers may have both sides too: it names no price
+    share = lambda t: has(t, "전환가능") & has(t, "조정전", "조정후") & ~has(t, "가액")
+    pair = lambda t: sides(t) & ~share(t)
     rows_of = lambda tables: F.flatten(F.transform(tables, C.headed_rows))
     price_rows = rows_of(F.filter("tables", lambda t: pair(joined(C.row_texts(at(t, 0))))))
-    share_rows = rows_of(F.filter("tables", lambda t: share(joined(C.row_texts(at(t, 0)))) & ~pair(joined(C.row_texts(at(t, 0))))))
+    share_rows = rows_of(F.filter("tables", lambda t: share(joined(C.row_texts(at(t, 0))))))
     other = F.filter("tables", lambda t: ~pair(joined(C.row_texts(at(t, 0)))) & ~share(joined(C.row_texts(at(t, 0)))))
     step = parsed.select(*keys, price_rows.alias("_prices"), share_rows.alias("_shares"), C.merge_pairs(other).alias("_p"))
     n = F.greatest(F.size("_prices"), F.size("_shares"), F.lit(1))

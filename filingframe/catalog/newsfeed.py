@@ -250,18 +250,29 @@ def e14(spark, sf):
 # -- sources, files ------------------------------------------------------------------------------
 
 
+def _one_file_each(rows, path: str) -> None:
+    """Every row becomes a text file."""
+    rows.write.option("maxRecordsPerFile", 1).text(path)
+
+
 @query("s3_disclosure_entries", NEWS + " SELECT ord, CASE WHEN ord%4=0 THEN '' WHEN ord%4=1 THEN NULL ELSE url END url FROM news WHERE ord%4>1")
 def s3(spark, sf):
     n = X.news(spark, sf)
     url = F.when(F.col("ord") % 4 == 0, F.lit("")).when(F.col("ord") % 4 != 1, F.col("url"))
-    return R.with_url(n.select("ord", url.alias("url")))
+    entry = F.struct(F.lit("2024-01-01").alias("date"), F.col("ord").cast("string").alias("title"), url.alias("url"), F.col("issuer").alias("source"))
+    lists = n.groupBy(F.floor(F.col("ord") / 100)).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    path = scratch_path(spark, "entries")
+    _one_file_each(lists.select("value"), path)
+    return R.read_disclosure_entries(spark, path).select(F.col("title").cast("bigint").alias("ord"), "url")
 
 
 @query("s4_url_lines", "SELECT url FROM pages")
 def s4(spark, sf):
     p = X.table(spark, sf, "pages")
     lines = p.select(F.explode(F.array(cat("  ", F.col("url"), "\t"), cat("# ", F.col("url")), F.lit(""))).alias("value"))
-    return R.url_lines(lines)
+    path = scratch_path(spark, "urls")
+    lines.write.text(path)
+    return R.read_url_lines(spark, path)
 
 
 _FILE = "strftime(DATE '2024-01-01'+CAST(ord%60 AS INTEGER),'%Y%m%d')||'_[공시]_'||lpad(CAST(ord%300 AS VARCHAR),14,'0')||'_회사_주요사항보고서('||['유상증자결정','전환사채권발행결정','기타'][ord%3+1]||').pdf'"
@@ -294,7 +305,10 @@ def s10(spark, sf):
 @query("s13_skip_already_fetched", NEWS + " SELECT DISTINCT url FROM news WHERE url NOT IN (SELECT url FROM news WHERE ord%3=0)")
 def s13(spark, sf):
     n = X.news(spark, sf)
-    return R.skip_already_fetched(n.select("url"), n.where("ord % 3 = 0").select("url"))
+    path = scratch_path(spark, "manifest")
+    for rest in (0, 3):  # the manifest grows by two runs
+        SK.append_manifest(n.where(f"ord % 6 = {rest}"), path)
+    return R.skip_already_fetched(n.select("url"), spark.read.schema("url string").parquet(path))
 
 
 @query(
@@ -319,22 +333,20 @@ def s1(spark, sf):
     lists = X.table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 100)).agg(
         F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")
     )
-    return R.code_map_rows(lists)
+    path = scratch_path(spark, "codes")
+    _one_file_each(lists.select("value"), path)
+    return R.read_code_map(spark, path)
 
 
 @query("s2_read_legacy_csv", "SELECT lpad(CAST(s_suppkey AS VARCHAR),6,'0') code, '회사'||s_name AS name FROM supplier WHERE s_suppkey%7<>0")
 def s2(spark, sf):
-    """CP949 files of a hundred companies each, as bytes."""
+    """Files of a hundred companies each."""
     name = F.when(F.col("s_suppkey") % 7 != 0, cat("회사", F.col("s_name")))
     line = F.concat_ws(",", F.lit("1"), F.lit("KRX"), cat("'", F.col("s_suppkey")), F.coalesce(name, F.lit("")))
     texts = X.table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 100)).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
-
-    def encode(batches):
-        for b in batches:
-            yield b.assign(content=[("no,market,code,name\n<!-- euc-kr -->\n" + t).encode("cp949") for t in b["body"]])[["content"]]
-
-    files = texts.select("body").mapInPandas(encode, "content binary")
-    return R.legacy_csv_rows(R.decode_documents(files))
+    path = scratch_path(spark, "lists")
+    _one_file_each(texts.select(cat("no,market,code,name\n", F.col("body"))), path)
+    return R.read_legacy_csv(spark, path)
 
 
 @query("s8_decode_documents", "SELECT s_suppkey, '<meta charset='||CASE WHEN s_suppkey%2=0 THEN 'euc-kr' ELSE 'utf-8' END||'>회사'||s_name AS text, CASE WHEN s_suppkey%2=0 THEN 'cp949' ELSE 'utf-8' END encoding FROM supplier")

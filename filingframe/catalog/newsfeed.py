@@ -13,6 +13,7 @@ from ..operators import ordering as O
 from ..operators import predicates as P
 from ..operators import sets as U
 from ..operators import windows as W
+from ..plans import report as RP
 from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import sinks as SK
@@ -232,19 +233,41 @@ def o5(spark, sf):
     return d.select("doc_id", O.clip("text", 300, "…").alias("clipped"), F.when((F.length("text") > 300) & (F.instr(F.reverse(F.substring("text", 1, 300)), ". ") > 0) & (F.length(at) < 300), 1).otherwise(0).alias("has_break"))
 
 
-@query("e14_source_bundle")
-def e14(spark, sf):
-    """Report, research and news texts of an issuer under headings (rows only: long joined text)."""
-    from ..plans import report as RP
-
+def _source_sections(spark, sf, max_body=None):
     n = X.news(spark, sf)
-    entries = n.select("issuer", "date", "ord", W.news_entry().alias("entry"))
-    kept = W.char_budget(entries, keys=["issuer"], order=["date", "ord"], text="entry", slot=F.col("date"))
     reports = n.groupBy("issuer").agg(F.concat(F.lit("# "), F.first("issuer"), F.lit(" "), F.count("*").cast("string")).alias("report_text"))
-    # the newest ten research notes of an issuer
-    newest = O.top_n_per_key(n, 10, keys=["issuer"], order=[F.desc("date"), F.desc("ord")])
-    research = newest.select("issuer", F.concat(F.lit("r"), F.col("ord").cast("string"), F.lit(".pdf")).alias("file"), F.substring("title", 1, 40).alias("text"))
-    return RP.source_bundle(reports, research, kept)
+    research = n.select("issuer", F.concat(F.lit("r"), F.lpad(F.col("ord").cast("string"), 12, "0"), F.lit(".pdf")).alias("file"), F.col("title").alias("text"))
+    return RP.source_sections(reports, research, n.select("issuer", "date", "ord", W.news_entry(max_body=max_body).alias("entry")))
+
+
+_ENTRY_WHOLE = "'- ['||strftime(\"date\",'%Y-%m-%d')||'] '||title||CASE WHEN coalesce(\"content\",'')<>'' THEN chr(10)||'  '||\"content\" ELSE '' END"
+
+
+def _sections_sql(entry: str) -> str:
+    return NEWS + f""", sections AS (
+      SELECT issuer, 0 part, '' "key", '# '||issuer||' '||count(*) body FROM news GROUP BY issuer
+      UNION ALL SELECT issuer, 1, 'r'||lpad(CAST(ord AS VARCHAR),12,'0')||'.pdf', title FROM news WHERE title<>''
+      UNION ALL SELECT issuer, 2, strftime("date",'%Y-%m-%d')||' '||lpad(CAST(ord AS VARCHAR),19,'0'), {entry} FROM news)"""
+
+
+@query("e14_source_sections", _sections_sql(_ENTRY_WHOLE) + ' SELECT issuer, part, "key", body FROM sections')
+def e14s(spark, sf):
+    """Report, research and news texts of every issuer, whole."""
+    return _source_sections(spark, sf)
+
+
+@query(
+    "e14_source_bundle",
+    _sections_sql(_ENTRY) + """, b AS (SELECT *, coalesce(sum(length(body)) OVER (PARTITION BY issuer ORDER BY part, "key" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) before FROM sections),
+    f AS (SELECT * FROM b WHERE before<15000),
+    t AS (SELECT issuer, 0 p, '' k, '### 자동 생성된 재무 분석 보고서 (섹션 1~4)'||chr(10)||chr(10)||body x FROM f WHERE part=0
+      UNION ALL SELECT issuer, 1, "key", '### 리서치 리포트: '||"key"||chr(10)||chr(10)||body FROM f WHERE part=1
+      UNION ALL SELECT issuer, 2, '', '### 최근 뉴스'||chr(10)||chr(10)||string_agg(body, chr(10) ORDER BY "key") FROM f WHERE part=2 GROUP BY issuer)
+    SELECT issuer, string_agg(x, chr(10)||chr(10)||'---'||chr(10)||chr(10) ORDER BY p, k) sources_content FROM t GROUP BY issuer""",
+)
+def e14(spark, sf):
+    """The same as one text per issuer, within a budget of 15,000 characters."""
+    return RP.source_bundle(_source_sections(spark, sf, max_body=800), max_chars=15_000)
 
 
 # -- sources, files ------------------------------------------------------------------------------

@@ -7,25 +7,40 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.windows import char_budget
 
-def source_bundle(reports: DataFrame, research: DataFrame, news: DataFrame, *, issuer: str = "issuer") -> DataFrame:
-    """Report text, research texts by file name and news entries by date, under headings.
 
-    News comes in cut to its budget, research files of an issuer are few; both lists stay small.
+def source_sections(reports: DataFrame, research: DataFrame, news: DataFrame, *, issuer: str = "issuer") -> DataFrame:
+    """(issuer, part, key, body): report text (0), research texts (1, by file) and news entries (2, by date and number).
+
+    One row per text, so an issuer may have any number of them; ``part`` and ``key`` give their
+    order. Empty texts are left out.
+    """
+    have = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    r = reports.where(have("report_text")).select(issuer, F.lit(0).alias("part"), F.lit("").alias("key"), F.col("report_text").alias("body"))
+    s = research.where(have("text")).select(issuer, F.lit(1).alias("part"), F.col("file").alias("key"), F.col("text").alias("body"))
+    number = F.lpad(F.col("ord").cast("string"), 19, "0")
+    n = news.where(have("entry")).select(issuer, F.lit(2).alias("part"), F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(" "), number).alias("key"), F.col("entry").alias("body"))
+    return r.unionByName(s).unionByName(n)
+
+
+def source_bundle(sections: DataFrame, *, max_chars: int, issuer: str = "issuer") -> DataFrame:
+    """The sections of an issuer as one text under headings.
+
+    ``max_chars`` bounds the row: sections that start beyond so many characters of the ones before
+    them are left out.
     """
-    r = reports.select(issuer, F.lit(0).alias("part"), F.lit("").alias("key"), F.concat(F.lit("### 자동 생성된 재무 분석 보고서 (섹션 1~4)\n\n"), F.col("report_text")).alias("body")).where(
-        F.coalesce("report_text", F.lit("")) != ""
-    ) if "report_text" in reports.columns else None
-    s = research.where(F.coalesce("text", F.lit("")) != "").select(
-        issuer, F.lit(1).alias("part"), F.col("file").alias("key"), F.concat(F.lit("### 리서치 리포트: "), F.col("file"), F.lit("\n\n"), F.col("text")).alias("body")
-    )
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("date", "ord", "entry"))), lambda e: e["entry"])
-    n = news.groupBy(issuer).agg(F.array_join(lines, "\n").alias("_n")).select(
-        issuer, F.lit(2).alias("part"), F.lit("").alias("key"), F.concat(F.lit("### 최근 뉴스\n\n"), F.col("_n")).alias("body")
-    )
-    every = s.unionByName(n) if r is None else r.unionByName(s).unionByName(n)
-    body = F.transform(F.array_sort(F.collect_list(F.struct("part", "key", "body"))), lambda p: p["body"])
-    return every.groupBy(issuer).agg(F.array_join(body, "\n\n---\n\n").alias("sources_content"))
+    slot = F.concat(F.col("part").cast("string"), F.substring("key", 1, 10))
+    fits = char_budget(sections, keys=[issuer], order=["part", "key"], text="body", slot=slot, max_total=max_chars, least=1)
+    part, body = F.col("part"), F.col("body")
+    titled = F.when(part == 1, F.concat(F.lit("### 리서치 리포트: "), F.col("key"), F.lit("\n\n"), body)).otherwise(body)
+    entry = F.struct("part", "key", titled.alias("body"))
+    of = lambda n: F.array_sort(F.filter(F.collect_list(entry), lambda e: e["part"] == n))
+    texts = fits.groupBy(issuer).agg(*(of(n).alias(f"_{n}") for n in range(3)))
+    bodies = lambda n: F.transform(f"_{n}", lambda e: e["body"])
+    news = F.when(F.size("_2") > 0, F.array(F.concat(F.lit("### 최근 뉴스\n\n"), F.array_join(bodies(2), "\n")))).otherwise(F.array().cast("array<string>"))
+    report = F.transform(bodies(0), lambda b: F.concat(F.lit("### 자동 생성된 재무 분석 보고서 (섹션 1~4)\n\n"), b))
+    return texts.select(issuer, F.array_join(F.concat(report, bodies(1), news), "\n\n---\n\n").alias("sources_content"))
 
 
 def nest(rows: DataFrame, name: str, *, issuer: str = "issuer", order: Sequence[str]) -> DataFrame:

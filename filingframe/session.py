@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory used to cut lineage.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; a folder of our own is
-    only made for a local master where that setting is absent.
+    only made for a local master where that setting is absent, and removed when Python ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="filingframe-ckpt-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 

@@ -1,68 +1,95 @@
-"""Dilution state as a stream: one issuer, one keyed state, records in arrival order."""
+"""Dilution state as a stream: one issuer, one keyed state, records in the order they apply."""
 
 from __future__ import annotations
 
+import copy
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..dilution.fold import adjust
 
-RECORD = "instrument_key string, category string, series bigint, kind string, face_value bigint, remaining bigint, conversion_price bigint, convertible_shares bigint, first_ord bigint"
+INSTRUMENT = "instrument_key string, category string, series bigint, kind string, face_value bigint, remaining bigint, conversion_price bigint, convertible_shares bigint, first_date string, first_ord bigint"
+RECORD = (
+    "is_record boolean, entry_date string, ord bigint, part int, pos bigint, reference_date string, instrument_key string, category string, kind string,"
+    " series bigint, face_value bigint, remaining bigint, conversion_price bigint, convertible_shares bigint,"
+    " price_before bigint, price_after bigint, shares_before bigint, current_shares bigint, shares_after bigint, unconverted bigint"
+)
 OUTPUT = "issuer bigint, instrument_key string, category string, series bigint, remaining bigint, conversion_price bigint, convertible_shares bigint"
-_NUMBERS = ("series", "face_value", "remaining", "conversion_price", "convertible_shares", "first_ord")
-_ADJUST = ("series", "price_before", "price_after", "shares_before", "current_shares", "shares_after", "unconverted")
 
 
-def _int(v):
-    return None if v is None or v != v else int(v)
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _order(record: dict) -> tuple:
+    return record["entry_date"], record["ord"], record["is_record"], record["part"], record["pos"]
+
+
+def apply_records(book: dict, records: list[dict]) -> dict:
+    """The book after the records, in the order they apply; records up to their reference date do not count."""
+    for r in sorted(records, key=_order):
+        if r["reference_date"] and r["entry_date"] <= r["reference_date"]:
+            continue
+        if r["is_record"]:
+            adjust(book, r)
+        else:
+            old = book.get(r["instrument_key"])
+            first = (old["first_date"], old["first_ord"]) if old else (r["entry_date"], r["ord"])
+            book[r["instrument_key"]] = {**{c: r[c] for c in _names(INSTRUMENT)[:-2]}, "first_date": first[0], "first_ord": first[1]}
+    return book
 
 
 class InstrumentProcessor(StatefulProcessor):
-    """Keeps the instruments of an issuer in a map and applies records to it.
+    """Settled instruments of an issuer, and the records that may still be preceded by others.
 
-    ``is_record`` rows are adjustments; other rows open or replace an instrument. Records at or
-    before ``reference_date`` are ignored, which is the only lateness rule. The state has one
-    entry per instrument and never holds records.
+    Rows arrive in any order, over any number of batches. Records that the watermark has not
+    passed are held and applied in their order on top of the settled instruments; once the
+    watermark passes a record it is settled for good. The held records are bounded by the delay of
+    the watermark, the settled part by the number of instruments.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._book = handle.getMapState("instruments", "k string", RECORD)
+        self._book = handle.getMapState("instruments", "k string", INSTRUMENT)
+        self._held = handle.getListState("held", RECORD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = {k[0]: dict(zip([c.split()[0] for c in RECORD.split(", ")], v)) for k, v in self._book.iterator()}
-        book = dict(sorted(stored.items(), key=lambda kv: kv[1]["first_ord"]))
-        for batch in rows:
-            for row in batch.sort_values(["entry_date", "ord", "part", "pos"]).to_dict("records"):
-                if row["reference_date"] and str(row["entry_date"]) <= str(row["reference_date"]):
-                    continue
-                if row["is_record"]:
-                    adjust(book, {**{c: _int(row[c]) for c in _ADJUST}, "part": int(row["part"])})
-                else:
-                    old = book.get(row["instrument_key"])
-                    first = old["first_ord"] if old else _int(row["ord"])
-                    numbers = {c: _int(row[c]) for c in _NUMBERS if c != "first_ord"}
-                    book[row["instrument_key"]] = {
-                        "instrument_key": row["instrument_key"], "category": row["category"], "kind": row["kind"] or "", **numbers, "first_ord": first
-                    }
-        columns = [c.split()[0] for c in RECORD.split(", ")]
-        for name, inst in book.items():
-            self._book.updateValue((name,), tuple(inst[c] for c in columns))
-        out = [c.split()[0] for c in OUTPUT.split(", ")][1:]
-        yield pd.DataFrame([[key[0], *(inst[c] for c in out)] for inst in book.values()], columns=["issuer", *out])
+        stored = [dict(zip(_names(INSTRUMENT), v, strict=True)) for _, v in self._book.iterator()]
+        settled = {v["instrument_key"]: v for v in sorted(stored, key=lambda v: (v["first_date"], v["first_ord"]))}
+        held = [dict(zip(_names(RECORD), v, strict=True)) for v in self._held.get()] if self._held.exists() else []
+        # numbers travel as text: a column with nulls would come as floating point
+        numbers = {n for n, t in (c.split() for c in RECORD.split(", ")) if t in ("bigint", "int")}
+        new = [{c: (None if r[c] is None else int(r[c])) if c in numbers else r[c] for c in _names(RECORD)} for batch in rows for r in batch.to_dict("records")]
+
+        before = apply_records(copy.deepcopy(settled), held)
+        after = apply_records(copy.deepcopy(settled), held + new)
+        passed = datetime.datetime.fromtimestamp(max(0, timerValues.getCurrentWatermarkInMs()) / 1000, datetime.UTC).strftime("%Y-%m-%d")
+        done = [r for r in held + new if r["entry_date"] < passed]
+        if done:
+            book = apply_records(copy.deepcopy(settled), done)
+            for name, inst in book.items():
+                if inst != settled.get(name):
+                    self._book.updateValue((name,), tuple(inst[c] for c in _names(INSTRUMENT)))
+        self._held.put([tuple(r[c] for c in _names(RECORD)) for r in held + new if r["entry_date"] >= passed])
+        changed = [inst for name, inst in after.items() if inst != before.get(name)]
+        yield pd.DataFrame([[key[0], *(inst[c] for c in _names(OUTPUT)[1:])] for inst in changed], columns=_names(OUTPUT)).astype(object)
 
     def close(self) -> None:
         pass
 
 
-def stream_instrument_state(records: DataFrame) -> DataFrame:
-    """Instruments of every issuer after each batch (update mode; needs the RocksDB state store).
+def stream_instrument_state(records: DataFrame, *, time: str = "ts", delay: str = "30 days") -> DataFrame:
+    """Changed instruments of every issuer after each batch (update mode; needs the RocksDB state store).
 
-    Input: is_record, issuer, entry_date, ord, part, pos, reference_date, the instrument columns
-    and the adjustment columns, NULL where a row has none.
+    Input: ``time``, issuer and the columns of ``RECORD``, NULL where a row has none. A record may
+    arrive up to ``delay`` after a later one and still takes its place in the order.
     """
-    return records.groupBy("issuer").transformWithStateInPandas(
-        statefulProcessor=InstrumentProcessor(), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
+    numbers = {n for n, t in (c.split() for c in RECORD.split(", ")) if t in ("bigint", "int")}
+    rows = records.withWatermark(time, delay).select(time, "issuer", *(F.col(c).cast("string").alias(c) if c in numbers else F.col(c) for c in _names(RECORD)))
+    return rows.groupBy("issuer").transformWithStateInPandas(
+        statefulProcessor=InstrumentProcessor(), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime"
     )

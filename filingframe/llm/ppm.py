@@ -4,7 +4,8 @@ A text is padded with ``order`` PAD bytes in front and one END byte behind; neit
 UTF-8. Every symbol then has a full context, so the counts of an order are sums of the counts of
 the order above it. Escapes follow method C: a context seen ``n`` times with ``d`` different
 symbols gives a seen symbol count/(n+d) and the escape d/(n+d). With ``exclusion`` the symbols
-already ruled out by the longer context leave the distribution of the shorter one.
+already ruled out by the longer context leave the distribution of the shorter one. Symbols left
+out of a tree to bound its size add their counts to the escape of their context.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ class Contexts:
 
     def __init__(self, levels: Sequence[tuple[np.ndarray, np.ndarray]], exclusion: bool = True):
         self.order, self.exclusion = len(levels) - 1, exclusion
-        self.grams, self.count, self.contexts, self.n, self.d, self.ruled_out = [], [], [], [], [], []
+        self.grams, self.count, self.contexts, self.n, self.d, self.left_out, self.ruled_out = [], [], [], [], [], [], []
         for j, (keys, counts) in enumerate(levels):
             context = keys >> np.uint64(8)
             starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(keys) else np.empty(0, np.int64)
@@ -121,7 +122,13 @@ class Contexts:
             self.grams.append(Index(keys))
             self.contexts.append(Index(context[starts]))
             self.count.append(counts.astype(np.int64))
-            self.n.append(add(counts.astype(np.int64)))
+            kept = add(counts.astype(np.int64))
+            n = kept
+            if j and len(keys):  # a context is a (context, symbol) pair of the order below
+                whole = self.grams[j - 1].find(context[starts])
+                n = np.maximum(kept, np.where(whole >= 0, self.count[j - 1][whole], 0))
+            self.n.append(n)
+            self.left_out.append(n - kept)
             self.d.append(np.diff(np.r_[starts, len(keys)]))
             self.ruled_out.append(add(below))
         last = self.order
@@ -150,6 +157,7 @@ class Contexts:
             known = context >= 0
             rest = np.where(known, self.d[j][context] if len(self.d[j]) else 0, 0) - gone_d[left]
             total = np.where(known, self.n[j][context] if len(self.n[j]) else 0, 0) - gone_n[left] + rest
+            rest = rest + np.where(known, self.left_out[j][context] if len(self.n[j]) else 0, 0)
             seen = at >= 0
             out[left[seen]] += np.log2(total[seen] / self.count[j][at[seen]])
             escape = known & ~seen & (rest > 0)

@@ -4,19 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..dilution import state as ST
-from ..operators import aggregates as A
-from ..operators import windows as W
 from ..plans import report as RP
-from ..plans import statements as S
-from ..plans import valuation as V
 from ..session import scratch_path
 from ..streaming import ingest as I
 from ..streaming import instruments as SI
-from . import disclosures as DS
-from . import prices as PR
 from . import proxies as X
-from .registry import query
+from .registry import QUERIES, SQL, query
 
 DISC = "WITH " + X.DISC_SQL
 _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -102,21 +95,40 @@ def t2(spark, sf):
     return run_instrument_state(spark, event_records(_events(spark, sf)), scratch_path(spark, "t2"), delay="30 days")
 
 
-@query("e15_assemble_report")
+# table of a report -> (query it comes from, order of its rows, rows shown, columns)
+_TABLES = {
+    "quarters": ("e7_quarterly_rows", ["period"], 8, ["period", "revenue_cell", "operating_income_cell", "net_income_cell"]),
+    "years": ("e7_annual_rows", ["fy"], 5, ["fy", "revenue_cell", "operating_income_cell", "net_income_cell"]),
+    "balance": ("e6_balance_sheet_rows", ["fy", "fq", "row_no"], 15, ["fy", "fq", "row_no", "item", "amount", "previous_amount", "note"]),
+    "overhang": ("v8_overhang_table", ["category_label", "instrument_key"], 50, ["instrument_key", "category_label", "remaining_amount", "exercise_price", "dilution_ratio", "exercise_period"]),
+    "contracts": ("e8_contract_rows", ["ord"], 20, ["ord", "contract_type", "amount_eok", "revenue_ratio_pct", "contract_period"]),
+    "backlog": ("e12_backlog_series", ["period"], 8, ["period", "total", "breakdown", "yoy"]),
+}
+_SCALARS = {
+    "pbr": "e2_pbr", "trailing_per": "e3_trailing_per", "forward_per": "e4_forward_per", "fully_diluted": "e5_fully_diluted_cap",
+    "low_price": "a7_price_summary_short", "high_price": "a7_price_summary_short", "return_label": "a7_price_summary_short",
+}
+
+
+def _report_sql() -> str:
+    parts = [f"SELECT issuer, '{c}' AS section, 1 pos, CAST({c} AS VARCHAR) AS row FROM ({SQL[q]}) s WHERE {c} IS NOT NULL" for c, q in _SCALARS.items()]
+    for name, (q, order, n, columns) in _TABLES.items():
+        down, up, cells = ", ".join(f"{c} DESC" for c in order), ", ".join(order), ", ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+        parts.append(
+            f"SELECT issuer, '{name}', row_number() OVER (PARTITION BY issuer ORDER BY {up}) pos, concat_ws('|', {cells})"
+            f" FROM (SELECT * FROM ({SQL[q]}) t QUALIFY row_number() OVER (PARTITION BY issuer ORDER BY {down}) <= {n}) u"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("e15_assemble_report", _report_sql())
 def e15(spark, sf):
-    """One nested record per issuer from statements, prices and dilution (rows only: nested)."""
-    issuers = X.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("issuer"), F.col("n_name").alias("name"))
-    quarters = W.yoy_positional(X.stmt(spark, sf), measures=X.MEASURES).withColumn("currency", F.lit("KRW"))
-    quarter_rows = S.quarterly_rows(quarters)
-    annual = X.annual(spark, sf).withColumn("currency", F.lit("KRW"))
-    annual_rows = S.annual_rows(annual)
-    market = V.market_cap(PR._market(spark, sf)).select("issuer", "stock_price", "shares_outstanding", "value")
-    state = ST.apply_notes(DS.notes(spark, sf)).withColumn("issuer", F.col("issuer") % 25)
-    overhang = ST.overhang_table(state, as_of=F.lit(DS.AS_OF).cast("date"), total_shares=F.lit(1_000_000).cast("bigint"))
-    prices = A.price_summary(X.px(spark, sf), as_of=F.lit("2024-01-30").cast("date")).select("issuer", "low_price", "high_price", "return_label")
-    income = V.latest_annual_income(X.annual(spark, sf))
-    scalars = [market, prices, income]
-    tables = {"quarters": (quarter_rows, ["period"]), "years": (annual_rows, ["fy"]), "overhang": (overhang, ["category_label", "instrument_key"])}
-    full = RP.assemble_report(issuers, scalars, tables)
-    per = V.trailing_per(F.col("value"), F.col("annual_net_income"), F.col("income_fy"), F.lit("KRW"))
-    return full.withColumn("trailing_per", per).withColumn("empty_tables", RP.summary_counts(full, list(tables)))
+    """One nested record per issuer from statements, valuation, prices, contracts and dilution, as lines."""
+    tables = {name: (QUERIES[q](spark, sf).select("issuer", *columns), order, n) for name, (q, order, n, columns) in _TABLES.items()}
+    scalars = [QUERIES[q](spark, sf).select("issuer", *(c for c in _SCALARS if _SCALARS[c] == q)) for q in dict.fromkeys(_SCALARS.values())]
+    ids = [df.select("issuer") for df in (*scalars, *(t[0] for t in tables.values()))]
+    issuers = ids[0]
+    for other in ids[1:]:
+        issuers = issuers.unionByName(other)
+    full = RP.assemble_report(issuers.distinct(), scalars, tables)
+    return RP.report_rows(full, list(_SCALARS), list(tables)).withColumn("pos", F.col("pos").cast("bigint"))

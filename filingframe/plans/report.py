@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import top_n_per_key
 from ..operators.windows import char_budget
 
 
@@ -43,31 +44,42 @@ def source_bundle(sections: DataFrame, *, max_chars: int, issuer: str = "issuer"
     return texts.select(issuer, F.array_join(F.concat(report, bodies(1), news), "\n\n---\n\n").alias("sources_content"))
 
 
-def nest(rows: DataFrame, name: str, *, issuer: str = "issuer", order: Sequence[str]) -> DataFrame:
-    """Display rows of an issuer as one ordered array. Inputs are report tables: top-n quarters,
-    instruments, years - bounded per issuer by the operators that made them."""
+def nest(rows: DataFrame, name: str, *, issuer: str = "issuer", order: Sequence[str], n: int) -> DataFrame:
+    """Display rows of an issuer as one array: the last ``n`` in ``order``, which bounds the row."""
     cols = [c for c in rows.columns if c != issuer]
+    last = top_n_per_key(rows, n, keys=[issuer], order=[F.desc(c) for c in order])
     keyed = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.struct(*cols).alias("row"))
-    return rows.groupBy(issuer).agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["row"]).alias(name))
+    return last.groupBy(issuer).agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["row"]).alias(name))
 
 
 def assemble_report(issuers: DataFrame, scalars: Sequence[DataFrame], tables: Mapping[str, tuple], *, issuer: str = "issuer") -> DataFrame:
     """One nested record per issuer: scalar columns and arrays of display rows.
 
-    Missing inputs give NULL scalars and empty arrays, never a lost issuer.
+    ``tables`` maps a name to (rows, order, number of rows a report shows). Missing inputs give NULL
+    scalars and empty arrays, never a lost issuer.
     """
     out = issuers
     for df in scalars:
         out = out.join(df, issuer, "left")
-    names = []
-    for name, (df, order) in tables.items():
-        out = out.join(nest(df, name, issuer=issuer, order=order), issuer, "left")
-        names.append(name)
+    for name, (df, order, n) in tables.items():
+        out = out.join(nest(df, name, issuer=issuer, order=order, n=n), issuer, "left")
     types = dict(out.dtypes)
-    filled = {n: F.coalesce(F.col(n), F.array().cast(types[n])) for n in names}
+    filled = {n: F.coalesce(F.col(n), F.array().cast(types[n])) for n in tables}
     return out.withColumns(filled) if filled else out
 
 
+def report_rows(reports: DataFrame, scalars: Sequence[str], tables: Sequence[str], *, issuer: str = "issuer") -> DataFrame:
+    """(issuer, section, pos, row): the record as lines, cells joined by a bar; missing scalars have no line."""
+    lines = F.array(*(F.struct(F.lit(c).alias("section"), F.lit(1).alias("pos"), F.col(c).cast("string").alias("row")) for c in scalars))
+    out = reports.select(issuer, F.explode(F.filter(lines, lambda x: x["row"].isNotNull())).alias("l")).select(issuer, "l.*")
+    for name in tables:
+        fields = reports.schema[name].dataType.elementType.fieldNames()
+        rows = reports.select(issuer, F.posexplode(name).alias("pos", "r"))
+        text = F.concat_ws("|", *(F.col("r")[f].cast("string") for f in fields))
+        out = out.unionByName(rows.select(issuer, F.lit(name).alias("section"), (F.col("pos") + 1).alias("pos"), text.alias("row")))
+    return out
+
+
 def summary_counts(reports: DataFrame, tables: Sequence[str]) -> Column:
     """How many of the tables of a report are empty."""
     total = F.lit(0)

@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
+from filingframe import catalog  # noqa: E402
 from tools.check_oracle import compare, duck  # noqa: E402
 
 
@@ -20,6 +21,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_every_query_has_sql_or_is_listed():
+    assert set(catalog.QUERIES) - set(catalog.SQL) == catalog.ROWS_ONLY
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, sf, con, name):
     ok, message, _ = compare(spark, con, sf, name, entry.queries()[name], entry.oracle_sql().get(name))

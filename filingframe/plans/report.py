@@ -70,14 +70,17 @@ def assemble_report(issuers: DataFrame, scalars: Sequence[DataFrame], tables: Ma
 
 def report_rows(reports: DataFrame, scalars: Sequence[str], tables: Sequence[str], *, issuer: str = "issuer") -> DataFrame:
     """(issuer, section, pos, row): the record as lines, cells joined by a bar; missing scalars have no line."""
-    lines = F.array(*(F.struct(F.lit(c).alias("section"), F.lit(1).alias("pos"), F.col(c).cast("string").alias("row")) for c in scalars))
-    out = reports.select(issuer, F.explode(F.filter(lines, lambda x: x["row"].isNotNull())).alias("l")).select(issuer, "l.*")
+    line = lambda section, pos, row: F.struct(F.lit(section).alias("section"), pos.cast("int").alias("pos"), row.alias("row"))
+    single = F.array(*(line(c, F.lit(1), F.col(c).cast("string")) for c in scalars))
+    parts = [F.filter(single, lambda x: x["row"].isNotNull())]
     for name in tables:
-        fields = reports.schema[name].dataType.elementType.fieldNames()
-        rows = reports.select(issuer, F.posexplode(name).alias("pos", "r"))
-        text = F.concat_ws("|", *(F.col("r")[f].cast("string") for f in fields))
-        out = out.unionByName(rows.select(issuer, F.lit(name).alias("section"), (F.col("pos") + 1).alias("pos"), text.alias("row")))
-    return out
+        parts.append(_lines(name, reports.schema[name].dataType.elementType.fieldNames(), line))
+    return reports.select(issuer, F.explode(F.concat(*parts)).alias("l")).select(issuer, "l.*")
+
+
+def _lines(name: str, fields: Sequence[str], line) -> Column:
+    """The rows of one table as lines."""
+    return F.transform(name, lambda r, i: line(name, i + 1, F.concat_ws("|", *(r[f].cast("string") for f in fields))))
 
 
 def summary_counts(reports: DataFrame, tables: Sequence[str]) -> Column:

@@ -22,7 +22,7 @@ from .common import arrow_schema, read_articles, small_batches, utf8, written
 # normal form are the same to the tokenizer and to Python, but for those of _OTHER.
 _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xC6)])
 _OTHER = re.compile(b"\xc2[\x80-\xa0]|\xc4\xb0")
-_CACHE = 1_000_000  # words a task remembers
+_CACHE = 1_400_000  # words a task remembers
 
 
 class Encoder:
@@ -88,10 +88,13 @@ class Encoder:
         met = coded.dictionary.to_pylist()
         if len(self.cache) > _CACHE:
             self.cache = {w: self.cache[w] for w in met if w in self.cache}
-        new = [w for w in met if w not in self.cache]
+        known = list(map(self.cache.get, met))
+        gaps = [i for i, ids in enumerate(known) if ids is None]
+        new = [met[i] for i in gaps]
         if not all(self._learn(new[i : i + 4096]) for i in range(0, len(new), 4096)):
             return None
-        known = [self.cache[w] for w in met]
+        for i in gaps:
+            known[i] = self.cache[met[i]]
         table = np.frombuffer(b"".join(known), np.uint32)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts, code = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
@@ -127,7 +130,7 @@ def encode_pieces(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, end)
-        for batch in small_batches(batches, "content"):
+        for batch in small_batches(batches, "content", 4 << 20):
             ids = own.encode(utf8(batch.column("content")))
             parts = [(i, at // (4 * capacity), x[at : at + 4 * capacity]) for i, x in enumerate(ids) for at in range(0, len(x), 4 * capacity)]
             piece = np.array([p for _, p, _ in parts], np.int32)

@@ -143,13 +143,15 @@ class Contexts:
         out[hit] = self.seen_bits[at[hit]]
         left = np.flatnonzero(~hit)
         if len(left):
-            out[left] = self._escaped(keys[left])
+            none = np.zeros(len(left), np.int64)
+            out[left] = self.escaped(keys[left], none, none)
         return out
 
-    def _escaped(self, keys: np.ndarray) -> np.ndarray:
+    def escaped(self, keys: np.ndarray, gone_n: np.ndarray, gone_d: np.ndarray) -> np.ndarray:
+        """Code length of each position in these orders, after longer contexts ruled out ``gone_d`` symbols seen ``gone_n`` times."""
         out = np.zeros(len(keys))
         left = np.arange(len(keys))
-        gone_n, gone_d = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        gone_n, gone_d = gone_n.copy(), gone_d.copy()
         for j in range(self.order, -1, -1):
             key = keys[left] & np.uint64((1 << (8 * (j + 1))) - 1)
             at = self.grams[j].find(key)
@@ -182,3 +184,33 @@ def text_bits(texts: Sequence[bytes], order: int, bits) -> np.ndarray:
             out = np.zeros((len(texts), *sums.shape[1:]))
         np.add.at(out, [i for i, _, _ in group], sums)
     return out
+
+
+class Codes:
+    """Code lengths of some keys, for positions whose tree is not at hand."""
+
+    def __init__(self, keys: np.ndarray, lengths: np.ndarray):
+        by = np.argsort(keys)
+        self.keys, self.lengths = Index(keys[by]), lengths[by]
+
+    def text_bits(self, texts: Sequence[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums over each text, and what they lack: text number, key and number of its positions, in order."""
+        sums, lacking = np.zeros(len(texts)), [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))]
+        for group in segments(texts, order):
+            keys, starts = gram_keys(group, order)
+            text = np.repeat([i for i, _, _ in group], np.diff(np.r_[starts, len(keys)]))
+            at = self.keys.find(keys)
+            hit = at >= 0
+            sums += np.bincount(text[hit], self.lengths[at[hit]], len(texts))
+            lacking.append(_tally(text[~hit], keys[~hit], np.ones(int((~hit).sum()), np.int64)))
+        return sums, *_tally(*(np.concatenate(x) for x in zip(*lacking, strict=True)))
+
+
+def _tally(text: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts added up by text and key, in order."""
+    if not len(keys):
+        return text, keys, counts
+    by = np.lexsort((keys, text))
+    text, keys, counts = text[by], keys[by], counts[by]
+    starts = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])])
+    return text[starts], keys[starts], np.add.reduceat(counts, starts)

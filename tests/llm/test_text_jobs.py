@@ -150,6 +150,17 @@ def test_bounded_contexts_stay_a_distribution(spark):
     assert np.exp2(-model.contexts.bits(np.array([base + s for s in range(255)], np.uint64))).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("max_contexts", [50, 300, 1000])
+def test_scores_come_from_the_whole_tree(spark, max_contexts):
+    articles = samples.articles(spark)
+    train = articles.where("url % 3 <> 0")
+    whole, bounded = (scoring.score_articles(articles, scoring.fit_article_model(train, max_contexts=n)) for n in (1 << 20, max_contexts))
+    want, got = ({(r["url"], r["n_tokens"]): r["score"] for r in x.collect()} for x in (whole, bounded))
+    assert want.keys() == got.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-9)
+
+
 def test_scores_without_training_or_articles(spark):
     none = scoring.fit_article_model(samples.no_articles(spark))
     rows = scoring.score_articles(samples.articles(spark), none).collect()

@@ -57,17 +57,23 @@ def revised(content: Column, after: Column, share: int = 4) -> Column:
     return F.concat(F.substring(content, F.lit(1), n - cut), F.substring(after, F.lit(1), cut))
 
 
-def fit_lexicon(articles: DataFrame, *, content: str = "content", low: float = 0.001, high: float = 0.2, max_terms: int = 1 << 18) -> DataFrame:
+def fit_lexicon(articles: DataFrame, *, content: str = "content", low: float = 0.001, high: float = 0.2, max_terms: int = 1 << 18, equal_once: bool = False) -> DataFrame:
     """(term): hashes of the words found in more than ``low`` and at most ``high`` of all articles.
 
     That is the band of inverse document frequency between ln(1/high) and ln(1/low). Document
-    frequencies are counted over every article. As the mean number of distinct words D of an
+    frequencies are counted over every article, or with ``equal_once`` over every different text. As the mean number of distinct words D of an
     article is finite, at most D/low words lie in the band; if that still exceeds ``max_terms``, the
     rarest are left out, so the lexicon has a fixed size bound and may be broadcast.
     """
-    words = articles.select(F.explode(F.array_distinct(article_words(F.lower(F.col(content))))).alias("word"))
+    texts = articles.select(F.coalesce(F.col(content), F.lit("")).alias("content"))
+    if equal_once:
+        texts = texts.distinct()
+    # an empty word counts the texts
+    words = texts.select(F.explode(F.array_append(F.array_distinct(article_words(F.lower("content"))), "")).alias("word"))
     counted = written(words.groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("n")), "term_counts")
-    total = articles.select(F.lit(1)).count()
+    every = counted.where(F.col("term") == F.xxhash64(F.lit(""))).first()
+    total = every["n"] if every else 0
+    counted = counted.where(F.col("term") != F.xxhash64(F.lit("")))
     band = counted.where((F.col("n") > low * total) & (F.col("n") <= high * total))
     return band.where(F.col("n") >= least_count(band, max_terms)).select("term")
 
@@ -133,7 +139,10 @@ def mark_articles(
     The distinct words of a text that are in ``lexicon`` are sorted by hash; 96 random subsets of
     the lexicon, 32 at each of three rates, give a 16-bit hash each, so that a short text still
     meets some subsets and a long one leaves some untouched. Equal texts have equal marks;
-    null is empty; a text without any term of the lexicon is identified by its whole text.
+    null is empty. Of a text with less than a third of its words in ``lexicon`` all words are terms:
+    else the texts of a large group of near-copies, whose words are all too frequent, had none, and
+    as an edit replaces only part of a text, its edited text mostly falls under the same rule. A
+    text without words is identified by its whole text.
 
     One row per input row. ``group`` names columns by which the rows are already partitioned: then
     terms come together again without a shuffle.
@@ -146,11 +155,15 @@ def mark_articles(
     rows = rows.select(*group, "_row", *keep, *plain, F.explode(sides).alias("s"))
     rows = rows.select(*group, "_row", *keep, *(f"_plain_{i}" for i in range(len(texts))), "s.side", F.explode("s.words").alias("word"))
     rows = rows.withColumn("term", F.xxhash64("word")).drop("word")
-    empty = articles.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"))
-    terms = rows.join(F.broadcast(lexicon.unionByName(empty)), "term", "left_semi")
-    sets = [F.array_remove(F.sort_array(F.collect_set(F.when(F.col("side") == i, F.col("term")))), F.xxhash64(F.lit(""))).alias(f"_terms_{i}") for i in range(len(texts))]
+    terms = rows.join(F.broadcast(lexicon.withColumn("known", F.lit(True))), "term", "left")
+    word = F.col("term") != F.xxhash64(F.lit(""))
+    own = lambda i, which: F.collect_set(F.when((F.col("side") == i) & word & which, F.col("term")))
+    known = F.col("known").isNotNull()
+    sets = [c for i in range(len(texts)) for c in (own(i, known).alias(f"_terms_{i}"), own(i, ~known).alias(f"_others_{i}"))]
     firsts = [F.first(c).alias(c) for c in keep] + [F.first(f"_plain_{i}").alias(f"_plain_{i}") for i in range(len(texts))]
     grouped = terms.groupBy(*group, "_row").agg(*firsts, *sets)
+    few = lambda i: 2 * F.size(f"_terms_{i}") < F.size(f"_others_{i}")
+    grouped = grouped.withColumns({f"_terms_{i}": F.sort_array(F.when(few(i), F.concat(f"_terms_{i}", f"_others_{i}")).otherwise(F.col(f"_terms_{i}"))) for i in range(len(texts))})
     return grouped.select(*keep, *(_mark(F.col(f"_terms_{i}"), F.col(f"_plain_{i}")).alias(name) for i, name in enumerate(texts)))
 
 
@@ -161,10 +174,11 @@ def fingerprint_revisions(
 
     Each article next to a revision of itself, whose last quarter is overwritten with the start of
     the next article by url (an integer), and next to that article. Null texts are empty; a table of
-    one row has itself as the next article. Texts are moved once, to bring neighbours together.
+    one row has itself as the next article. Document frequencies count equal texts once. Texts are
+    moved twice, to find equal ones and to bring neighbours together.
     """
     rows = articles.select(F.col(url).alias("url"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("content"))
-    lexicon = fit_lexicon(rows, low=low, high=high)
+    lexicon = fit_lexicon(rows, low=low, high=high, equal_once=True)
     pairs = following(rows, "url", "content")
     pairs = pairs.withColumn("revised", revised(F.col("content"), F.col("next_content"))).drop("next_content")
     pairs = pairs.withColumns({"n_chars": F.length("content").cast("long"), "revised_sha256": F.sha2(F.col("revised").cast("binary"), 256)})

@@ -201,6 +201,23 @@ def test_fingerprints_of_revisions(spark):
     assert len({r["fingerprint"] for r in rows.values()}) == len(rows) - 1
 
 
+@pytest.mark.parametrize("edited", [False, True])
+def test_fingerprints_of_a_large_group_of_copies(spark, edited):
+    rng = random.Random(6)
+    hot = samples.text(rng, words=200).split()
+    rows = []
+    for i in range(60):  # a third of the rows
+        words = list(hot)
+        for at in rng.sample(range(200), 10 if edited else 0):
+            words[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(i, samples.text(rng, words=200)) for i in range(60, 180)]
+    got = {r["url"]: r for r in fingerprints.fingerprint_revisions(spark.createDataFrame(rows, "url long, content string")).collect()}
+    assert min(got[i]["near_next"] for i in range(59)) > 0.5
+    assert min(got[i]["near_revised"] for i in range(60)) > 0.25
+    assert max(got[i]["near_next"] for i in range(59, 180)) < 0.5
+
+
 def test_likeness_estimates_jaccard(spark):
     rng = random.Random(4)
     rows = []

@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ppm
-from .common import arrow_schema, read_articles, small_batches, utf8
+from .common import arrow_schema, read_articles, small_batches, utf8, written
 
 UNDETERMINED = "und"
+_PLACES = 16  # parts taken of a text that is too long
 
 
 def letters(content: Column) -> Column:
@@ -41,24 +42,66 @@ class LanguageModel:
         return out
 
 
+def _most_of_a_text(texts: DataFrame, training_bytes: int) -> dict[str, tuple[int, int]]:
+    """Language: (bytes to take of a text at most, bytes all its texts then give).
+
+    A 64th of ``training_bytes``, doubled until the texts of the language reach ``training_bytes``
+    or are whole.
+    """
+    least = max(training_bytes // 64, 256)
+    step = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / F.lit(float(least))))).cast("int")  # doublings that leave a text whole
+    found: dict[str, list[tuple[int, int, int]]] = {}
+    for r in texts.groupBy("language", step.alias("step")).agg(F.count("*").alias("texts"), F.sum("size").alias("size")).collect():
+        found.setdefault(r["language"], []).append((r["step"], r["texts"], r["size"]))
+    out = {}
+    for name, bins in found.items():
+        for k in range(max(s for s, _, _ in bins) + 1):
+            total = sum(size if s <= k else n * (least << k) for s, n, size in bins)
+            if total >= training_bytes:
+                break
+        # the bytes given are concave in the most of a text, so this much less still reaches the bound
+        out[name] = (-(-(least << k) * training_bytes // total) if k and total > training_bytes else least << k, total)
+    return out
+
+
+def _places(content: Column, rank: Column, most: Column) -> Column:
+    """``content``, or of a text above ``most`` bytes about so many from hashed places, one in each of equal parts."""
+    n = F.length(content)
+    width = F.greatest(F.lit(1), F.floor(most * n / F.octet_length(content) / _PLACES)).cast("int")
+    part = F.floor(n / _PLACES).cast("int")
+    start = lambda i: F.lit(i) * part + F.pmod(F.xxhash64(rank, F.lit(i)), F.greatest(F.lit(1), part - width + 1)).cast("int") + 1
+    parts = F.concat_ws(" ", *(F.substring(content, start(i), width) for i in range(_PLACES)))
+    return F.when(F.octet_length(content) <= most, content).otherwise(parts)
+
+
 def fit_language_model(
     articles: DataFrame, *, content: str = "content", language: str = "language", order: int = 4, training_bytes: int = 1 << 20
 ) -> LanguageModel:
-    """Context counts of each language, from about ``training_bytes`` of its articles.
+    """Context counts of each language, from about ``training_bytes`` of its different texts.
 
-    Articles are drawn by a hash of their text, so the draw is the same in every run; a language
-    with less text is used whole. Rows with a null language or without a letter teach nothing, and
-    equal texts are equal draws. An empty table gives a model without languages.
+    Equal texts count once. Texts are taken in the order of a hash until they reach the bound, so
+    the draw is the same in every run; a language with less text is used whole. Of a long text only
+    ``_PLACES`` hashed parts are read: a 64th of the bound together, more where the language has too
+    few texts for that. Rows with a null language or without a letter teach nothing. An empty table
+    gives a model without languages.
     """
     rows = articles.select(F.col(content).cast("string").alias("content"), F.col(language).cast("string").alias("language"))
     rows = rows.where(F.col("language").isNotNull() & F.col("content").rlike(r"\p{L}"))
-    size = {r["language"]: r["size"] for r in rows.groupBy("language").agg(F.sum(F.octet_length("content")).alias("size")).collect()}
-    languages = sorted(size)
+    rows = rows.withColumn("rank", F.shiftrightunsigned(F.xxhash64("content", F.lit("draw")), 1))
+    texts = written(rows.groupBy("language", "rank").agg(F.max(F.octet_length("content")).cast("long").alias("size")), "text_sizes")
+    most = _most_of_a_text(texts, training_bytes)
+    languages = sorted(most)
     if not languages:
         return LanguageModel(order, [], [], ppm.Index(np.empty(0, np.uint64)), np.empty((0, 0)))
-    share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, training_bytes / size[k]))))
-    drawn = rows.where(F.pmod(F.xxhash64("content", F.lit("draw")), F.lit(1 << 20)) < share[F.col("language")] * (1 << 20))
-    drawn = drawn.select(letters(F.col("content")).alias("content"), "language")
+    of = lambda i: F.create_map(*(F.lit(x) for k in languages for x in (k, most[k][i])))[F.col("language")]
+    # four times the bound is left to put in order; the most of a text is so small a part of it that this holds
+    some = texts.where(F.col("rank") / float(1 << 63) < 4.0 * training_bytes / of(1)).withColumn("taken", F.least(F.col("size"), of(0)))
+    before = F.sum("taken").over(Window.partitionBy("language").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    last = some.select("language", "rank", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < training_bytes)
+    bounds = {r["language"]: r["last"] for r in last.groupBy("language").agg(F.max("rank").alias("last")).collect()}
+    bound = F.create_map(*(F.lit(x) for k in languages for x in (k, bounds[k])))[F.col("language")]
+    drawn = rows.where(F.col("rank") <= bound).select("language", "rank", _places(F.col("content"), F.col("rank"), of(0)).alias("content"))
+    drawn = drawn.dropDuplicates(["language", "rank"]).select(letters(F.col("content")).alias("content"), "language")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "content"):

@@ -51,6 +51,17 @@ def test_language_draws_about_the_stated_amount(spark):
     assert 5_000 < model.trees[0].n[0].sum() < 45_000
 
 
+def test_language_draws_from_few_long_and_from_copied_texts(spark):
+    rng = random.Random(3)
+    rows = [(samples.text(rng, "en", 20_000), f"long{i}") for i in range(8) for _ in range(3)]
+    rows += [(samples.text(rng, words=500), "copied")] * 200 + [(samples.text(rng, words=150), "copied") for _ in range(40)]
+    rows += [(samples.text(rng, words=50), "short"), (samples.text(rng, words=50), "short")]
+    model = language.fit_language_model(spark.createDataFrame(rows, "content string, language string"), training_bytes=20_000)
+    read = {k: int(t.n[0].sum()) for k, t in zip(model.languages, model.trees, strict=True)}
+    assert all(15_000 < n < 25_000 for k, n in read.items() if k != "short")
+    assert read["short"] == sum(len(re.sub("[^a-z]+", " ", c.lower()).strip()) + 1 for c, k in rows if k == "short")
+
+
 def _quality_articles(spark, n=400):
     rng = random.Random(5)
     rows = []

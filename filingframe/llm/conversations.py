@@ -223,7 +223,7 @@ def repair_conversations(
     """(conversation, place, edit, role, content, summary): the repaired turns of every conversation, then its summary.
 
     Turns are read by number, nulls first; turns of one number by role and the MD5 of the content.
-    Null roles and contents count as one space. A turn is *blank* (nothing but white space), a
+    Null roles and contents count as one space; an empty role is nobody's and never kept. A turn is *blank* (nothing but white space), a
     *duplicate* (role and content were there before) or *truncated* (does not end in a full stop,
     exclamation or question mark); the first that holds counts. Edits: Keep, Rerole to user or
     assistant, Delete, Insert of an empty turn; blank turns and duplicates are always deleted. The

@@ -233,41 +233,84 @@ def o5(spark, sf):
     return d.select("doc_id", O.clip("text", 300, "…").alias("clipped"), F.when((F.length("text") > 300) & (F.instr(F.reverse(F.substring("text", 1, 300)), ". ") > 0) & (F.length(at) < 300), 1).otherwise(0).alias("has_break"))
 
 
-def _source_sections(spark, sf, max_body=None):
+def _texts(spark, sf):
+    """Report text, research texts and articles of every issuer."""
     n = X.news(spark, sf)
     reports = n.groupBy("issuer").agg(F.concat(F.lit("# "), F.first("issuer"), F.lit(" "), F.count("*").cast("string")).alias("report_text"))
     research = n.select("issuer", F.concat(F.lit("r"), F.lpad(F.col("ord").cast("string"), 12, "0"), F.lit(".pdf")).alias("file"), F.col("title").alias("text"))
-    return RP.source_sections(reports, research, n.select("issuer", "date", "ord", W.news_entry(max_body=max_body).alias("entry")))
+    return reports, research, n
 
 
 _ENTRY_WHOLE = "'- ['||strftime(\"date\",'%Y-%m-%d')||'] '||title||CASE WHEN coalesce(\"content\",'')<>'' THEN chr(10)||'  '||\"content\" ELSE '' END"
 
 
-def _sections_sql(entry: str) -> str:
-    return NEWS + f""", sections AS (
+@query(
+    "e14_source_sections",
+    NEWS + f""", sections AS (
       SELECT issuer, 0 part, '' "key", '# '||issuer||' '||count(*) body FROM news GROUP BY issuer
       UNION ALL SELECT issuer, 1, 'r'||lpad(CAST(ord AS VARCHAR),12,'0')||'.pdf', title FROM news WHERE title<>''
-      UNION ALL SELECT issuer, 2, strftime("date",'%Y-%m-%d')||' '||lpad(CAST(ord AS VARCHAR),19,'0'), {entry} FROM news)"""
-
-
-@query("e14_source_sections", _sections_sql(_ENTRY_WHOLE) + ' SELECT issuer, part, "key", body FROM sections')
+      UNION ALL SELECT issuer, 2, strftime("date",'%Y-%m-%d')||' '||lpad(CAST(ord AS VARCHAR),19,'0'), {_ENTRY_WHOLE} FROM news)
+    SELECT issuer, part, "key", body FROM sections""",
+)
 def e14s(spark, sf):
     """Report, research and news texts of every issuer, whole."""
-    return _source_sections(spark, sf)
+    reports, research, n = _texts(spark, sf)
+    return RP.source_sections(reports, research, n.select("issuer", "date", "ord", W.news_entry().alias("entry")))
+
+
+# Written from the stated rules, not from the operators: the titles met so far are walked one by one.
+_DIGEST_SQL = (
+    NEWS.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+  bare AS (SELECT issuer, ord, title, "date", "content",
+      regexp_replace(regexp_replace(title, '\\[.*?\\]|【.*?】', '', 'g'), '\\s+', '', 'g') AS norm FROM news),
+  met AS (SELECT issuer, list({{'o': ord, 'n': norm}} ORDER BY ord) AS l FROM bare WHERE norm <> '' GROUP BY issuer),
+  walk AS (
+    SELECT issuer, l, 1 AS i, []::STRUCT(o BIGINT, n VARCHAR)[] AS seen FROM met
+    UNION ALL
+    SELECT issuer, l, i + 1, CASE WHEN len(list_filter(seen, lambda s: least(length(s.n), length(l[i].n)) >= 8 AND (contains(s.n, l[i].n) OR contains(l[i].n, s.n)))) = 0
+      THEN list_append(seen, l[i]) ELSE seen END
+    FROM walk WHERE i <= len(l)),
+  single AS (SELECT issuer, unnest(list_transform(seen, lambda s: s.o)) AS ord FROM walk WHERE i = len(l) + 1),
+  entries AS (SELECT issuer, ord, {_ENTRY} AS entry FROM news SEMI JOIN single USING (issuer, ord) WHERE title <> ''),
+  digest AS (
+    SELECT issuer, ord, entry FROM (
+      SELECT *, coalesce(sum(length(entry)) OVER (PARTITION BY issuer ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM entries) WHERE used < 15000)"""
+)
+
+
+@query("e14_news_digest", _DIGEST_SQL + " SELECT issuer, ord, entry FROM digest")
+def e14d(spark, sf):
+    """News of every issuer without near-equal titles, within 15,000 characters."""
+    return RP.news_digest(X.news(spark, sf))
+
+
+@query(
+    "e14_bundle_rows",
+    _DIGEST_SQL + """ SELECT issuer, 0 AS part, '' AS "key", '### 자동 생성된 재무 분석 보고서 (섹션 1~4)' || repeat(chr(10), 2) || '# ' || issuer || ' ' || count(*) AS text FROM news GROUP BY issuer
+    UNION ALL SELECT issuer, 1, file, '### 리서치 리포트: ' || file || repeat(chr(10), 2) || title
+      FROM (SELECT *, 'r' || lpad(CAST(ord AS VARCHAR), 12, '0') || '.pdf' AS file FROM news) f WHERE title <> ''
+    UNION ALL SELECT issuer, 2, lpad(CAST(ord AS VARCHAR), 19, '0'),
+      CASE WHEN ord = min(ord) OVER (PARTITION BY issuer) THEN '### 최근 뉴스' || repeat(chr(10), 2) ELSE '' END || entry FROM digest""",
+)
+def e14r(spark, sf):
+    """The bundle of every issuer as rows in order."""
+    reports, research, n = _texts(spark, sf)
+    return RP.bundle_rows(reports, research, RP.news_digest(n)).drop("joint")
 
 
 @query(
     "e14_source_bundle",
-    _sections_sql(_ENTRY) + """, b AS (SELECT *, coalesce(sum(length(body)) OVER (PARTITION BY issuer ORDER BY part, "key" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) before FROM sections),
-    f AS (SELECT * FROM b WHERE before<15000),
-    t AS (SELECT issuer, 0 p, '' k, '### 자동 생성된 재무 분석 보고서 (섹션 1~4)'||chr(10)||chr(10)||body x FROM f WHERE part=0
-      UNION ALL SELECT issuer, 1, "key", '### 리서치 리포트: '||"key"||chr(10)||chr(10)||body FROM f WHERE part=1
-      UNION ALL SELECT issuer, 2, '', '### 최근 뉴스'||chr(10)||chr(10)||string_agg(body, chr(10) ORDER BY "key") FROM f WHERE part=2 GROUP BY issuer)
-    SELECT issuer, string_agg(x, chr(10)||chr(10)||'---'||chr(10)||chr(10) ORDER BY p, k) sources_content FROM t GROUP BY issuer""",
+    _DIGEST_SQL + """, parts AS (
+      SELECT issuer, 0 AS p, '### 자동 생성된 재무 분석 보고서 (섹션 1~4)' || repeat(chr(10), 2) || '# ' || issuer || ' ' || count(*) AS x FROM news GROUP BY issuer
+      UNION ALL SELECT issuer, 1, string_agg('### 리서치 리포트: r' || lpad(CAST(ord AS VARCHAR), 12, '0') || '.pdf' || repeat(chr(10), 2) || title, repeat(chr(10), 2) || '---' || repeat(chr(10), 2) ORDER BY ord)
+        FROM news WHERE title <> '' GROUP BY issuer
+      UNION ALL SELECT issuer, 2, '### 최근 뉴스' || repeat(chr(10), 2) || string_agg(entry, chr(10) ORDER BY ord) FROM digest GROUP BY issuer)
+    SELECT issuer, string_agg(x, repeat(chr(10), 2) || '---' || repeat(chr(10), 2) ORDER BY p) AS sources_content FROM parts GROUP BY issuer""",
 )
 def e14(spark, sf):
-    """The same as one text per issuer, within a budget of 15,000 characters."""
-    return RP.source_bundle(_source_sections(spark, sf, max_body=800), max_chars=15_000)
+    """The same as one text per issuer: report and research whole, news within its budget."""
+    reports, research, n = _texts(spark, sf)
+    return RP.source_bundle(RP.bundle_rows(reports, research, RP.news_digest(n)))
 
 
 # -- sources, files ------------------------------------------------------------------------------

@@ -95,15 +95,18 @@ def t2(spark, sf):
     return run_instrument_state(spark, event_records(_events(spark, sf)), scratch_path(spark, "t2"), delay="30 days")
 
 
-# table of a report -> (query it comes from, order of its rows, rows shown, columns)
+# tables across the page -> (query they come from, order of their rows, columns shown, fields)
 _TABLES = {
     "quarters": ("e7_quarterly_rows", ["period"], 8, ["period", "revenue_cell", "operating_income_cell", "net_income_cell"]),
     "years": ("e7_annual_rows", ["fy"], 5, ["fy", "revenue_cell", "operating_income_cell", "net_income_cell"]),
-    "balance": ("e6_balance_sheet_rows", ["fy", "fq", "row_no"], 15, ["fy", "fq", "row_no", "item", "amount", "previous_amount", "note"]),
-    "overhang": ("v8_overhang_table", ["category_label", "instrument_key"], 50, ["instrument_key", "category_label", "remaining_amount", "exercise_price", "dilution_ratio", "exercise_period"]),
-    "contracts": ("e8_contract_rows", ["ord"], 20, ["ord", "contract_type", "amount_eok", "revenue_ratio_pct", "contract_period"]),
     "backlog": ("e12_backlog_series", ["period"], 8, ["period", "total", "breakdown", "yoy"]),
 }
+# tables of any length -> (query, order, coarsening of the order, fields)
+_DETAILS = {
+    "balance": ("e6_balance_sheet_rows", ["fy", "fq", "row_no"], "fy", ["fy", "fq", "row_no", "item", "amount", "previous_amount", "note"]),
+    "overhang": ("v8_overhang_table", ["category_label", "instrument_key"], "category_label", ["instrument_key", "category_label", "remaining_amount", "exercise_price", "dilution_ratio", "exercise_period"]),
+    "contracts": ("e8_contract_rows", ["ord"], "floor(ord / 4096)", ["ord", "contract_type", "amount_eok", "revenue_ratio_pct", "contract_period"]),
+}
 _SCALARS = {
     "pbr": "e2_pbr", "trailing_per": "e3_trailing_per", "forward_per": "e4_forward_per", "fully_diluted": "e5_fully_diluted_cap",
     "low_price": "a7_price_summary_short", "high_price": "a7_price_summary_short", "return_label": "a7_price_summary_short",
@@ -112,23 +115,27 @@ _SCALARS = {
 
 def _report_sql() -> str:
     parts = [f"SELECT issuer, '{c}' AS section, 1 pos, CAST({c} AS VARCHAR) AS row FROM ({SQL[q]}) s WHERE {c} IS NOT NULL" for c, q in _SCALARS.items()]
+    cells = lambda columns: "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in columns) + ")"
+    number = lambda order: f"row_number() OVER (PARTITION BY issuer ORDER BY {', '.join(order)})"
     for name, (q, order, n, columns) in _TABLES.items():
-        down, up, cells = ", ".join(f"{c} DESC" for c in order), ", ".join(order), ", ".join(f"CAST({c} AS VARCHAR)" for c in columns)
-        parts.append(
-            f"SELECT issuer, '{name}', row_number() OVER (PARTITION BY issuer ORDER BY {up}) pos, concat_ws('|', {cells})"
-            f" FROM (SELECT * FROM ({SQL[q]}) t QUALIFY row_number() OVER (PARTITION BY issuer ORDER BY {down}) <= {n}) u"
-        )
+        latest = number([f"{c} DESC" for c in order])
+        parts.append(f"SELECT issuer, '{name}', {number(order)} pos, {cells(columns)} FROM (SELECT * FROM ({SQL[q]}) t QUALIFY {latest} <= {n}) u")
+    for name, (q, order, _, columns) in _DETAILS.items():
+        parts.append(f"SELECT issuer, '{name}', {number(order)} pos, {cells(columns)} FROM ({SQL[q]}) t")
     return " UNION ALL ".join(parts)
 
 
 @query("e15_assemble_report", _report_sql())
 def e15(spark, sf):
-    """One nested record per issuer from statements, valuation, prices, contracts and dilution, as lines."""
-    tables = {name: (QUERIES[q](spark, sf).select("issuer", *columns), order, n) for name, (q, order, n, columns) in _TABLES.items()}
-    scalars = [QUERIES[q](spark, sf).select("issuer", *(c for c in _SCALARS if _SCALARS[c] == q)) for q in dict.fromkeys(_SCALARS.values())]
+    """Report of every issuer as lines: the record of scalars, years, quarters and backlog, then all balance items, instruments and contracts."""
+    of = lambda q, columns: QUERIES[q](spark, sf).select("issuer", *columns)
+    tables = {name: (of(q, columns), order, n) for name, (q, order, n, columns) in _TABLES.items()}
+    scalars = [of(q, [c for c in _SCALARS if _SCALARS[c] == q]) for q in dict.fromkeys(_SCALARS.values())]
     ids = [df.select("issuer") for df in (*scalars, *(t[0] for t in tables.values()))]
     issuers = ids[0]
     for other in ids[1:]:
         issuers = issuers.unionByName(other)
-    full = RP.assemble_report(issuers.distinct(), scalars, tables)
-    return RP.report_rows(full, list(_SCALARS), list(tables)).withColumn("pos", F.col("pos").cast("bigint"))
+    lines = RP.report_rows(RP.assemble_report(issuers.distinct(), scalars, tables), list(_SCALARS), list(tables))
+    for name, (q, order, slot, columns) in _DETAILS.items():
+        lines = lines.unionByName(RP.detail_lines(of(q, columns), name, order=order, slot=F.expr(slot)))
+    return lines

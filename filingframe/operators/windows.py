@@ -112,7 +112,7 @@ def news_entry(day: str = "date", title: str = "title", content: str = "content"
     cut = body
     if max_body is not None:
         cut = F.concat(F.substring(body, 1, max_body), F.when(F.length(body) > max_body, "...").otherwise(""))
-    head = F.concat(F.lit("- ["), F.date_format(day, "yyyy-MM-dd"), F.lit("] "), F.col(title))
+    head = F.concat(F.lit("- ["), F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit("")), F.lit("] "), F.col(title))
     return F.concat(head, F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit("\n  "), cut)).otherwise(""))
 
 

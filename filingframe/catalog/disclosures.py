@@ -39,7 +39,11 @@ def _pick(expr, values):
 
 
 def notes(spark, sf):
-    d = X.disc(spark, sf).where("kind = 'signup'")
+    return notes_of(X.disc(spark, sf))
+
+
+def notes_of(disc, *more):
+    d = disc.where("kind = 'signup'")
     k = F.col("k")
     return d.select(
         "issuer", "ord", _pick(k % 4, ["CB", "BW", "SO", "전환우선주"]).alias("category"), "series",
@@ -50,6 +54,7 @@ def notes(spark, sf):
         F.when(k % 6 == 0, 0).otherwise(F.col("price")).cast("bigint").alias("conversion_price"),
         F.when(k % 9 == 0, "").otherwise("2023.01.05").alias("exercise_start"),
         F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("2024.01."), (k % 19 + 10).cast("string"))).alias("exercise_end"),
+        *more,
     )
 
 
@@ -68,7 +73,11 @@ def _receipt():
 
 
 def decisions(spark, sf):
-    d = X.disc(spark, sf).where("kind = 'view'")
+    return decisions_of(X.disc(spark, sf))
+
+
+def decisions_of(disc, *more):
+    d = disc.where("kind = 'view'")
     k = F.col("k")
     day = F.date_format("entry_date", "yyyyMMdd")
     cat = _pick(k % 6, ["CB", "BW", "PERPETUAL", "STOCK_OPTION", "RIGHTS_ISSUE", "MIXED_ISSUE"])
@@ -85,6 +94,7 @@ def decisions(spark, sf):
         _receipt().alias("rcept_no"),
         F.lit(sc.RIGHTS_CATEGORY).alias("share_type"),
         day.alias("pdf_date"),
+        *more,
     )
 
 
@@ -100,7 +110,11 @@ decisions AS (SELECT issuer, ord, ['CB','BW','PERPETUAL','STOCK_OPTION','RIGHTS_
 
 
 def exercises(spark, sf, keyless: bool = False):
-    d = X.disc(spark, sf).where("kind = 'click'")
+    return exercises_of(X.disc(spark, sf), keyless=keyless)
+
+
+def exercises_of(disc, *more, keyless: bool = True):
+    d = disc.where("kind = 'click'")
     k = F.col("k")
     nothing = F.lit(None).cast("bigint")
     return d.select(
@@ -115,6 +129,7 @@ def exercises(spark, sf, keyless: bool = False):
         F.when(k % 4 == 3, 0).when(k % 4 == 2, nothing).otherwise(F.col("shares") + 3).cast("bigint").alias("convertible_shares"),
         F.when(k % 7 == 5, F.col("shares") + 9).alias("remaining_shares"),
         F.when(k % 12 == 11, F.col("shares") + 11).alias("new_shares"),
+        *more,
     )
 
 
@@ -129,7 +144,11 @@ exer AS (SELECT issuer, entry_date, ord, CASE WHEN k%2=0 THEN '신주인수권
 
 
 def adjustments(spark, sf, keyless: bool = False):
-    d = X.disc(spark, sf).where("kind = 'purchase'")
+    return adjustments_of(X.disc(spark, sf), keyless=keyless)
+
+
+def adjustments_of(disc, *more, keyless: bool = True):
+    d = disc.where("kind = 'purchase'")
     k = F.col("k")
     nothing = F.lit(None).cast("bigint")
     series = F.when((k % 10 == 7) & F.lit(keyless), nothing).otherwise(F.col("series"))
@@ -141,6 +160,7 @@ def adjustments(spark, sf, keyless: bool = False):
         F.col("shares").alias("shares_before"), nothing.alias("current_shares"),
         F.when(k % 3 == 0, nothing).otherwise(F.col("shares") + 21).alias("shares_after"),
         F.when(k % 5 == 0, nothing).when(k % 5 == 1, 0).otherwise(F.col("face")).cast("bigint").alias("unconverted"),
+        *more,
     )
 
 
@@ -386,9 +406,85 @@ def o4(spark, sf):
     )
 
 
-@query("v9_fold_instruments")
+# The whole state, one record after the other: a book per issuer, a list in the order of opening.
+# Written from the stated rules; the operators use aggregates instead.
+_BOOK = {"key": "VARCHAR", "category": "VARCHAR", "series": "BIGINT", "kind": "VARCHAR", "face": "BIGINT", "rem": "BIGINT", "price": "BIGINT", "shares": "BIGINT", "a": "VARCHAR", "b": "VARCHAR"}
+
+
+def walk_sql(counts: str = "true", more: str = "") -> str:
+    """Instruments of every issuer after notes, decisions, exercises and adjustments; ``counts`` says which of the last three do."""
+    book = "STRUCT(" + ", ".join(f"{n} {t}" for n, t in _BOOK.items()) + ")"
+    none = {"key": "NULL", "category": "NULL", "series": "NULL", "kind": "''", "face": "NULL", "rem": "NULL", "price": "NULL", "shares": "NULL", "a": "''", "b": "''", "q": "NULL", "old": "NULL"}
+
+    def rec(phase: int, mode: str, source: str, day: str = "NULL", **values: str) -> str:
+        cols = ", ".join(f"{values.get(n, v)} AS {n}" for n, v in none.items())
+        return f"SELECT issuer, {phase} AS phase, {mode} AS mode, {day} AS day, ord, {cols} FROM {source}"
+
+    parts = [
+        rec(1, "'note'", "notes", key=_KEY, category="category", series="series", kind="kind", face="face_value", price="conversion_price", a="exercise_start", b="exercise_end",
+            rem="CASE WHEN category='SO' THEN 0 ELSE coalesce(remaining_balance, face_value) END",
+            shares="CASE WHEN category='SO' OR coalesce(remaining_balance, face_value) > 0 THEN convertible_shares ELSE 0 END"),
+        rec(2, "'bond'", f"decisions SEMI JOIN later USING (ord) WHERE category IN ('CB','BW','PERPETUAL')", key="category||'_'||series", category="CASE category WHEN 'PERPETUAL' THEN '영구채' ELSE category END",
+            series="series", kind="'kind'", face="face_value", rem="face_value", price="conversion_price", a="cv_start", b="cv_end", shares="convertible_shares"),
+        rec(2, "'option'", f"decisions SEMI JOIN later USING (ord) WHERE category='STOCK_OPTION' AND coalesce(nullif(shares,0), convertible_shares) > 0", key="'SO_'||series", category="'주식매수선택권'",
+            series="series", kind="'kind'", face="0", rem="0", price="coalesce(nullif(exercise_price,0), conversion_price)", a="cv_start", b="cv_end", shares="coalesce(nullif(shares,0), convertible_shares)"),
+        rec(2, "'rights'", f"decisions SEMI JOIN later USING (ord) WHERE category LIKE '%ISSUE' AND shares > 0", key="'RIGHTS_'||rcept_no", category="'전환우선주'", series="0", kind="'전환우선주'",
+            face="face_value", rem="face_value", price="coalesce(nullif(conversion_price,0), 700)", a="cv_start", b="cv_end", shares="shares"),
+        rec(3, "'grant'", "exer SEMI JOIN later USING (ord) WHERE is_option AND new_shares > 0", day="entry_date", key="'SO_0'", category="'주식매수선택권'", series="0", face="0", rem="0", price="0", shares="new_shares"),
+        rec(3, "'balance'", "keyless SEMI JOIN later USING (ord) WHERE NOT is_option AND NOT exchangeable", day="entry_date",
+            key="CASE WHEN type='신주인수권행사' THEN 'BW_' ELSE 'CB_' END||series", category="CASE WHEN type='신주인수권행사' THEN 'BW' ELSE 'CB' END", series="series",
+            kind="'제'||series||'회'", face="face_value", rem="CASE WHEN has_remaining THEN remaining ELSE face_value END", price="conversion_price", shares="coalesce(nullif(convertible_shares,0), remaining_shares)"),
+        rec(4, "CASE part WHEN 0 THEN 'price' ELSE 'shares' END", "changes SEMI JOIN later USING (ord) WHERE CASE part WHEN 0 THEN price_after IS NOT NULL ELSE coalesce(shares_after, unconverted) IS NOT NULL END",
+            day="entry_date", series="series", price="price_after", rem="CASE part WHEN 1 THEN unconverted END", shares="CASE part WHEN 1 THEN shares_after END", old="CASE part WHEN 0 THEN price0 ELSE shares0 END"),
+    ]
+    named = "mode IN ('note', 'bond', 'option', 'rights')"
+    place = f"""CASE WHEN {named} THEN list_position(list_transform(book, lambda x: x.key = r.key), true)
+        WHEN mode = 'grant' THEN list_position(list_transform(book, lambda x: x.category IN ('SO', '주식매수선택권')), true)
+        WHEN r.series IS NOT NULL THEN list_position(list_transform(book, lambda x: x.series = r.series), true)
+        WHEN mode = 'balance' THEN list_position(list_transform(book, lambda x: r.price <> 0 AND starts_with(x.key, 'RIGHTS_') AND x.price = r.price), true)
+        WHEN mode = 'price' THEN list_position(list_transform(book, lambda x: r.old <> 0 AND x.price = r.old), true)
+        ELSE list_position(list_transform(book, lambda x: r.old <> 0 AND x.shares = r.old), true) END"""
+    lacks = lambda f, blank="0": f"CASE WHEN x.{f} = {blank} THEN coalesce(nullif(s.{f}, {blank}), x.{f}) ELSE x.{f} END"
+    newer = lambda f, blank="0": f"coalesce(nullif(s.{f}, {blank}), x.{f})"
+    no_face = "s.mode = 'bond' AND x.face = 0 AND coalesce(s.face, 0) <> 0"
+    term = lambda f: f"CASE WHEN s.mode IN ('bond', 'rights') THEN {lacks(f, chr(39) * 2)} WHEN s.mode = 'option' THEN {newer(f, chr(39) * 2)} ELSE x.{f} END"
+    merged = {
+        "key": "x.key", "category": "x.category", "series": "x.series", "kind": "x.kind", "face": f"CASE WHEN {no_face} THEN s.face ELSE x.face END",
+        "rem": f"CASE WHEN s.mode IN ('balance', 'shares') THEN coalesce(s.rem, x.rem) WHEN {no_face} THEN s.face ELSE x.rem END",
+        "price": f"CASE WHEN s.mode IN ('bond', 'rights') THEN {lacks('price')} WHEN s.mode = 'option' THEN {newer('price')} WHEN s.mode IN ('balance', 'price') THEN coalesce(s.price, x.price) ELSE x.price END",
+        "shares": f"CASE WHEN s.mode = 'bond' THEN {lacks('shares')} WHEN s.mode IN ('option', 'grant') THEN s.shares WHEN s.mode IN ('balance', 'shares') THEN coalesce(s.shares, x.shares)"
+        " WHEN s.mode = 'price' AND s.price >= 100 AND x.rem <> 0 THEN x.rem // s.price ELSE x.shares END",
+        "a": term("a"), "b": term("b"),
+    }
+    zero = lambda f: f"coalesce(s.{f}, 0)"
+    opened = {
+        **{n: f"s.{n}" for n in ("key", "category", "series", "kind", "a", "b")}, "rem": zero("rem"), "price": zero("price"),
+        "face": "CASE WHEN s.mode = 'balance' THEN coalesce(nullif(s.face, 0), s.rem, 0) ELSE coalesce(s.face, 0) END",
+        "shares": "CASE WHEN s.mode = 'bond' AND coalesce(s.shares, 0) = 0 AND coalesce(s.price, 0) >= 100 THEN coalesce(s.face, 0) // s.price ELSE coalesce(s.shares, 0) END",
+    }
+    fields = lambda d: "{" + ", ".join(f"'{n}': {v}" for n, v in d.items()) + "}"
+    hit = "i = s.place OR (s.mode = 'grant' AND x.category IN ('SO', '주식매수선택권'))"
+    opens = f"s.{named} OR s.mode = 'grant' OR (s.mode = 'balance' AND s.series IS NOT NULL AND (coalesce(s.rem, 0) <> 0 OR coalesce(s.shares, 0) <> 0))"
+    return DISC.replace("WITH ", "WITH RECURSIVE ", 1) + more + f""", {NOTES_SQL}, {DECISIONS_SQL}, {EXERCISES_SQL}, {ADJ_SQL},
+keyless AS (SELECT e.* REPLACE (CASE WHEN d.k%10=9 THEN NULL ELSE e.series END AS series) FROM exer e JOIN disc d USING (ord)),
+changes AS (SELECT a.* REPLACE (CASE WHEN d.k%10=7 THEN NULL ELSE a.series END AS series), d.price AS price0, d.shares AS shares0 FROM adj a JOIN disc d USING (ord)),
+later AS (SELECT ord FROM disc WHERE {counts}),
+recs AS (SELECT *, row_number() OVER (PARTITION BY issuer ORDER BY phase, day, ord) AS n FROM ({" UNION ALL ".join(parts)}) p),
+walk AS (
+  SELECT DISTINCT issuer, CAST(0 AS BIGINT) AS n, CAST([] AS {book}[]) AS book FROM recs
+  UNION ALL
+  SELECT issuer, n, CASE WHEN s.place > 0 THEN
+      list_transform(book, lambda x, i: CASE WHEN NOT ({hit}) THEN x WHEN s.mode = 'note' THEN {fields(opened)} ELSE {fields(merged)} END)
+    WHEN {opens} THEN list_append(book, {fields(opened)}) ELSE book END AS book
+  FROM (SELECT r.*, w.book, coalesce({place}, 0) AS place FROM walk w JOIN recs r ON r.issuer = w.issuer AND r.n = w.n + 1) s),
+ends AS (SELECT issuer, unnest(book) AS x FROM walk QUALIFY n = max(n) OVER (PARTITION BY issuer))
+SELECT issuer, x.key AS instrument_key, x.category AS category, x.series AS series, x.kind AS kind, x.face AS face_value, x.rem AS remaining, x.price AS conversion_price,
+  x.shares AS convertible_shares, x.a AS exercise_start, x.b AS exercise_end FROM ends"""
+
+
+@query("v9_fold_instruments", walk_sql())
 def v9(spark, sf):
-    """The whole fold with keyless records (order-dependent: rows only, brute force in the tests)."""
+    """The whole fold with keyless records."""
     return FD.fold_instruments(
         notes(spark, sf), decisions(spark, sf), exercises(spark, sf, keyless=True), adjustments(spark, sf, keyless=True)
     ).select(*OUT)

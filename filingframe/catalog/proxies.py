@@ -246,7 +246,11 @@ AMOUNT_SQL = "CAST(trunc(TRY_CAST(nullif(replace(replace({c},',',''),' ',''),'-'
 
 def disc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event: issuer, ord, entry_date, kind, series, prices, shares, balances."""
-    e = table(spark, sf_dir, "events")
+    return disc_of(table(spark, sf_dir, "events"))
+
+
+def disc_of(e: DataFrame, *more: str) -> DataFrame:
+    """The same of any event table, a stream too."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     c = cents("value")
     return e.select(
@@ -260,6 +264,7 @@ def disc(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(500).cast("bigint") + (c * 7 + k) % 9500).alias("price"),
         (F.lit(1000).cast("bigint") + (c * 3 + k * 11) % 90000).alias("shares"),
         ((c * 17 + k * 1009) % 1000003 * 1000).alias("face"),
+        *more,
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 # Queries no SQL can state; tests compare them with a plain reading of their rules.
-ROWS_ONLY: set[str] = {"t2_stream_instrument_state", "v9_fold_instruments"}
+ROWS_ONLY: set[str] = set()
 
 
 def query(name: str, sql: str | None = None):

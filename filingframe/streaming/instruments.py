@@ -1,95 +1,216 @@
-"""Dilution state as a stream: one issuer, one keyed state, records in the order they apply."""
+"""Dilution state as a stream: of every record, what still counts, keyed by issuer and series.
+
+Notes, decisions and exercise balances take part by their first or last present value per field
+(see :mod:`..dilution.state`), so of each family only the records that hold such a value are
+kept, whatever their order of arrival. Price adjustments apply in their order: they are held until
+the watermark has passed them and then leave the state for a log. The instruments are the
+batch fold of what is kept, held and logged.
+"""
 
 from __future__ import annotations
 
-import copy
-import datetime
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..dilution.fold import adjust
+from ..dilution import schemas as sc
+from ..dilution.fold import fold_instruments
+from ..dilution.state import instrument_key
+
+_DATED = {"balance", "adjustment"}  # families with a date of their own
+FAMILIES = {"note": sc.NOTE, "decision": sc.EVENT, "balance": sc.BALANCE, "adjustment": sc.ADJUSTMENT}
+_FIELDS = {f: [c.split() for c in schema.split(", ") if not c.startswith("issuer ")] for f, schema in FAMILIES.items()}
+# dates travel as text, which sorts as they do
+_VALUE = {f: ", ".join(f"{n} {'string' if t == 'date' else t}" for n, t in fields) for f, fields in _FIELDS.items()}
+SETTLED = "issuer bigint, " + _VALUE["adjustment"]
+
+
+def _present(c: str | Column) -> Column:
+    return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(0)).isNotNull()
+
+
+def _offers(*offers: tuple[str, bool, Column]) -> Column:
+    """Slots a record competes for, with whether the latest or the earliest takes it."""
+    if not offers:
+        return F.array().cast("array<struct<slot: string, latest: boolean>>")
+    all_of = F.array(*(F.struct(F.lit(slot).alias("slot"), F.lit(latest).alias("latest"), fits.alias("fits")) for slot, latest, fits in offers))
+    return F.transform(F.filter(all_of, lambda o: F.coalesce(o["fits"], F.lit(False))), lambda o: F.struct(o["slot"].alias("slot"), o["latest"].alias("latest")))
 
-INSTRUMENT = "instrument_key string, category string, series bigint, kind string, face_value bigint, remaining bigint, conversion_price bigint, convertible_shares bigint, first_date string, first_ord bigint"
-RECORD = (
-    "is_record boolean, entry_date string, ord bigint, part int, pos bigint, reference_date string, instrument_key string, category string, kind string,"
-    " series bigint, face_value bigint, remaining bigint, conversion_price bigint, convertible_shares bigint,"
-    " price_before bigint, price_after bigint, shares_before bigint, current_shares bigint, shares_after bigint, unconverted bigint"
-)
-OUTPUT = "issuer bigint, instrument_key string, category string, series bigint, remaining bigint, conversion_price bigint, convertible_shares bigint"
 
+def _rows(df: DataFrame, family: str, time: str, series: Column, target: Column, offers: Column) -> DataFrame:
+    """The stream's input: key, place in the order, slots and the record itself."""
+    number = lambda c: F.lpad(F.coalesce(c, F.lit(0)).cast("string"), 19, "0")
+    places = [F.col("entry_date").cast("string")] if family in _DATED else []
+    places += [number(F.col(c)) for c in ("ord", "part", "pos") if c in [n for n, _ in _FIELDS[family]]]
+    value = F.struct(*(F.col(n).cast("string" if t == "date" else t).alias(n) for n, t in _FIELDS[family]))
+    others = [(value if f == family else F.lit(None).cast(f"struct<{', '.join(f'{c[0]}: {c[1]}' for c in (x.split() for x in _VALUE[f].split(', ')))}>")).alias(f) for f in FAMILIES]
+    return df.select(
+        time, "issuer", series.cast("bigint").alias("series"), F.lit(family).alias("family"), F.concat_ws("|", *places).alias("at"),
+        target.alias("target"), offers.alias("offers"), *others,
+    )
 
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
 
+def note_rows(notes: DataFrame, *, time: str = "ts") -> DataFrame:
+    """Notes: the first record of an instrument gives its place, the last its figures."""
+    key = instrument_key(F.col("category"), F.col("series"), F.col("kind"), F.lit(""))
+    always = F.lit(True)
+    return _rows(notes, "note", time, F.col("series"), key, _offers(("first", False, always), ("last", True, always)))
 
-def _order(record: dict) -> tuple:
-    return record["entry_date"], record["ord"], record["is_record"], record["part"], record["pos"]
 
+def decision_rows(decisions: DataFrame, *, time: str = "ts") -> DataFrame:
+    """Decisions: bonds keep the first present value of a field, options the last.
 
-def apply_records(book: dict, records: list[dict]) -> dict:
-    """The book after the records, in the order they apply; records up to their reference date do not count."""
-    for r in sorted(records, key=_order):
-        if r["reference_date"] and r["entry_date"] <= r["reference_date"]:
-            continue
-        if r["is_record"]:
-            adjust(book, r)
-        else:
-            old = book.get(r["instrument_key"])
-            first = (old["first_date"], old["first_ord"]) if old else (r["entry_date"], r["ord"])
-            book[r["instrument_key"]] = {**{c: r[c] for c in _names(INSTRUMENT)[:-2]}, "first_date": first[0], "first_ord": first[1]}
-    return book
+    Rights decisions look for one another by share count in their order, so each is kept, under
+    the issuer and no series.
+    """
+    cat = F.col("category")
+    rights, option = cat.isin("RIGHTS_ISSUE", "MIXED_ISSUE"), cat == "STOCK_OPTION"
+    stated = F.coalesce(F.nullif("shares", F.lit(0)), F.when(option, F.nullif("convertible_shares", F.lit(0))), F.lit(0))
+    usable = decisions.where(F.coalesce(~(rights | option), F.lit(False)) | (stated > 0))
+    price = F.when(option, F.coalesce(F.nullif("exercise_price", F.lit(0)), F.nullif("conversion_price", F.lit(0)))).otherwise(F.col("conversion_price"))
+    values = {
+        "price": _present(price), "stated": F.when(option, F.lit(True)).otherwise(_present("convertible_shares")),
+        "start": F.col("cv_start") != "", "end": F.col("cv_end") != "",
+    }
+    first = [(f"first {n}", False, ~rights & ~option & fits) for n, fits in {**values, "face": _present("face_value")}.items()]
+    last = [(f"last {n}", True, option & fits) for n, fits in values.items()]
+    target = F.when(rights, F.concat(F.lit("RIGHTS "), F.lpad(F.col("ord").cast("string"), 19, "0"))).otherwise(
+        instrument_key(cat, F.col("series"), F.col("kind"), F.lit(""))
+    )
+    offers = _offers(("opening", False, F.lit(True)), *first, *last)
+    return _rows(usable, "decision", time, F.when(~rights, F.coalesce("series", F.lit(0))), target, offers)
 
 
-class InstrumentProcessor(StatefulProcessor):
-    """Settled instruments of an issuer, and the records that may still be preceded by others.
+def balance_rows(balances: DataFrame, *, time: str = "ts") -> DataFrame:
+    """Exercise balances: the last present value of each field, and the first that could open an instrument.
 
-    Rows arrive in any order, over any number of batches. Records that the watermark has not
-    passed are held and applied in their order on top of the settled instruments; once the
-    watermark passes a record it is settled for good. The held records are bounded by the delay of
-    the watermark, the settled part by the number of instruments.
+    A balance without a series is kept by its price, one of options by issuer.
+    """
+    option = F.col("type") == sc.OPTION_EXERCISE
+    usable = balances.where((option & (F.col("new_shares") > 0)) | (~option & ~F.coalesce("exchangeable", F.lit(False))))
+    left = F.when(F.col("has_remaining"), F.col("remaining")).otherwise(F.col("face_value"))
+    shares = F.coalesce(F.nullif("convertible_shares", F.lit(0)), F.col("remaining_shares"))
+    target = F.when(option, "options").when(F.col("series").isNull(), F.concat(F.lit("price "), F.coalesce(F.col("conversion_price").cast("string"), F.lit("")))).otherwise("series")
+    offers = _offers(
+        ("option", True, option), ("opening", False, ~option & (_present(left) | _present(shares))),
+        ("remaining", True, ~option & left.isNotNull()), ("price", True, ~option & F.col("conversion_price").isNotNull()), ("shares", True, ~option & shares.isNotNull()),
+    )
+    return _rows(usable, "balance", time, F.when(~option, F.col("series")), target, offers)
+
+
+def adjustment_rows(adjustments: DataFrame, *, time: str = "ts") -> DataFrame:
+    """Price adjustments by series; those without one by issuer."""
+    return _rows(adjustments, "adjustment", time, F.col("series"), F.lit(""), _offers())
+
+
+def state_rows(notes: DataFrame, decisions: DataFrame, balances: DataFrame, adjustments: DataFrame, *, time: str = "ts", reference: str = "reference_date") -> DataFrame:
+    """All families as one input. Needs ``time`` and, but for the notes, ``reference`` beside the columns of :mod:`..dilution.schemas`.
+
+    ``reference`` is the date of the issuer's latest periodic report, whose notes the instruments
+    start from. Only later decisions count, and none where it is null; only later balances and
+    adjustments, and all of them where it is null. Undated ones do not count.
+    """
+    day, known = F.to_date(time), F.col(reference)
+    later = lambda d, c: d.where((known.isNull() & c.isNotNull()) | (c > known))
+    parts = [
+        note_rows(notes, time=time), decision_rows(decisions.where(day > known), time=time),
+        balance_rows(later(balances, F.col("entry_date")), time=time), adjustment_rows(later(adjustments, F.col("entry_date")), time=time),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _values(struct) -> tuple:
+    """Fields of a nested struct, which reaches a processor as a row or a dictionary."""
+    return tuple(struct.values() if isinstance(struct, dict) else struct)
+
+
+class RecordKeeper(StatefulProcessor):
+    """The records that count of one issuer and series; those without a series have a state of their own.
+
+    A call holds the slots it meets, never the rows: an issuer's events are spread over its
+    series, and a series' balances take four slots whatever their number. Adjustments go straight
+    to their map; a timer at the time of each gives them out once the watermark has passed, also
+    when nothing more arrives.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._book = handle.getMapState("instruments", "k string", INSTRUMENT)
-        self._held = handle.getListState("held", RECORD)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = [dict(zip(_names(INSTRUMENT), v, strict=True)) for _, v in self._book.iterator()]
-        settled = {v["instrument_key"]: v for v in sorted(stored, key=lambda v: (v["first_date"], v["first_ord"]))}
-        held = [dict(zip(_names(RECORD), v, strict=True)) for v in self._held.get()] if self._held.exists() else []
-        # numbers travel as text: a column with nulls would come as floating point
-        numbers = {n for n, t in (c.split() for c in RECORD.split(", ")) if t in ("bigint", "int")}
-        new = [{c: (None if r[c] is None else int(r[c])) if c in numbers else r[c] for c in _names(RECORD)} for batch in rows for r in batch.to_dict("records")]
-
-        before = apply_records(copy.deepcopy(settled), held)
-        after = apply_records(copy.deepcopy(settled), held + new)
-        passed = datetime.datetime.fromtimestamp(max(0, timerValues.getCurrentWatermarkInMs()) / 1000, datetime.UTC).strftime("%Y-%m-%d")
-        done = [r for r in held + new if r["entry_date"] < passed]
-        if done:
-            book = apply_records(copy.deepcopy(settled), done)
-            for name, inst in book.items():
-                if inst != settled.get(name):
-                    self._book.updateValue((name,), tuple(inst[c] for c in _names(INSTRUMENT)))
-        self._held.put([tuple(r[c] for c in _names(RECORD)) for r in held + new if r["entry_date"] >= passed])
-        changed = [inst for name, inst in after.items() if inst != before.get(name)]
-        yield pd.DataFrame([[key[0], *(inst[c] for c in _names(OUTPUT)[1:])] for inst in changed], columns=_names(OUTPUT)).astype(object)
+        self._handle = handle
+        self._kept = {f: handle.getMapState(f"{f}s", "slot string", "at string, " + _VALUE[f]) for f in FAMILIES if f != "adjustment"}
+        self._held = handle.getMapState("adjustments", "at string", "due bigint, " + _VALUE["adjustment"])
+
+    def _take(self, rows: Iterable[Row]) -> None:
+        best: dict[tuple[str, str], tuple] = {}
+        changed = set()
+        for r in rows:
+            value = _values(r[r.family])
+            if r.family == "adjustment":
+                due = int(r.due)
+                self._held.updateValue((r.at,), (due, *value))
+                self._handle.registerTimer(due)
+                continue
+            for slot, latest in map(_values, r.offers):
+                place = r.family, f"{r.target}/{slot}"
+                if place not in best:
+                    best[place] = self._kept[r.family].getValue((place[1],)) if self._kept[r.family].containsKey((place[1],)) else None
+                old = best[place]
+                if old is None or (r.at > old[0] if latest else r.at < old[0]):
+                    best[place] = (r.at, *value)
+                    changed.add(place)
+        for family, slot in changed:
+            self._kept[family].updateValue((slot,), best[family, slot])
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        self._take(rows)
+        yield from ()
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._take([initialState] if isinstance(initialState, Row) else initialState)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = expiredTimerInfo.getExpiryTimeInMs()
+        for at, value in list(self._held.iterator()):
+            if value[0] <= passed:
+                self._held.removeKey(at)
+                yield Row(issuer=key[0], **dict(zip([n for n, _ in _FIELDS["adjustment"]], value[1:], strict=True)))
 
     def close(self) -> None:
         pass
 
 
-def stream_instrument_state(records: DataFrame, *, time: str = "ts", delay: str = "30 days") -> DataFrame:
-    """Changed instruments of every issuer after each batch (update mode; needs the RocksDB state store).
+def _due(rows: DataFrame, time: str) -> DataFrame:
+    return rows.withColumn("due", F.unix_millis(F.col(time).cast("timestamp")) + 1)
+
 
-    Input: ``time``, issuer and the columns of ``RECORD``, NULL where a row has none. A record may
-    arrive up to ``delay`` after a later one and still takes its place in the order.
+def stream_instrument_records(rows: DataFrame, *, time: str = "ts", delay: str = "30 days", start: DataFrame | None = None) -> DataFrame:
+    """Settled adjustments (append mode, needs the RocksDB state store); the state holds everything else.
+
+    ``rows`` is :func:`state_rows` of streams. A record may arrive up to ``delay`` after a later
+    one. ``start`` is the same of batch tables: the records up to now, from which the stream goes on.
     """
-    numbers = {n for n, t in (c.split() for c in RECORD.split(", ")) if t in ("bigint", "int")}
-    rows = records.withWatermark(time, delay).select(time, "issuer", *(F.col(c).cast("string").alias(c) if c in numbers else F.col(c) for c in _names(RECORD)))
-    return rows.groupBy("issuer").transformWithStateInPandas(
-        statefulProcessor=InstrumentProcessor(), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime"
+    keyed = _due(rows.withWatermark(time, delay), time).groupBy("issuer", "series")
+    first = None if start is None else _due(start, time).drop(time).groupBy("issuer", "series")
+    return keyed.transformWithState(
+        statefulProcessor=RecordKeeper(), outputStructType=SETTLED, outputMode="Append", timeMode="EventTime", initialState=first
     )
+
+
+def kept_records(spark: SparkSession, checkpoint: str, settled: DataFrame) -> dict[str, DataFrame]:
+    """Notes, decisions, balances and adjustments that count, read from the state of the stream's last batch and its log."""
+    out = {}
+    for family, fields in _FIELDS.items():
+        state = spark.read.format("statestore").option("stateVarName", f"{family}s").load(checkpoint)
+        rows = state.select("key.issuer", *(F.col("user_map_value")[n].alias(n) for n, _ in fields))
+        if family == "adjustment":
+            rows = rows.unionByName(settled.select(*rows.columns))
+        out[family] = rows.select("issuer", *(F.col(n).cast(t) for n, t in fields)).distinct()
+    return out
+
+
+def instruments_of(records: dict[str, DataFrame]) -> DataFrame:
+    """The instruments of kept records, as the batch fold gives them."""
+    return fold_instruments(records["note"], records["decision"], records["balance"], records["adjustment"])

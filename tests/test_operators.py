@@ -4,11 +4,8 @@ import random
 import re
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from filingframe.catalog import streams as CS
-from filingframe.dilution.fold import adjust
 from filingframe.operators import aggregates as A
 from filingframe.operators import joins as J
 from filingframe.operators import windows as W
@@ -139,46 +136,3 @@ def test_latest_filing_over_batches(spark):
     q = latest.writeStream.outputMode("update").foreachBatch(I.keep_changes(out)).option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.issuer, r.rcept_no) for r in I.latest_changes(spark, out, ["issuer"]).collect()} == {("a", "2"), ("b", "3"), ("c", "1")}
-
-
-def _folded(rows):
-    books = {}
-    for r in sorted(rows, key=lambda r: (r.issuer, r.entry_date, r.ord)):
-        book = books.setdefault(r.issuer, {})
-        if r.is_record:
-            adjust(book, r.asDict())
-        else:
-            book[r.instrument_key] = {k: r[k] for k in ("series", "remaining", "conversion_price", "convertible_shares")}
-    return {(i, k): (v["remaining"], v["conversion_price"], v["convertible_shares"]) for i, b in books.items() for k, v in b.items()}
-
-
-def _streamed(df):
-    return {(r.issuer, r.instrument_key): (r.remaining, r.conversion_price, r.convertible_shares) for r in df.collect()}
-
-
-def test_streamed_state_equals_a_plain_fold(spark, sf):
-    from filingframe.catalog import proxies as X
-
-    assert _streamed(CS.t2(spark, sf)) == _folded(CS.state_records(X.disc(spark, sf)).collect())
-
-
-@pytest.mark.parametrize("delay", ["400 days", "5 days"])
-def test_streamed_state_of_shuffled_batches(spark, sf, delay):
-    """Rows in no order, over three batches and small pages; or in order by batch with a short delay."""
-    from filingframe.catalog import proxies as X
-
-    src = scratch_path(spark, "shuffled")
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    number = F.ntile(3).over(Window.orderBy(F.rand(5) if delay == "400 days" else F.col("ts")))
-    parts = events.withColumn("part", number)
-    for n in (1, 2, 3):
-        parts.where(f"part = {n}").drop("part").orderBy(F.rand(n)).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(CS._SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    page = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(page)
-    spark.conf.set(page, 5)
-    try:
-        got = CS.run_instrument_state(spark, CS.event_records(stream), scratch_path(spark, "t2"), delay)
-    finally:
-        spark.conf.set(page, before)
-    assert _streamed(got) == _folded(CS.state_records(X.disc(spark, sf)).collect())

@@ -42,9 +42,10 @@ def t3(spark, sf):
     f = _events(spark, sf).select(
         F.col("user_id").alias("issuer"), F.date_format("ts", "yyyy-MM-dd").alias("rcept_dt"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("rcept_no"), F.col("event_type").alias("kind")
     )
-    path = scratch_path(spark, "t3")
-    _finish(spark, I.stream_latest_filing(f).writeStream.foreachBatch(I.keep_changes(path)).outputMode("update"))
-    return I.latest_changes(spark, path, ["issuer"])
+    checkpoint = scratch_path(spark, "t3")
+    writer = I.stream_latest_filing(f).writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return I.latest_filings(spark, checkpoint, columns=f.columns)
 
 
 def reference_date(issuer):

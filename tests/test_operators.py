@@ -125,14 +125,3 @@ def test_sinks_replace_only_their_partitions(spark):
     SK.write_dated_json(df.where("issuer = 'a'").withColumn("url", F.lit("u3")), path)
     assert {(r.issuer, r.url) for r in spark.read.json(path).collect()} == {("a", "u3"), ("b", "u2")}
     assert {r.value for r in spark.read.text(path + "-urls").collect()} == {"u1", "u2"}
-
-
-def test_latest_filing_over_batches(spark):
-    src, out = scratch_path(spark, "in"), scratch_path(spark, "out")
-    schema = "issuer string, rcept_dt string, rcept_no string"
-    for rows in ([("a", "2024-01-02", "2"), ("b", "2024-01-01", "1")], [("a", "2024-01-01", "9"), ("b", "2024-01-01", "3")], [("c", "2024-01-05", "1")]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-    latest = I.stream_latest_filing(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src))
-    q = latest.writeStream.outputMode("update").foreachBatch(I.keep_changes(out)).option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r.issuer, r.rcept_no) for r in I.latest_changes(spark, out, ["issuer"]).collect()} == {("a", "2"), ("b", "3"), ("c", "1")}

@@ -1,6 +1,8 @@
 """The streamed state of instruments against a plain reading of the rules."""
 
 import datetime
+import os
+import random
 
 import pytest
 from pyspark.sql import Window
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from filingframe.catalog import streams as CS
 from filingframe.session import scratch_path
+from filingframe.streaming import ingest as I
 from filingframe.streaming import instruments as SI
 
 from .test_state import brute, frames, logs, result
@@ -96,3 +99,26 @@ def test_events_in_small_batches(spark, sf):
     stream = spark.readStream.schema(CS._SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
     key = lambda df: {(r["issuer"], r["instrument_key"]): tuple(r) for r in df.collect()}
     assert key(CS.run_instrument_state(spark, CS.record_rows(stream), scratch_path(spark, "t2"), "60 days")) == key(CS.t2(spark, sf))
+
+
+def test_latest_filing_over_batches(spark):
+    """Twelve batches in no order: one state row per issuer, and a repeated batch changes nothing."""
+    source, checkpoint = scratch_path(spark, "in"), scratch_path(spark, "checkpoint")
+    schema = "issuer string, rcept_dt string, rcept_no string, kind string"
+    rng = random.Random(1)
+    rows = [(rng.choice("abcde"), f"2024-01-{rng.randint(1, 28):02d}", f"{i:04d}", f"k{i}") for i in range(60)]
+    for i in range(0, 60, 5):
+        spark.createDataFrame(rows[i : i + 5], schema).coalesce(1).write.mode("append").parquet(source)
+    latest = I.stream_latest_filing(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
+
+    def run():
+        writer = latest.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return sorted(map(tuple, I.latest_filings(spark, checkpoint, columns=latest.columns).collect()))
+
+    want = sorted(max((r for r in rows if r[0] == i), key=lambda r: r[1:3]) for i in "abcde")
+    assert run() == want
+    assert spark.read.format("statestore").load(checkpoint).count() == 5
+    for name in ("11", ".11.crc"):  # as if the driver had gone before the last batch was noted
+        os.remove(checkpoint.removeprefix("file:") + "/commits/" + name)
+    assert run() == want

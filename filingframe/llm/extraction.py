@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,10 @@ from .common import arrow_schema, small_batches, utf8
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ROWS = frozenset(("li", "dt", "dd", "tr", "td", "th"))
 _PATH, _WORDS, _SHAPE = 64, 32, 8
 _INPUT = _PATH + _WORDS + _SHAPE
-_SILENT, _INLINE, _VOID = frozenset(lex.SILENT), frozenset(lex.INLINE), frozenset(lex.VOID)
+_RAW, _QUIET, _INLINE, _VOID = frozenset(lex.RAW), frozenset(lex.QUIET), frozenset(lex.INLINE), frozenset(lex.VOID)
 _ENDS, _OTHER, _ARTICLE = frozenset(lex.ENDS_PARAGRAPH), frozenset(lex.OTHER_PARTS), frozenset(lex.ARTICLE_PARTS)
 
 
@@ -34,14 +36,29 @@ class Block:
     linked: int  # characters inside links
 
 
+@dataclass
+class _Quiet:
+    """An open element whose content is not shown, and the page as it was before it."""
+
+    name: str
+    stack: list
+    parts: list[str]
+    out: int
+    linked: int
+    broken: bool = False  # a block has begun inside
+
+
 def blocks(page: str) -> list[Block]:
     """Leaves with text in page order; references are decoded and white space is one space.
 
     Tags left open are closed where their parent ends, a paragraph also where the next one begins.
+    What stands in an element that is not shown is left out up to its end tag; if that is missing,
+    up to the next block or the end of its parent.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    quiet: list[_Quiet] = []
     anchor, linked, at = 0, 0, 0
 
     def end() -> None:
@@ -54,14 +71,27 @@ def blocks(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and (not quiet or quiet[-1].broken):
             parts.append(text)
             linked += len(text) if anchor else 0
 
-    def close(name: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
+    def close(name: str, lowest: int = 0) -> None:
+        for i in range(len(stack) - 1, lowest - 1, -1):
             if stack[i][0] == name:
                 del stack[i:]
+                while quiet and len(quiet[-1].stack) > i:  # its parent has ended: it has no end tag
+                    quiet.pop()
+                return
+
+    def leave(name: str) -> None:
+        """The end tag of a quiet element: the page goes on as before it."""
+        nonlocal linked
+        for k in range(len(quiet) - 1, -1, -1):
+            if quiet[k].name == name:
+                before = quiet[k]
+                del quiet[k:], out[before.out :]
+                stack[:], parts[:], linked = before.stack, before.parts, before.linked
+                parts.append(" ")
                 return
 
     while m := _MARKUP.search(page, at):
@@ -71,49 +101,61 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         closing, rest = (m[1] or m[4]) == "/", m[3] or m[6] or ""
-        if name in _SILENT and not closing and not rest.endswith("/"):
-            end_of = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end_of.end() if end_of else (at if name == "head" else len(page))
-            parts.append(" ")
+        if name in _RAW or name == "head":
+            if not closing and not rest.endswith("/"):
+                end_of = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = end_of.end() if end_of else (at if name == "head" else len(page))
+                add(" ")
+        elif name in _QUIET:
+            if closing:
+                leave(name)
+            elif not rest.endswith("/"):
+                quiet.append(_Quiet(name, stack[:], parts[:], len(out), linked))
         elif name in _INLINE:
             if name == "a":
                 anchor = 0 if closing else 1
             elif name == "br":
-                parts.append(" ")
+                add(" ")
         else:
             end()
             anchor = 0
+            inside = len(quiet[-1].stack) if quiet and quiet[-1].name != "svg" else 0
             if closing:
                 close(name)
             elif name not in _VOID:
-                if name in _ENDS and any(t == "p" for t, _ in stack):
-                    close("p")
-                if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                    stack.pop()
+                if name in _ENDS and any(t == "p" for t, _ in stack[inside:]):
+                    close("p", inside)
+                if name in ("li", "dt", "dd", "tr", "td", "th", "option") and len(stack) > inside and stack[-1][0] == name:
+                    close(name, inside)
                 if name not in ("html", "body"):
                     words = [x.lower() for g in _NAMED.findall(rest) for x in re.split(r"[^A-Za-z]+", "".join(g)) if x]
                     stack.append((name, (name, *("." + w for w in words))))
+            if quiet and (name in _ENDS or name in _ROWS):
+                quiet[-1].broken = True
     add(page[at:])
     end()
     return out
 
 
+@lru_cache(maxsize=1 << 16)
 def _slot(word: str, size: int) -> tuple[int, float]:
     h = zlib.crc32(word.encode())
     return h % size, 1.0 if h >> 31 else -1.0
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    """Hashed tag path, hashed words and shape of each block."""
+    """Hashed tag path, all hashed words, and shape of each block; the words of a long block weigh less each."""
     x = np.zeros((len(page), _INPUT), np.float32)
     for i, b in enumerate(page):
         for w in b.path:
             at, sign = _slot(w, _PATH)
             x[i, at] += sign
         words = b.text.split()
-        for w in words[:64]:
+        sums = [0.0] * _WORDS
+        for w in words:
             at, sign = _slot(w.lower(), _WORDS)
-            x[i, _PATH + at] += sign / 8
+            sums[at] += sign
+        x[i, _PATH : _PATH + _WORDS] = np.array(sums) * (8 / max(64, len(words)))
         n = len(b.text)
         x[i, _PATH + _WORDS :] = (
             np.log1p(n) / 5, np.log1p(len(words)) / 4, b.linked / max(1, n), b.text[-1] in ".!?", n < 30, i / max(1, len(page) - 1), len(b.path) / 8, b.path[-1:] == ("p",),
@@ -286,16 +328,19 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_labeller(pages: DataFrame, *, html: str = "html", sample_pages: int = 512, layouts: int = 3, epochs: int = 16, window: int = 200) -> Labeller:
-    """Network trained on about ``sample_pages`` pages drawn by a hash of their markup.
+    """Network trained on about ``sample_pages`` different pages drawn by a hash of their markup.
 
     No page comes with labels, so blocks are taught by the names on their paths, on the page itself
     and in ``layouts`` other layouts of it. Training runs in one task over the bounded sample; of a
-    page with more than ``window`` blocks one window is used. An empty table gives the untrained network.
+    page with more than ``window`` blocks one window is used. A page counts once, however often it
+    is repeated. An empty table gives the untrained network.
     """
     rows = pages.select(F.col(html).cast("string").alias("html")).where(F.length("html") > 0)
-    n = rows.count()
+    digest = F.xxhash64("html")
+    n = rows.select(digest.alias("digest")).distinct().count()
     share = min(1.0, sample_pages / max(1, n))
-    drawn = rows.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # copies are merged in every task, and in the shuffle of the drawn pages
+    drawn = rows.where(F.pmod(digest, F.lit(1 << 20)) < int(share * (1 << 20))).distinct()
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(3)
@@ -327,7 +372,9 @@ def extract_content(pages: DataFrame, network: Labeller, *, keys: tuple[str, ...
     """``keys``, content, n_chars: the blocks labelled as article, whole, in page order, joined by an empty line.
 
     Every block of a page is labelled in the context of the whole page. One row per input row, no
-    shuffle. Null and empty pages, and pages without an article block, have empty content.
+    shuffle; repeated rows are labelled alike, very long pages whole, and columns beyond ``keys``
+    are left behind. Null and empty pages, and pages without an article block, have empty content;
+    an empty table gives no rows.
     """
     rows = pages.select(*keys, F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     network = pages.sparkSession.sparkContext.broadcast(network)

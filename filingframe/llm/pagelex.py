@@ -1,11 +1,15 @@
 """Fixed values for HTML pages."""
 
-# Elements whose text is never shown as text.
-SILENT = ("script", "style", "noscript", "template", "svg", "math", "head", "title", "select", "textarea", "iframe", "object", "canvas", "audio", "video")
+# Elements whose content is raw text and never shown; without an end tag they run to the end of the page.
+RAW = ("script", "style", "title", "textarea", "iframe")
+# Elements whose content is not shown as text, but is markup.
+QUIET = ("noscript", "template", "svg", "select", "object", "canvas", "audio", "video", "annotation", "annotation-xml")
 # Elements inside a line of text: they do not end a block.
 INLINE = (
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub "
-    "sup time tt u var wbr"
+    "sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts "
+    "mtable mtr mtd maction semantics"
 ).split()
 # Elements without content.
 VOID = "area base br col embed hr img input link meta param source track wbr".split()

@@ -40,6 +40,84 @@ def test_blocks_of_odd_markup(html, want):
     assert [b.text for b in extraction.blocks(html)] == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is mass.</p>", ["Energy E=m is mass."]),
+    ("<p>x <math><semantics><mi>a</mi><annotation>\\alpha</annotation></semantics></math> y</p>", ["x a y"]),
+    ("<p>a <svg><path d='x'/><p>b</p><p>c</p>", ["a", "b", "c"]),
+    ("<div><p>a</p><select><option>no</div><p>b</p>", ["a", "b"]),
+    ("<p>one</p><canvas><p>two</p><div>three</div>", ["one", "two", "three"]),
+    ("<p>one</p><canvas>no <p>no</p></canvas><p>two</p>", ["one", "two"]),
+    ("<p>Hello <object><div>no</div></object> world</p>", ["Hello world"]),
+    ("<p>Hello <svg><text>no</text></svg> world</p>", ["Hello world"]),
+    ("<video><source src=x>no<ul><li>a</ul>", ["a"]),
+    ("<template><p>no</p><template><p>no</p></template><p>no</p></template><p>yes", ["yes"]),
+    ("<noscript><svg><p>no</p></noscript><p>yes", ["yes"]), ("</svg></object>x", ["x"]), ("<svg/>x <svg />y", ["x y"]),
+    ("<p>a<svg>" * 300 + "z", ["a"] * 300), ("<svg>" * 3000 + "<p>z", ["z"]),
+])
+def test_what_is_not_shown_ends(html, want):
+    """Only what stands inside an element that is not shown is left out; one without an end tag hides no block."""
+    assert [b.text for b in extraction.blocks(html)] == want
+
+
+def grown(rng, depth):
+    """A random page and its blocks, as it is written."""
+    html, texts, line = [], [], []
+
+    def flush():
+        text = " ".join("".join(line).split())
+        line.clear()
+        if text:
+            texts.append(text)
+
+    def tree(depth):
+        for _ in range(rng.integers(1, 4)):
+            kind = rng.integers(0, 7 if depth else 2)
+            if kind < 2:
+                word = f"w{rng.integers(100)} "
+                html.append(word)
+                line.append(word)
+            elif kind == 2:
+                name = ("b", "span", "mi", "math")[rng.integers(4)]
+                html.append(f"<{name}>")
+                tree(0)
+                html.append(f"</{name}>")
+            elif kind == 3:
+                name = ("svg", "noscript", "object", "template", "canvas")[rng.integers(5)]
+                html.append(f"<{name}>hidden <{name}>more</{name}> " + ("<div>hidden</div>" if name != "svg" else "") + f"</{name}>")
+                line.append(" ")
+            elif kind == 4:
+                name = ("script", "style", "textarea")[rng.integers(3)]
+                html.append(f"<{name}>hidden </p> <div></{name}>")
+                line.append(" ")
+            else:
+                name = ("div", "section", "blockquote", "article")[rng.integers(4)]
+                flush()
+                html.append(f"<{name} class='c'>")
+                tree(depth - 1)
+                flush()
+                html.append(f"</{name}>")
+
+    tree(depth)
+    flush()
+    return "".join(html), texts
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_blocks_of_grown_pages(seed):
+    html, texts = grown(np.random.default_rng(seed), 5)
+    assert [b.text for b in extraction.blocks(html)] == texts
+
+
+def test_all_words_of_a_block_count():
+    """Blocks that differ behind their first words have different vectors; a long one stays in the range of a short one."""
+    block = lambda text: extraction.Block(("p",), text, 0)
+    start = "alpha beta " * 50
+    a, b = extraction.vectors([block(start + "login subscribe " * 30), block(start + "gamma delta " * 30)])
+    assert not np.allclose(a, b)
+    (long,) = extraction.vectors([block("word other " * 50_000)])
+    assert np.abs(long).max() < 20
+
+
 def test_gradient_matches_differences():
     network = extraction.Labeller(hidden=4)
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}

@@ -17,11 +17,19 @@ BARS = "WITH " + X.BARS_SQL
 DAY = "strftime({}, '%Y-%m-%d')"
 
 
-@query("s7_scan_daily_prices", PX + f" SELECT issuer, {DAY.format('trade_date')} AS day, \"open\", high, low, \"close\", volume FROM px")
+@query(
+    "s7_scan_daily_prices",
+    PX + f""" SELECT issuer, {DAY.format('trade_date')} AS day, "open", high, low, "close", volume FROM (
+      SELECT *, 2 page FROM px UNION ALL SELECT issuer, trade_date, "open", high, low, "close" + CASE WHEN issuer%3=0 THEN 9 ELSE -9 END, volume, 1 FROM px WHERE issuer%2=0) b
+    QUALIFY row_number() OVER (PARTITION BY issuer, trade_date ORDER BY page)=1""",
+)
 def s7(spark, sf):
-    pages = X.px(spark, sf).withColumn("close", F.format_number("close", 0))
-    doubled = pages.unionByName(pages.where("issuer % 2 = 0"))  # overlapping pages
-    out = R.scan_daily_prices(doubled)
+    """Half of the issuers have every bar on two pages, the newer one higher for some and lower for others."""
+    older = X.px(spark, sf).withColumn("page", F.lit(2))
+    moved = F.when(F.col("issuer") % 3 == 0, 9).otherwise(-9)
+    newer = older.where("issuer % 2 = 0").withColumns({"close": F.col("close") + moved, "page": F.lit(1)})
+    pages = older.unionByName(newer).withColumn("close", F.format_number("close", 0))
+    out = R.scan_daily_prices(pages, page="page")
     return out.select("issuer", F.date_format("trade_date", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume")
 
 

@@ -452,53 +452,73 @@ BREAK = "<!-- section break -->"
 _ATTRIBUTES = r'\s+(?:style|class|width|height|align|valign|bgcolor|border|cellpadding|cellspacing|rowspan|colspan)="[^"]*"'
 
 
+_TO_TOP, _TO_HEADING, _TO_PARAGRAPH = 1, 2, 3  # what ends a passage
+
+
 def keyword_context(docs: DataFrame, *, keys: Sequence[str], html: str = "html", limit: int | None = None, reach: int | None = None) -> DataFrame:
     """Passages that mention a dilution keyword, joined with break marks.
 
     A section heading takes its section, a sub-heading its sub-section, a mention in running
     text what follows up to the next heading, or ``reach`` paragraphs; tables with a keyword that
     no passage covers come with the paragraph before them. ``limit`` cuts the result at a break.
+
+    One fold over the blocks of a page notes where passages begin and end; their blocks are then
+    cut out by place, so the work grows with the page, not with its mentions.
     """
     words = "|".join(lx.OVERHANG_KEYWORDS)
     step = note_blocks(docs, keys=keys, html=html)
+    bare = lambda b: squeeze(b["text"])
+    sub = lambda b: b["text"].rlike(_SUB)
+    until = lambda b: F.when(bare(b).rlike(r"^\d+\."), _TO_TOP).when(sub(b) | F.lit(reach is None), _TO_HEADING).otherwise(_TO_PARAGRAPH)
     marked = F.transform(
         "blocks",
         lambda b, i: F.struct(
-            i.cast("int").alias("i"), b["is_table"].alias("is_table"), b["text"].alias("text"), b["html"].alias("html"),
-            squeeze(b["text"]).rlike(words).alias("hit"), (~b["is_table"] & b["text"].rlike(_TOP)).alias("top"),
-            (~b["is_table"] & b["text"].rlike(_SUB)).alias("sub"),
-        ),
-    )
-    step = step.select(*keys, marked.alias("_m"))
-
-    def reaches(m: Column) -> Column:
-        nxt = F.filter("_m", lambda q: (q["i"] > m["i"]) & F.when(squeeze(m["text"]).rlike(r"^\d+\."), q["top"]).otherwise(q["top"] | q["sub"]))
-        by_heading = F.coalesce(F.array_min(F.transform(nxt, lambda q: q["i"])), F.size("_m"))
-        paragraphs = F.filter("_m", lambda q: (q["i"] >= m["i"]) & ~q["is_table"])
-        inline = by_heading if reach is None else F.coalesce(F.get(paragraphs, F.lit(reach))["i"], F.size("_m"))
-        heading = squeeze(m["text"]).rlike(r"^\d+\.") | m["text"].rlike(_SUB)
-        return F.when(heading, by_heading).otherwise(inline)
-
-    start = F.array().cast("array<struct<a:int,b:int>>")
-    hits = F.filter("_m", lambda m: m["hit"] & ~m["is_table"])
-    ranges = F.aggregate(
-        hits,
-        start,
-        lambda acc, m: F.when(F.exists(acc, lambda r: (r["a"] <= m["i"]) & (m["i"] < r["b"])), acc).otherwise(
-            F.concat(acc, F.array(F.struct(m["i"].alias("a"), reaches(m).alias("b"))))
+            i.cast("int").alias("i"), b["is_table"].alias("is_table"), b["text"].alias("text"), b["html"].alias("html"), bare(b).rlike(words).alias("hit"),
+            (~b["is_table"] & b["text"].rlike(_TOP)).alias("top"), (~b["is_table"] & sub(b)).alias("sub"), until(b).alias("until"),
         ),
     )
-    step = step.withColumn("_r", ranges)
-    passages = F.transform(
-        "_r", lambda r: F.array_join(F.transform(F.filter("_m", lambda m: (m["i"] >= r["a"]) & (m["i"] < r["b"])), lambda m: m["html"]), "\n")
-    )
-    loose = F.filter("_m", lambda m: m["is_table"] & m["hit"] & ~F.exists("_r", lambda r: (r["a"] <= m["i"]) & (m["i"] < r["b"])))
+    step = step.select(*keys, marked.alias("_m")).withColumn("_f", _passages(F.col("_m"), reach))
+    last = F.when(F.col("_f")["a"].isNotNull(), F.array(F.struct(F.col("_f")["a"].alias("a"), F.size("_m").alias("b")))).otherwise(F.array().cast(_RANGES))
+    cut_out = lambda r: F.array_join(F.transform(F.slice("_m", r["a"] + 1, r["b"] - r["a"]), lambda m: m["html"]), "\n")
 
-    def with_header(m: Column) -> Column:
-        before = F.filter("_m", lambda q: (q["i"] < m["i"]) & ~q["is_table"])
-        p = F.try_element_at(before, F.lit(-1))["text"]
-        return F.concat(F.coalesce(F.concat(F.lit("<p>"), p, F.lit("</p>\n")), F.lit("")), m["html"])
+    def with_header(t: Column) -> Column:
+        header = F.concat(F.lit("<p>"), F.get("_m", t["p"])["text"], F.lit("</p>\n"))
+        return F.concat(F.coalesce(header, F.lit("")), F.get("_m", t["i"])["html"])
 
-    parts = F.concat(passages, F.transform(loose, with_header))
+    parts = F.concat(F.transform(F.concat(F.col("_f")["ranges"], last), cut_out), F.transform(F.col("_f")["tables"], with_header))
     text = F.regexp_replace(F.array_join(parts, f"\n\n{BREAK}\n\n"), _ATTRIBUTES, "")
     return step.select(*keys, F.size(parts).alias("n_passages"), (text if limit is None else clip_at_break(text, limit, BREAK)).alias("context"))
+
+
+_RANGES, _TABLES = "array<struct<a:int,b:int>>", "array<struct<i:int,p:int>>"
+
+
+def _passages(blocks: Column, reach: int | None) -> Column:
+    """(a, until, left, p, ranges, tables) after the last block.
+
+    ``a`` is the first block of an open passage, ``until`` what ends it, ``left`` the paragraphs it
+    still takes, ``p`` the last paragraph; ``ranges`` are the closed passages, ``tables`` the tables
+    with a keyword outside of them, each with the paragraph before.
+    """
+    none = F.lit(None).cast("int")
+    start = F.struct(
+        none.alias("a"), none.alias("until"), none.alias("left"), none.alias("p"), F.array().cast(_RANGES).alias("ranges"), F.array().cast(_TABLES).alias("tables")
+    )
+
+    def step(s: Column, m: Column) -> Column:
+        left = F.when(m["is_table"], s["left"]).otherwise(s["left"] - 1)
+        ends = s["a"].isNotNull() & (
+            ((s["until"] == _TO_TOP) & m["top"]) | ((s["until"] == _TO_HEADING) & (m["top"] | m["sub"])) | ((s["until"] == _TO_PARAGRAPH) & ~m["is_table"] & (left < 0))
+        )
+        free = s["a"].isNull() | ends
+        opens = free & m["hit"] & ~m["is_table"]
+        alone = free & m["hit"] & m["is_table"]
+        closed = F.array(F.struct(s["a"].alias("a"), m["i"].alias("b")))
+        found = F.array(F.struct(m["i"].alias("i"), s["p"].alias("p")))
+        return F.struct(
+            F.when(opens, m["i"]).when(~ends, s["a"]).alias("a"), F.when(opens, m["until"]).otherwise(s["until"]).alias("until"),
+            F.when(opens, F.lit((reach or 0) - 1)).otherwise(left).alias("left"), F.when(m["is_table"], s["p"]).otherwise(m["i"]).alias("p"),
+            F.when(ends, F.concat(s["ranges"], closed)).otherwise(s["ranges"]).alias("ranges"), F.when(alone, F.concat(s["tables"], found)).otherwise(s["tables"]).alias("tables"),
+        )
+
+    return F.aggregate(blocks, start, step)

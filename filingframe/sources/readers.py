@@ -124,15 +124,18 @@ def scan_filing_index(index: DataFrame, *, start: Column, end: Column, keywords:
     return rows.where(any_keyword(name, keywords)) if keywords else rows
 
 
-def scan_daily_prices(bars: DataFrame, *, issuer: str = "issuer", day: str = "trade_date", close: str = "close") -> DataFrame:
+def scan_daily_prices(bars: DataFrame, *, issuer: str = "issuer", day: str = "trade_date", close: str = "close", page: str | None = None) -> DataFrame:
     """Daily closes as numbers, one row per issuer and day.
 
-    Pages overlap and come newest first; order is the day, never the file.
+    Pages overlap and come newest first, counted from 1 in ``page``: of two bars of a day the one
+    on the newer page counts, whatever its figures. Bars of one page, or without pages, are ordered
+    by their figures. Order is the day, never the file.
     """
     price = F.regexp_replace(F.col(close).cast("string"), ",", "").try_cast("bigint")
     rows = bars.withColumn(close, price).where(F.col(close).isNotNull())
-    rest = [c for c in bars.columns if c not in (issuer, day)]
-    return rows.groupBy(issuer, day).agg(F.max(F.struct(*rest)).alias("_r")).select(issuer, day, "_r.*")
+    bar = F.struct(*(c for c in bars.columns if c not in (issuer, day, page)))
+    best = F.max(bar) if page is None else F.max_by(bar, F.struct(-F.col(page), bar))
+    return rows.groupBy(issuer, day).agg(best.alias("_r")).select(issuer, day, "_r.*")
 
 
 def files_from_names(files: DataFrame, pattern: str, *, name: str = "name", groups: Sequence[str] = ("date", "rcept_no", "kind"), distinct: str = "rcept_no") -> DataFrame:

@@ -1,11 +1,15 @@
 """Document jobs on small pages with known figures."""
 
 import datetime
+import random
+import re
 
 import pytest
 
+from filingframe import lexicon as lx
 from filingframe.documents import cells as C
 from filingframe.documents import consensus, exchange, filings, news, notes, sections, statements
+from filingframe.sources import readers
 
 
 def page(*tables, heading="", body=""):
@@ -294,3 +298,48 @@ def test_keyword_context(spark):
     html = CB + "<p>15. 기타</p><p>무관</p><table><tr><td style=\"a\">주식매수선택권 현황</td></tr></table>"
     r = one(notes.keyword_context(docs(spark, html), keys=["doc_id"]))
     assert r["n_passages"] == 2 and "<p>무관</p>" in r["context"] and "style=" not in r["context"] and "14. 기타" not in r["context"]
+
+
+def plain_context(blocks, reach):
+    """Passages of a page, read block by block from each mention to its end."""
+    words = lx.OVERHANG_KEYWORDS
+    bare = lambda b: re.sub(r"\s+", "", b["text"])
+    top = lambda b: not b["is_table"] and re.match(r"\d+\.\s+\S", b["text"])
+    sub = lambda b: not b["is_table"] and re.match(r"\(\d+\)", b["text"])
+    covered, parts, n = set(), [], len(blocks)
+    for i, b in enumerate(blocks):
+        if i in covered or b["is_table"] or not any(w in bare(b) for w in words):
+            continue
+        if re.match(r"\d+\.", bare(b)):
+            end = next((j for j in range(i + 1, n) if top(blocks[j])), n)
+        elif sub(b) or reach is None:
+            end = next((j for j in range(i + 1, n) if top(blocks[j]) or sub(blocks[j])), n)
+        else:
+            paragraphs = [j for j in range(i, n) if not blocks[j]["is_table"]]
+            end = paragraphs[reach] if reach < len(paragraphs) else n
+        covered |= set(range(i, end))
+        parts.append("\n".join(x["html"] for x in blocks[i:end]))
+    for i, b in enumerate(blocks):
+        if b["is_table"] and i not in covered and any(w in bare(b) for w in words):
+            before = [x for x in blocks[:i] if not x["is_table"]]
+            parts.append((f"<p>{before[-1]['text']}</p>\n" if before else "") + b["html"])
+    return len(parts), f"\n\n{notes.BREAK}\n\n".join(parts)
+
+
+@pytest.mark.parametrize("reach", [None, 1, 3, 15])
+def test_keyword_context_of_any_page(spark, reach):
+    rng = random.Random(reach or 0)
+    lines = ["1. 일반사항", "2. 전환사채", "(1) 사채 내역", "(2) 전환사채의 내역", "본문 글", "전환사채를 발행", "신주인수권부사채 관련 본문", "12. 주식매수선택권 부여", "3.제목"]
+    block = lambda t: f"<p>{t}</p>" if rng.random() < 0.75 else f"<table><tr><td>{t}</td><td>1</td></tr></table>"
+    pages = docs(spark, "", *("".join(block(rng.choice(lines)) for _ in range(rng.randint(0, 40))) for _ in range(60)))
+    want = {r["doc_id"]: plain_context([b.asDict() for b in r["blocks"] or []], reach) for r in notes.note_blocks(pages, keys=["doc_id"]).collect()}
+    got = {r["doc_id"]: (r["n_passages"], r["context"]) for r in notes.keyword_context(pages, keys=["doc_id"], reach=reach).collect()}
+    assert got == want
+
+
+def test_newer_page_of_prices_wins(spark):
+    """Whatever the figures; a day on one page only is kept, a close that is no number is not."""
+    bars = [("a", 1, "9,000", 1, 2), ("a", 1, "100", 5, 1), ("a", 2, "7", 1, 2), ("a", 3, "x", 1, 1), ("b", 1, "1", 1, 1), ("b", 1, "2", 9, 3), ("b", 1, "2", 9, 3)]
+    df = spark.createDataFrame(bars, "issuer string, trade_date int, close string, volume int, page int")
+    assert sorted(tuple(r) for r in readers.scan_daily_prices(df, page="page").collect()) == [("a", 1, 100, 5), ("a", 2, 7, 1), ("b", 1, 1, 1)]
+    assert sorted(tuple(r) for r in readers.scan_daily_prices(df.drop("page")).collect()) == [("a", 1, 9000, 1), ("a", 2, 7, 1), ("b", 1, 2, 9)]

@@ -27,5 +27,8 @@ def test_every_query_has_sql_or_is_listed():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, sf, con, name):
-    ok, message, _ = compare(spark, con, sf, name, entry.queries()[name], entry.oracle_sql().get(name))
+    sql = entry.oracle_sql().get(name)
+    if sql is None:
+        pytest.skip("no SQL; compared with brute force or held-out rows in tests/llm")
+    ok, message, _ = compare(spark, con, sf, name, entry.queries()[name], sql)
     assert ok, message

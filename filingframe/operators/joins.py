@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
-from ..session import cut_lineage
+from ..session import cut_lineage, saved
 
 
 def enrich_missing(base: DataFrame, extra: DataFrame, keys: Sequence[str], cols: Sequence[str], *, zero_is_missing: bool = True) -> DataFrame:
@@ -67,26 +67,61 @@ def prior_period_join(periods: DataFrame, *, keys: Sequence[str], fy: str = "fy"
     return periods.join(prior, [*keys, fy], "left")
 
 
-def containment_pairs(titles: DataFrame, *, block: Sequence[str], order: str, norm: str, min_chars: int = 8) -> DataFrame:
+_WINDOWS = tuple(4**k for k in range(7))  # grams of a window, level by level
+
+
+def _steps(df: DataFrame, norm: str, min_chars: int) -> DataFrame:
+    """Adds ``_w0``, ``_w1``...: the least gram hash of every window of ``_WINDOWS`` grams of a title.
+
+    Hashes of two halves make that of a gram, and minima of two halves that of a window, so the work
+    is linear in the title.
+    """
+    pair = lambda c, d, f: F.when(F.size(c) > d, F.zip_with(F.slice(c, 1, F.size(c) - d), F.slice(c, d + 1, F.size(c) - d), f)).otherwise(F.array().cast("array<bigint>"))
+    out, size = df.withColumn("_c", F.transform(F.split(norm, ""), lambda c: F.xxhash64(c))), 1
+    while size < min_chars:  # halves overlap where the length is no power of two
+        d = min(size, min_chars - size)
+        out, size = out.withColumn("_c", pair(F.col("_c"), d, lambda x, y: F.xxhash64(x, y))), size + d
+    out, size = out.withColumnRenamed("_c", "_w0"), 1
+    for k, width in enumerate(_WINDOWS[1:], 1):
+        out = out.withColumn(f"_w{k}", F.col(f"_w{k - 1}"))
+        while size < width:
+            out, size = out.withColumn(f"_w{k}", pair(F.col(f"_w{k}"), size, lambda x, y: F.least(x, y))), size * 2
+    return out
+
+
+def containment_pairs(titles: DataFrame, *, block: Sequence[str], order: str, norm: str, min_chars: int = 8, hot: int = 4096) -> DataFrame:
     """Pairs of different titles in a block where one contains the other.
 
-    Exact without comparing all pairs: a short title lies inside a long one only if each of
-    its ``min_chars``-grams does, so it is looked up under its rarest gram alone. Titles are
-    distinct within a block; grams are counted before the join, which keeps a phrase shared by
-    a third of all titles out of the candidates unless the title consists of nothing else.
-    Hashes of grams travel, not titles; the titles of the candidates are compared at the end.
+    Exact without comparing all pairs. A window of a short title is a window of every title that
+    contains it, and has the same least gram there; so a title is looked up under one such gram of
+    the widest windows it has, the one that the fewest titles have. Titles are distinct within a
+    block. Of a title's own windows only the least grams travel, and of those only the ones that
+    some title is looked up under; a phrase shared by a third of all titles is no candidate unless
+    a title consists of nothing else, and what ``hot`` titles or more share is dealt over several
+    tasks. The titles of the candidates are compared at the end.
     """
     block = list(block)
-    t = titles.select(*block, order, norm).where(F.length(norm) >= min_chars)
-    starts = F.sequence(F.lit(1), F.length(norm) - min_chars + 1)
-    gram_list = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(norm), i, F.lit(min_chars)))))
-    grams = t.select(*block, order, F.length(norm).alias("_len"), F.explode(gram_list).alias("_g"))
-    frequency = grams.groupBy(*block, "_g").agg(F.count("*").alias("_n"))
-    rarest = grams.join(frequency, [*block, "_g"]).groupBy(*block, order, "_len").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
-    short = rarest.select(*block, "_g", F.col(order).alias("short"), F.col("_len").alias("_short_len"))
-    long = grams.select(*block, "_g", F.col(order).alias("long"), F.col("_len").alias("_long_len"))
-    fits = (F.col("short") != F.col("long")) & (F.col("_short_len") <= F.col("_long_len"))
-    candidates = short.join(long, [*block, "_g"]).where(fits).select(*block, "short", "long")
+    tasks = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes, much work: spread over all tasks, where the adaptive planner would take one for them
+    t = saved(titles.select(*block, order, norm).where(F.length(norm) >= min_chars).repartition(tasks, order), "titles")
+    stepped = _steps(t, norm, min_chars)
+    grams = F.size("_w0")
+    named_level = lambda k: F.transform(F.array_distinct(f"_w{k}"), lambda g: F.xxhash64(F.lit(k), g))
+    own = named_level(0)
+    for k, width in enumerate(_WINDOWS[1:], 1):
+        own = F.when(grams >= width, named_level(k)).otherwise(own)
+    levels = F.concat(*(named_level(k) for k in range(len(_WINDOWS))))
+    looked_up = saved(stepped.select(*block, F.col(order).alias("short"), F.length(norm).alias("_short_len"), F.explode(own).alias("_g")), "grams")
+    wanted = saved(looked_up.select(*block, "_g").distinct(), "wanted_grams")
+    having = stepped.select(*block, F.col(order).alias("long"), F.length(norm).alias("_long_len"), F.explode(levels).alias("_g"))
+    having = saved(having.join(wanted, [*block, "_g"], "left_semi"), "met_grams")
+    frequency = saved(having.groupBy(*block, "_g").agg(F.count("*").alias("_n")), "gram_counts")
+    rarest = looked_up.join(frequency, [*block, "_g"]).groupBy(*block, "short", "_short_len").agg(F.min_by(F.struct("_g", "_n"), F.struct("_n", "_g")).alias("_r"))
+    parts = F.ceil(F.col("_n") / hot).cast("int")
+    short = rarest.select(*block, "short", "_short_len", "_r.*").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    long = having.join(frequency, [*block, "_g"]).withColumn("_part", F.pmod(F.xxhash64("long"), parts).cast("int")).drop("_n")
+    fits = (F.col("short") != F.col("long")) & (F.col("_short_len") < F.col("_long_len"))
+    candidates = short.drop("_n").join(long, [*block, "_g", "_part"]).where(fits).select(*block, "short", "long")
     named = lambda role, text: t.select(*block, F.col(order).alias(role), F.col(norm).alias(text))
     both = candidates.join(named("short", "_s"), [*block, "short"]).join(named("long", "_l"), [*block, "long"])
     return both.where(F.contains(F.col("_l"), F.col("_s"))).select(*block, "short", "long")
@@ -192,7 +227,7 @@ def containment_dedup(news: DataFrame, *, block: Sequence[str], order: str, titl
     first = (
         marked.where(long_enough).groupBy(*block, "_norm").agg(F.min(order).alias(order))
     )
-    first = cut_lineage(first)
+    first = saved(first, "first_titles")
     pairs = cut_lineage(containment_pairs(first, block=block, order=order, norm="_norm", min_chars=min_chars))
     gone = resolve_greedy(pairs, block=block)
     kept = first.join(gone.withColumnRenamed("late", order), [*block, order], "left_anti")

@@ -125,3 +125,20 @@ def test_sinks_replace_only_their_partitions(spark):
     SK.write_dated_json(df.where("issuer = 'a'").withColumn("url", F.lit("u3")), path)
     assert {(r.issuer, r.url) for r in spark.read.json(path).collect()} == {("a", "u3"), ("b", "u2")}
     assert {r.value for r in spark.read.text(path + "-urls").collect()} == {"u1", "u2"}
+
+
+@pytest.mark.parametrize("min_chars,hot", [(8, 4096), (8, 2), (5, 3), (1, 2)])
+def test_containment_pairs(spark, min_chars, hot):
+    """Titles of any length, one phrase in most of them, titles that are that phrase, very long ones."""
+    rnd = random.Random(min_chars + hot)
+    words = ["공급계약체결", "ab", "a", "실적", "주요사항보고서제출", "x" * 40]
+    titles = {("h", "주요사항보고서제출")} | {("h", "주요사항보고서제출" + "".join(rnd.choice(words) for _ in range(rnd.randint(0, 9)))) for _ in range(60)}
+    titles |= {(b, "".join(rnd.choice(words) for _ in range(rnd.randint(1, 8)))) for b in "ab" for _ in range(60)}
+    titles |= {("l", "".join(rnd.choice("abc") for _ in range(n))) for n in (8, 9, 4200, 9000, 20_000)}
+    long = max((t for b, t in titles if b == "l"), key=len)
+    titles |= {("l", long[i : i + n]) for i, n in ((0, 8), (5000, 8), (19_990, 10), (3, 4200), (17, 9001), (400, 63), (900, 64), (1, 255))}
+    rows = [(b, i, t) for i, (b, t) in enumerate(sorted(titles))]
+    df = spark.createDataFrame(rows, "block string, ord bigint, norm string").repartition(5)
+    got = [tuple(r) for r in J.containment_pairs(df, block=["block"], order="ord", norm="norm", min_chars=min_chars, hot=hot).collect()]
+    want = {(b, i, j) for b, i, s in rows for c, j, t in rows if b == c and i != j and len(s) >= min_chars and s in t}
+    assert len(got) == len(set(got)) and set(got) == want

@@ -17,6 +17,7 @@ from ..plans import report as RP
 from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import sinks as SK
+from ..sources import store as SO
 from . import proxies as X
 from .registry import query
 from .texts import cat, pick
@@ -371,10 +372,10 @@ def s10(spark, sf):
 @query("s13_skip_already_fetched", NEWS + " SELECT DISTINCT url FROM news WHERE url NOT IN (SELECT url FROM news WHERE ord%3=0)")
 def s13(spark, sf):
     n = X.news(spark, sf)
-    path = scratch_path(spark, "manifest")
+    manifest = SO.new_store(spark, scratch_path(spark, "manifest"), keys=["url"])
     for rest in (0, 3):  # the manifest grows by two runs
-        SK.append_manifest(n.where(f"ord % 6 = {rest}"), path)
-    return R.skip_already_fetched(n.select("url"), spark.read.schema("url string").parquet(path))
+        SK.append_manifest(n.where(f"ord % 6 = {rest}"), manifest)
+    return R.skip_already_fetched(n.select("url"), SO.read(spark, manifest))
 
 
 @query(

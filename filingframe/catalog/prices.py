@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import windows as W
 from ..plans import valuation as V
+from ..session import scratch_path
 from ..sources import readers as R
+from ..sources import store as SO
 from . import proxies as X
 from . import sqltext as Q
 from .registry import query
@@ -33,6 +35,42 @@ def s7(spark, sf):
     return out.select("issuer", F.date_format("trade_date", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume")
 
 
+def _price_store(spark, sf):
+    """Daily bars in a store by issuer, partitioned by week."""
+    bars = X.px(spark, sf).select("issuer", "trade_date", "close", "volume", F.date_trunc("week", "trade_date").cast("date").alias("week"))
+    store = SO.new_store(spark, scratch_path(spark, "prices"), keys=["issuer"], period=["week"])
+    SO.append(bars, store)
+    return SO.read(spark, store)
+
+
+@query(
+    "s7_store_price_range",
+    PX + """ SELECT issuer, count(*) AS n, CAST(sum("close") AS BIGINT) AS closes, CAST(max("close") AS BIGINT) AS highest FROM px
+    WHERE trade_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-19' GROUP BY issuer""",
+)
+def s7_range(spark, sf):
+    """A range of days reads two weeks of the store; the sums by issuer need no shuffle."""
+    rows = _price_store(spark, sf).where("week between date_trunc('week', date'2024-01-10') and date'2024-01-19' and trade_date between date'2024-01-10' and date'2024-01-19'")
+    return rows.groupBy("issuer").agg(F.count("*").alias("n"), F.sum("close").cast("bigint").alias("closes"), F.max("close").cast("bigint").alias("highest"))
+
+
+@query(
+    "s7_store_price_as_of",
+    PX + """, due AS (SELECT DISTINCT issuer, DATE '2024-01-08' + CAST(issuer % 12 AS INTEGER) AS day FROM px WHERE issuer % 4 = 0)
+    SELECT issuer, CAST(arg_max("close", trade_date) AS BIGINT) AS last_close, count(*) AS n FROM px JOIN due USING (issuer)
+    WHERE trade_date <= day AND trade_date > day - 7 GROUP BY issuer""",
+)
+def s7_as_of(spark, sf):
+    """The last close of the week up to a day that each issuer has of its own: the days due decide which weeks are read."""
+    issuers = X.px(spark, sf).select("issuer").distinct().where("issuer % 4 = 0")
+    day = F.date_add(F.lit("2024-01-08").cast("date"), (F.col("issuer") % 12).cast("int"))
+    first = F.date_trunc("week", F.date_sub(day, 6)).cast("date")
+    weeks = F.array_distinct(F.array(first, F.date_trunc("week", day).cast("date")))
+    due = issuers.select("issuer", day.alias("day"), F.explode(weeks).alias("week"))
+    rows = _price_store(spark, sf).join(due, ["issuer", "week"]).where((F.col("trade_date") <= F.col("day")) & (F.col("trade_date") > F.date_sub("day", 7)))
+    return rows.groupBy("issuer").agg(F.max_by("close", "trade_date").cast("bigint").alias("last_close"), F.count("*").alias("n"))
+
+
 _MA = 'CASE WHEN count("close") OVER w{n}={n} THEN CAST(sum("close") OVER w{n} AS DOUBLE)/{n} END ma{n}'
 _WIN = "w{n} AS (PARTITION BY issuer ORDER BY trade_date ROWS BETWEEN {m} PRECEDING AND CURRENT ROW)"
 

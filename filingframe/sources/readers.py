@@ -119,7 +119,7 @@ def url_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def scan_filing_index(index: DataFrame, *, start: Column, end: Column, keywords: Sequence[str], day: str = "rcept_dt", name: str = "report_nm") -> DataFrame:
-    """Filings of a date range whose name holds any keyword; the range prunes partitions."""
+    """Filings of a date range whose name holds any keyword; of a store partitioned by ``day`` the range reads its partitions only."""
     rows = index.where(F.col(day).between(start, end))
     return rows.where(any_keyword(name, keywords)) if keywords else rows
 
@@ -152,5 +152,8 @@ def latest_file(files: DataFrame, *, keys: Sequence[str], name: str = "name", ne
 
 
 def skip_already_fetched(new: DataFrame, manifest: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
-    """Entries the manifest does not know yet, each once."""
+    """Entries the manifest does not know yet, each once.
+
+    With a manifest that is bucketed by ``keys`` (:func:`.sinks.append_manifest`) only the new entries move.
+    """
     return new.dropDuplicates(list(keys)).join(manifest.select(*keys), list(keys), "left_anti")

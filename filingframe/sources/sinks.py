@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import Store, append
+
 
 def write_dated_json(df: DataFrame, path: str, *, issuer: str = "issuer", day: str = "run_date", url: str = "url", urls_path: str | None = None) -> None:
     """JSON per issuer and day, plus a text copy with the URLs alone."""
@@ -27,6 +29,6 @@ def write_report_rows(reports: DataFrame, path: str, *, partition: Sequence[str]
     reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
-def append_manifest(done: DataFrame, path: str, keys: Sequence[str] = ("url",)) -> None:
-    """Add fetched entries to the manifest after their data is written."""
-    done.select(*keys).distinct().write.mode("append").parquet(path)
+def append_manifest(done: DataFrame, manifest: Store) -> None:
+    """Add fetched entries to the manifest after their data is written; ``manifest`` is bucketed by its keys."""
+    append(done.select(*manifest.keys).distinct(), manifest)

@@ -1,10 +1,12 @@
 """The sequential part of the state: records that find their instrument by its current figures.
 
 A price adjustment without a series names the old price, and the instrument that has this
-price *now* takes it; the next adjustment depends on the outcome. Such issuers are folded in
-record order. Rows reach the fold sorted within their partition and are read batch by batch,
-so memory holds the instruments of one issuer and never its records. All other issuers take
-the aggregate path of :mod:`.state`.
+price *now* takes it; the next adjustment depends on the outcome. Instruments that such a record
+can find are folded in record order, those of one issuer together. Rows reach the fold sorted
+within their partition and are read batch by batch, so memory holds these instruments and never
+their records. All other instruments, the same issuer's too, take the aggregate path of
+:mod:`.state`: the figures they have over time are known without a fold, and if no record looks for
+any of them, none can ever find them.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import schemas as sc
-from .state import STATE, apply_events, apply_exercises, apply_notes, apply_price_adjustments
+from .state import STATE, adjusted_values, apply_events, apply_exercises, apply_notes, apply_price_adjustments, series_owners
 
 MIN_PRICE = sc.MIN_PRICE
 
@@ -105,14 +107,33 @@ def _frame(rows: list, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=columns)
 
 
+def _reachable(keyless: DataFrame, named: DataFrame, state: DataFrame) -> DataFrame:
+    """(issuer, instrument_key) of the instruments that have, at some time, a price or share count that a keyless record looks for."""
+    shares = F.coalesce(F.nullif("shares_before", F.lit(0)), F.nullif("current_shares", F.lit(0)))
+    sought = keyless.select("issuer", "part", F.when(F.col("part") == 0, F.nullif("price_before", F.lit(0))).otherwise(shares).alias("value"))
+    sought = sought.where(F.col("value").isNotNull()).distinct()
+    issuers = sought.select("issuer").distinct()
+    own = lambda df: df.join(issuers, "issuer", "left_semi")
+    values = adjusted_values(own(named), own(state))
+    figures = values.select("issuer", "instrument_key", F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col(c).alias("value")) for i, c in enumerate(("price", "shares"))))).alias("_v"))
+    figures = figures.select("issuer", "instrument_key", "_v.*").where(F.col("value").isNotNull()).distinct()
+    return figures.join(sought, ["issuer", "part", "value"], "left_semi").select("issuer", "instrument_key").distinct()
+
+
 def fold_adjustments(adjustments: DataFrame, state: DataFrame) -> DataFrame:
     """Price adjustments and share changes for all issuers.
 
-    Issuers whose records all name a series go through aggregates; the rest through the fold.
+    Instruments that no keyless record can find go through aggregates; the rest through the fold.
     """
-    keyless = adjustments.where(F.col("series").isNull()).select("issuer").distinct()
-    plain_state = state.join(keyless, "issuer", "left_anti")
-    plain = apply_price_adjustments(adjustments.join(keyless, "issuer", "left_anti"), plain_state)
+    keyless, named = adjustments.where(F.col("series").isNull()), adjustments.where(F.col("series").isNotNull())
+    reachable = cut_lineage(_reachable(keyless, named, state))
+    routed = named.join(series_owners(state), ["issuer", "series"])
+    keys = ["issuer", "instrument_key"]
+    plain_state = state.join(reachable, keys, "left_anti")
+    plain = apply_price_adjustments(routed.join(reachable, keys, "left_anti").drop("instrument_key"), plain_state)
+    state = state.join(reachable, keys, "left_semi")
+    followed = routed.join(reachable, keys, "left_semi").select(*adjustments.columns)
+    adjustments = followed.unionByName(keyless.join(reachable.select("issuer").distinct(), "issuer", "left_semi"))
     as_int = [c for c in _RECORD if c != "series"]
     instruments = state.select(
         *(c for c in STATE if c != "inserted"),
@@ -137,7 +158,6 @@ def fold_adjustments(adjustments: DataFrame, state: DataFrame) -> DataFrame:
     # planner may then coalesce the two sides differently and part instruments from records.
     ordered = (
         instruments.unionByName(records)
-        .join(keyless, "issuer", "left_semi")
         .repartition(F.xxhash64("issuer"))
         .sortWithinPartitions("issuer", "is_record", "phase", "first_ord", "entry_date", "ord", "part", "pos", "instrument_key")
     )

@@ -455,11 +455,11 @@ def running_last(df: DataFrame, *, keys: Sequence[str], slot: str, order: Column
     return local.join(carried, [*keys, slot]).select(*df.columns, F.coalesce("_local", "_carried").alias(out))
 
 
-def apply_price_adjustments(adjustments: DataFrame, state: DataFrame) -> DataFrame:
-    """Adjustments that name a series: new price, shares = balance / price, stated counts last.
+def _adjusted(adjustments: DataFrame, state: DataFrame) -> DataFrame:
+    """Adjustments that name a series, with their instrument and what they set: ``_p`` price, ``_s`` shares, ``_o`` place.
 
     The balance that counts is the one in force at that moment, so each adjustment first looks
-    up the latest stated balance before it (``running_last``); the rest is last-value-wins.
+    up the latest stated balance before it (``running_last``).
     """
     owner = _series_owner(state)
     base = state.select("issuer", "instrument_key", F.col("remaining").alias("_start"))
@@ -478,7 +478,24 @@ def apply_price_adjustments(adjustments: DataFrame, state: DataFrame) -> DataFra
     price = F.when(F.col("part") == 0, F.col("price_after"))
     derived = F.when((price >= sc.MIN_PRICE) & (balance != 0), floor_div(balance, price))
     shares = F.coalesce(derived, F.when(F.col("part") == 1, F.col("shares_after")))
-    per = seen.withColumns({"_p": price, "_s": shares, "_o": order}).groupBy("issuer", "instrument_key").agg(
+    return seen.withColumns({"_p": price, "_s": shares, "_o": order})
+
+
+def adjusted_values(adjustments: DataFrame, state: DataFrame) -> DataFrame:
+    """(issuer, instrument_key, price, shares): every figure an instrument has over time, one to a row, the other null or repeated."""
+    first = state.select("issuer", "instrument_key", F.col("conversion_price").alias("price"), F.col("convertible_shares").alias("shares"))
+    later = _adjusted(adjustments, state).select("issuer", "instrument_key", F.col("_p").alias("price"), F.col("_s").alias("shares"))
+    return first.unionByName(later)
+
+
+def series_owners(state: DataFrame) -> DataFrame:
+    """(issuer, series, instrument_key): the instrument that records of a series belong to."""
+    return _series_owner(state)
+
+
+def apply_price_adjustments(adjustments: DataFrame, state: DataFrame) -> DataFrame:
+    """Adjustments that name a series: new price, shares = balance / price, stated counts last; the last value wins."""
+    per = _adjusted(adjustments, state).groupBy("issuer", "instrument_key").agg(
         _last(F.col("_p"), F.col("_o")).alias("a_price"),
         _last(F.col("_s"), F.col("_o")).alias("a_shares"),
         _last(F.when(F.col("part") == 1, F.col("unconverted")), F.col("_o")).alias("a_rem"),
@@ -544,6 +561,6 @@ def overhang_table(state: DataFrame, *, as_of: Column, total_shares: Column | st
 
 __all__ = [
     "apply_events", "apply_exercises", "apply_issuance", "apply_notes", "apply_price_adjustments",
-    "apply_rights_documents", "default_options", "enrich_missing", "instrument_key", "overhang_table",
-    "overwrite_present", "replace_by_key", "running_last",
+    "adjusted_values", "apply_rights_documents", "default_options", "enrich_missing", "instrument_key", "overhang_table",
+    "overwrite_present", "replace_by_key", "running_last", "series_owners",
 ]

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import arrow_schema, read_articles, small_batches, utf8
 
-_TURN = re.compile(r"\S(?=\s)")  # a word ends here: no token of the vocabularies reaches over it
+# Places that no token of a vocabulary reaches over. Before white space in all of them; where the
+# file cuts texts by its own pattern also between letters, digits and other characters, but not
+# behind an apostrophe, which may stand in front of the ending of a word.
+_SPACED = regex.compile(r"\P{White_Space}(?=\p{White_Space})")
+_CLASSES = regex.compile(
+    r"\P{White_Space}(?=\p{White_Space})|\p{L}(?=[^\p{L}\p{White_Space}])|\p{N}(?=[^\p{N}\p{White_Space}])|[^\p{L}\p{N}\p{White_Space}'](?=[\p{L}\p{N}])"
+)
 Encode = Callable[[str], tuple[np.ndarray, np.ndarray]]
 
 
@@ -30,10 +37,20 @@ class Counter:
             self.tokenizer = Tokenizer.from_file(path)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+            before = spec.get("pre_tokenizer") or {}
+            self.classes = before.get("type") == "ByteLevel" and before.get("use_regex", True)
+            self.special = [t["content"] for t in spec.get("added_tokens") or []]
         else:
             from sentencepiece import SentencePieceProcessor
 
             self.tokenizer = SentencePieceProcessor(model_file=path)
+            self.classes = False
+
+    def turns(self, text: str) -> regex.Pattern:
+        """Turns of a text; special strings, which have letters next to other characters, are not to be parted."""
+        return _CLASSES if self.classes and not any(s in text for s in self.special) else _SPACED
 
     def count(self, texts: list[str]) -> list[int]:
         if self.json:
@@ -56,44 +73,53 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def _boundary(text: str, low: int, high: int, left: tuple, right: tuple) -> int | None:
-    """Last end of a word in [low, high] where both encodings have a token boundary."""
-    for m in reversed(list(_TURN.finditer(text, low, high))):
+def _boundary(text: str, low: int, high: int, left: tuple, right: tuple, turns: regex.Pattern) -> int | None:
+    """Last turn in [low, high] where both encodings have a token boundary."""
+    for m in reversed(list(turns.finditer(text, low, high))):
         at = m.end()
         if all(not np.any((starts < at) & (ends > at)) for starts, ends in (left, right)):
             return at
     return None
 
 
-def count_in_chunks(text: str, spans: Encode, chunk: int, overlap: int) -> int:
+def _end(text: str, start: int, chunk: int, overlap: int, turns: regex.Pattern) -> int:
+    """Where a piece ends: ``chunk`` characters on, or so far that the overlap with the next holds a turn."""
+    end = start + chunk
+    turn = turns.search(text, max(start, end - overlap) + 1) if end < len(text) else None
+    return min(len(text), max(end, turn.end() + overlap // 2)) if turn else len(text)
+
+
+def count_in_chunks(text: str, spans: Encode, chunk: int, overlap: int, turns: regex.Pattern = _SPACED) -> int:
     """Tokens of ``text`` from encodings of pieces of about ``chunk`` characters.
 
-    Two neighbouring pieces share ``overlap`` characters. They are spliced at the end of a word in
-    the shared part: white space after a non-space always begins a new token, so what stands left
-    of it does not depend on the right and the other way round, and both encodings must show the
-    boundary. If the shared part has none, the overlap is doubled, and when it would reach back to
-    the last splice, the piece itself grows.
+    Two neighbouring pieces share ``overlap`` characters. They are spliced at a turn in the
+    shared part: a new token always begins there, so what stands left of it does not depend on the
+    right and the other way round, and both encodings must show the boundary. If they do not, the
+    overlap is doubled, and when it would reach back to the last splice, the piece itself doubles.
+    A piece ends behind a turn, so a stretch without any, however long, is one piece, encoded once.
     """
-    total, done, end = 0, 0, min(len(text), chunk)
-    start, left = 0, spans(text[:end])
+    total, done, end = 0, 0, _end(text, 0, chunk, overlap, turns)
+    left = spans(text[:end])
     while end < len(text):
+        stop = _end(text, end, chunk, overlap, turns)
         shared, spliced = overlap, None
         while spliced is None:
             begin = max(done, end - shared)
-            stop = min(len(text), end + chunk)
-            starts, ends = spans(text[begin:stop])
-            right = (starts + begin, ends + begin)
-            # the first word of a piece may be cut: only boundaries behind its end count
-            spliced = _boundary(text, begin + 1, end, left, right) if begin > done else None
-            if spliced is None and begin == done:
-                break
             shared *= 2
-        if spliced is None:  # no boundary since the last splice: one larger piece from there
-            start, end = done, stop
-            left = right
+            if begin == done:
+                break
+            if turns.search(text, begin + 1, end):
+                starts, ends = spans(text[begin:stop])
+                right = (starts + begin, ends + begin)
+                # the first word of a piece may be cut: only boundaries behind its end count
+                spliced = _boundary(text, begin + 1, end, left, right, turns)
+        if spliced is None:  # no boundary since the last splice: one piece of twice the size from there
+            end = max(stop, min(len(text), 2 * end - done))
+            starts, ends = spans(text[done:end])
+            left = (starts + done, ends + done)
             continue
         total += int(np.count_nonzero((left[0] >= done) & (left[0] < spliced)))
-        start, done, left, end = begin, spliced, right, stop
+        done, left, end = spliced, right, stop
     return total + int(np.count_nonzero(left[0] >= done))
 
 
@@ -104,8 +130,9 @@ def count_tokens(
 
     ``tokenizer`` is the path of its file, the same on all machines. Texts of up to ``chunk``
     characters are encoded whole, longer ones piece by piece, so a task holds one text and the
-    encoding of one piece. One row per input row, no shuffle. Null and empty texts have no tokens;
-    special strings inside a text are handled as the tokenizer file says.
+    encoding of one piece. One row per input row, repeated rows and urls too, no shuffle; columns
+    beyond the two named are left behind. Null and empty texts have no tokens; an empty table gives
+    no rows; special strings inside a text are handled as the tokenizer file says.
     """
     rows = read_articles(articles, url, content)
 
@@ -116,7 +143,7 @@ def count_tokens(
             texts = [t.decode() for t in raw]
             short = [i for i, t in enumerate(texts) if len(t) <= chunk]
             counts = dict(zip(short, own.count([texts[i] for i in short]), strict=True))
-            n = [counts[i] if i in counts else count_in_chunks(t, own.spans, chunk, overlap) for i, t in enumerate(texts)]
+            n = [counts[i] if i in counts else count_in_chunks(t, own.spans, chunk, overlap, own.turns(t)) for i, t in enumerate(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array([len(t) for t in raw], pa.int64()), pa.array(n, pa.int64())], names=["url", "n_bytes", "n_tokens"])
 
     return rows.mapInArrow(measure, arrow_schema(rows, ["url"], ("n_bytes", T.LongType()), ("n_tokens", T.LongType())))

@@ -168,17 +168,29 @@ def _connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def tree_depth(points: int, shard_size: int, least_shards: int) -> int:
+    """Levels of the tree: shards of ``shard_size`` points, or ``least_shards`` of them where that leaves at least 4,096 in each."""
+    levels = lambda size: int(np.ceil(np.log2(max(1, points) / size)))
+    few = min(levels(min(4096, shard_size)), int(np.log2(least_shards)))
+    return min(20, max(0, levels(shard_size), few))
+
+
 def near_duplicates(
-    articles: DataFrame, *, url: str = "url", content: str = "content", shingle: int = 3, within: int = 2, shard_size: int = 4096
+    articles: DataFrame, *, url: str = "url", content: str = "content", shingle: int = 3, within: int = 2, shard_size: int = 1 << 18, least_shards: int = 32
 ) -> DataFrame:
     """(url, fingerprint, component): articles linked by fingerprints that differ in ``within`` bits at most.
 
     ``fingerprint`` has 16 hexadecimal digits; ``component`` is the smallest url reachable over
-    links. Equal fingerprints are one point. Points are dealt to the shards of a vantage-point tree
-    grown on a sample of one in a hundred (65,536 x 4 at most); a point near a boundary also asks
-    in the shards beyond it, so no link is lost, and only a spanning forest leaves a shard. One row
-    per input row. Texts without words have fingerprint zero and link like any other; repeated rows
-    are each returned; a null url is never the smallest, and a group of null urls has a null component.
+    links. Equal fingerprints are one point. Points are dealt to the shards of a vantage-point tree;
+    a point near a boundary also asks in the shards beyond it, so no link is lost, and only a
+    spanning forest leaves a shard. As every level of the tree adds askers, shards are large, about
+    ``shard_size`` points, but at least ``least_shards`` of 4,096 or more. The tree is grown on some
+    32 points a shard, drawn by hash: one in 8,192 points, of at most 2^20 shards, which is enough for
+    2.7e11 different fingerprints; beyond, the result is the same and shards grow.
+
+    One row per input row; extra columns are left behind and an empty table gives no rows. Texts
+    without words have fingerprint zero and link like any other; repeated rows are each returned; a
+    null url is never the smallest, and a group of null urls has a null component.
     """
     rows = read_articles(articles, url, content)
 
@@ -190,7 +202,7 @@ def near_duplicates(
     marked = written(rows.mapInArrow(hashed, arrow_schema(rows, ["url"], ("fp", T.LongType()))), "fingerprints")
     points = written(marked.groupBy("fp").agg(F.min("url").alias("least")), "points")
     n = points.count()
-    depth = min(15, max(0, int(np.ceil(np.log2(max(1, n) / shard_size)))))
+    depth = tree_depth(n, shard_size, least_shards)
     share = max(1, n // (32 << depth))
     sample = points.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(share)) == 0).select("fp").toArrow()["fp"].to_numpy() if depth else np.empty(0, np.int64)
     tree = articles.sparkSession.sparkContext.broadcast(grow(np.sort(sample.view(np.uint64)), depth))

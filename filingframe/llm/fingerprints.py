@@ -57,13 +57,12 @@ def revised(content: Column, after: Column, share: int = 4) -> Column:
     return F.concat(F.substring(content, F.lit(1), n - cut), F.substring(after, F.lit(1), cut))
 
 
-def fit_lexicon(articles: DataFrame, *, content: str = "content", low: float = 0.001, high: float = 0.2, max_terms: int = 1 << 18, equal_once: bool = False) -> DataFrame:
-    """(term): hashes of the words found in more than ``low`` and at most ``high`` of all articles.
+def fit_lexicon(articles: DataFrame, *, content: str = "content", low: float = 0.001, high: float = 0.2, equal_once: bool = False) -> DataFrame:
+    """(term, n): hashes of the words found in more than ``low`` and at most ``high`` of all articles, and in how many.
 
-    That is the band of inverse document frequency between ln(1/high) and ln(1/low). Document
-    frequencies are counted over every article, or with ``equal_once`` over every different text. As the mean number of distinct words D of an
-    article is finite, at most D/low words lie in the band; if that still exceeds ``max_terms``, the
-    rarest are left out, so the lexicon has a fixed size bound and may be broadcast.
+    That is the band of inverse document frequency between ln(1/high) and ln(1/low), the whole of
+    it. Document frequencies are counted over every article, or with ``equal_once`` over every
+    different text.
     """
     texts = articles.select(F.coalesce(F.col(content), F.lit("")).alias("content"))
     if equal_once:
@@ -74,8 +73,24 @@ def fit_lexicon(articles: DataFrame, *, content: str = "content", low: float = 0
     every = counted.where(F.col("term") == F.xxhash64(F.lit(""))).first()
     total = every["n"] if every else 0
     counted = counted.where(F.col("term") != F.xxhash64(F.lit("")))
-    band = counted.where((F.col("n") > low * total) & (F.col("n") <= high * total))
-    return band.where(F.col("n") >= least_count(band, max_terms)).select("term")
+    return counted.where((F.col("n") > low * total) & (F.col("n") <= high * total))
+
+
+def _known(terms: DataFrame, lexicon: DataFrame, cache_terms: int) -> DataFrame:
+    """``terms`` with ``known``, true for those of the lexicon.
+
+    The ``cache_terms`` most frequent terms of the lexicon are broadcast; a term that is not among
+    them is looked up in the rest, if there is one, by a join.
+    """
+    least = least_count(lexicon, cache_terms)
+    flag = F.lit(True).alias("known")
+    cached = terms.join(F.broadcast(lexicon.where(F.col("n") >= least).select("term", flag)), "term", "left")
+    rest = lexicon.where(F.col("n") < least)
+    if rest.isEmpty():
+        return cached
+    cached = written(cached, "looked_up_terms")  # both parts must see the same row numbers
+    found = cached.where("known is null").drop("known").join(rest.select("term", flag), "term", "left")
+    return cached.where("known").unionByName(found)
 
 
 def _subset_hashes(terms: Column, rate: int) -> Column:
@@ -132,7 +147,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def mark_articles(
-    articles: DataFrame, lexicon: DataFrame, texts: dict[str, str], keep: list[str], *, group: list[str] | None = None
+    articles: DataFrame, lexicon: DataFrame, texts: dict[str, str], keep: list[str], *, group: list[str] | None = None, cache_terms: int = 1 << 18
 ) -> DataFrame:
     """``keep`` and one mark for each text column, for ``code`` and ``likeness``; ``texts`` maps new names to columns.
 
@@ -145,7 +160,8 @@ def mark_articles(
     text without words is identified by its whole text.
 
     One row per input row. ``group`` names columns by which the rows are already partitioned: then
-    terms come together again without a shuffle.
+    terms come together again without a shuffle, as long as ``cache_terms``, the number of frequent
+    terms that are broadcast, holds the whole lexicon.
     """
     group = group or []
     rows = articles.withColumn("_row", F.monotonically_increasing_id())
@@ -155,7 +171,7 @@ def mark_articles(
     rows = rows.select(*group, "_row", *keep, *plain, F.explode(sides).alias("s"))
     rows = rows.select(*group, "_row", *keep, *(f"_plain_{i}" for i in range(len(texts))), "s.side", F.explode("s.words").alias("word"))
     rows = rows.withColumn("term", F.xxhash64("word")).drop("word")
-    terms = rows.join(F.broadcast(lexicon.withColumn("known", F.lit(True))), "term", "left")
+    terms = _known(rows, lexicon, cache_terms)
     word = F.col("term") != F.xxhash64(F.lit(""))
     own = lambda i, which: F.collect_set(F.when((F.col("side") == i) & word & which, F.col("term")))
     known = F.col("known").isNotNull()

@@ -71,6 +71,22 @@ def test_tree_loses_no_link(within):
     assert neardup.labels(len(values), np.array(a), np.array(b)).tolist() == want
 
 
+@pytest.mark.parametrize("points,most", [(10**8, 11), (10**9, 27)])
+def test_points_are_dealt_a_few_times(points, most):
+    """Rows dealt per point at the depth of so many points, for fingerprints without any order."""
+    rng = np.random.default_rng(points % 97)
+    depth = neardup.tree_depth(points, 1 << 18, 32)
+    tree = neardup.grow(np.sort(rng.integers(0, 2**63, 32 << depth, dtype=np.uint64) * np.uint64(2)), depth)
+    asked = rng.integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2)
+    dealt = sum(len(home) + len(asks) for _, home, asks in neardup.route(tree, asked, 2))
+    assert depth >= np.log2(points / 2**18) and dealt < most * len(asked)
+
+
+@pytest.mark.parametrize("points,depth", [(0, 0), (1, 0), (4096, 0), (4097, 1), (10**5, 5), (10**6, 5), (10**8, 9), (10**12, 20)])
+def test_depth_of_the_tree(points, depth):
+    assert neardup.tree_depth(points, 1 << 18, 32) == depth
+
+
 def test_a_full_ball_is_linked_without_all_pairs():
     center = np.uint64(0x0123456789ABCDEF)
     ball = np.unique(np.array([center] + [center ^ np.uint64((1 << i) | (1 << j)) for i in range(64) for j in range(i + 1)], np.uint64))
@@ -181,7 +197,15 @@ def test_lexicon_is_the_band(spark):
     band = [w for w in words if 0.05 * len(texts) < sum(w in s for s in sets) <= 0.3 * len(texts)]
     want = {r[0] for r in spark.createDataFrame([(w,) for w in band], "w string").select(F.xxhash64("w")).collect()}
     assert got == want
-    assert fingerprints.fit_lexicon(articles, low=0.05, high=0.3, max_terms=3).count() <= 3
+
+
+@pytest.mark.parametrize("cache_terms", [0, 3, 40])
+def test_terms_beyond_the_cache_are_looked_up_all_the_same(spark, cache_terms):
+    articles = samples.articles(spark)
+    lexicon = fingerprints.fit_lexicon(articles, low=0.05, high=0.3)
+    assert lexicon.count() > 40
+    marks = lambda n: sorted(map(repr, fingerprints.mark_articles(articles, lexicon, {"mark": "content"}, ["url", "content"], cache_terms=n).collect()))
+    assert marks(cache_terms) == marks(1 << 18)
 
 
 def test_fingerprints_of_revisions(spark):

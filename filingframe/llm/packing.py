@@ -124,7 +124,9 @@ def encode_pieces(
     """(url, piece, start, length, ids): token ids of each article, cut only where longer than ``capacity``.
 
     ``ids`` are little-endian unsigned 32-bit integers; ``end`` is appended to every article, so a
-    null or empty text is that one token. Pieces count from 0, all but the last are full.
+    null or empty text is that one token. Pieces count from 0, all but the last are full. Every input
+    row gives its pieces, repeated rows and urls too; columns beyond the two named are left behind;
+    an empty table gives no rows.
     """
     rows = read_articles(articles, url, content)
 
@@ -202,16 +204,20 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return number, offset
 
 
-def pack_pieces(pieces: DataFrame, *, length: str = "length", capacity: int = 4096, group_rows: int = 8192) -> DataFrame:
+def pack_pieces(pieces: DataFrame, *, length: str = "length", capacity: int = 4096, group_sequences: int = 1024) -> DataFrame:
     """All columns of ``pieces`` with ``sequence`` (any number) and ``offset`` (its place there, without gaps).
 
-    Pieces are dealt by a hash of their row number into groups of about ``group_rows``; each group
-    fills sequences of its own, of which at most a few stay partly empty, so the loss is about one
-    sequence in a thousand and no task sees more than one group. Give it narrow rows: the ids need
-    not come along. An empty table gives no rows; lengths must lie between 1 and ``capacity``.
+    Pieces are dealt by a hash of their row number into groups that fill about ``group_sequences``
+    sequences, whatever the length of a piece; each group fills sequences of its own, of which at
+    most a few stay partly empty, so the loss is about one sequence in a thousand and no task sees
+    more than one group. Give it narrow rows: the ids need not come along. Repeated rows are packed
+    each; columns of the names ``sequence``, ``offset``, ``_row`` and ``_group`` are replaced. An empty
+    table gives no rows; lengths must lie between 1 and ``capacity``.
     """
+    pieces = pieces.drop("sequence", "offset", "_row", "_group")
     rows = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, rows.count() // group_rows)
+    tokens = rows.agg(F.sum(length)).first()[0] or 0
+    groups = max(1, tokens // (capacity * group_sequences))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("_row")

@@ -33,14 +33,34 @@ def test_spliced_chunks_equal_the_whole(path, chunk, overlap):
     rng = random.Random(1)
     own = tokens.counter(path)
     for text in [*ODD, samples.text(rng, words=400), samples.text(rng, "de", 300).replace(" ", "\n\n  ")]:
-        assert tokens.count_in_chunks(text, own.spans, chunk, overlap) == own.count([text])[0]
+        assert tokens.count_in_chunks(text, own.spans, chunk, overlap, own.turns(text)) == own.count([text])[0]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab é日'1! \n\t<|endoftext|>", max_size=300))
 def test_spliced_chunks_of_any_text(text):
     own = tokens.counter(BYTES)
-    assert tokens.count_in_chunks(text, own.spans, 20, 4) == own.count([text])[0]
+    assert tokens.count_in_chunks(text, own.spans, 20, 4, own.turns(text)) == own.count([text])[0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abZé日本한ßЖ1२٣'’.,!?-_¿\u0301\x1c\x85\u200b\u3000 \n\t😀", max_size=200))
+def test_spliced_chunks_of_mixed_scripts(text):
+    own = tokens.counter(BYTES)
+    assert tokens.count_in_chunks(text, own.spans, 16, 4, own.turns(text)) == own.count([text])[0]
+
+
+@pytest.mark.parametrize("text", ["日本語漢字文章試験" * 30_000, "日本語。漢字１２文章、" * 30_000, "x" * 300_000, "ab12" * 80_000])
+def test_texts_without_white_space_are_encoded_about_once(text):
+    """What is encoded grows with the text, not with its square."""
+    own, seen = tokens.counter(BYTES), []
+
+    def spans(part):
+        seen.append(len(part))
+        return own.spans(part)
+
+    assert tokens.count_in_chunks(text, spans, 1 << 15, 512, own.turns(text)) == own.count([text])[0]
+    assert sum(seen) < 2.2 * len(text)
 
 
 @settings(max_examples=150, deadline=None)
@@ -64,7 +84,7 @@ def test_pieces_and_sequences(spark):
         assert [x for p in own for x in np.frombuffer(p["ids"], np.uint32).tolist()] == ids
         assert [p["start"] for p in own] == list(range(0, len(ids), 256)) and all(p["length"] == 256 for p in own[:-1])
     narrow = packing.encode_pieces(articles, WORDS, capacity=256).drop("ids")
-    packed = packing.pack_pieces(narrow, capacity=256, group_rows=64).collect()
+    packed = packing.pack_pieces(narrow, capacity=256, group_sequences=8).collect()
     assert Counter((r["url"], r["piece"], r["length"]) for r in packed) == Counter((r["url"], r["piece"], r["length"]) for r in pieces)
     sequences = {}
     for r in packed:
@@ -94,6 +114,23 @@ def test_best_two_fit_is_a_packing(lengths):
     assert len(bins) <= 1.5 * max(1, -(-sum(lengths) // 40)) + 1
 
 
+@pytest.mark.parametrize("longest", [10, 300, 4096])
+def test_few_sequences_whatever_the_length_of_a_piece(spark, longest):
+    """Short pieces fill their sequences: groups are sized by tokens, so hardly any sequence stays open."""
+    rng = np.random.default_rng(longest)
+    lengths = rng.integers(1, longest + 1, 60_000 if longest < 4096 else 6_000).tolist()
+    df = spark.createDataFrame([(i, n, "o", 7) for i, n in enumerate(lengths)], "id long, length long, offset string, _row int")
+    size = 64 if longest < 4096 else 1024
+    got = packing.pack_pieces(df, group_sequences=size)
+    assert got.columns == ["id", "length", "sequence", "offset"]
+    rows = got.collect()
+    assert sorted(r["id"] for r in rows) == list(range(len(lengths)))
+    groups = max(1, sum(lengths) // (size * 4096))
+    # short pieces: as few as their tokens fill; long ones: nearly as few as all of them packed at once
+    fewest = -(-sum(lengths) // 4096) if longest < 4096 else 1.01 * (packing.best_two_fit(np.array(lengths), 4096)[0].max() + 1)
+    assert len({r["sequence"] for r in rows}) <= fewest + groups
+
+
 def test_two_that_fit_better_replace_the_smallest():
     # 6 alone takes 3 and leaves 1; exchanging the 3 for 2 and 2 fills the bin
     number, _ = packing.best_two_fit(np.array([6, 3, 2, 2]), 10)
@@ -121,6 +158,21 @@ def test_shards(spark, task_units):
     assert all(len(s) == 1 for t, s in places.items() if t and t != hot)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_unit_goes_where_the_dot_product_is_highest(seed):
+    rng = np.random.default_rng(seed)
+    units, capacity = rng.integers(1, 90, (40, 3)).astype(float), np.array([300.0, 200.0, 90.0])
+    residual, weights = rng.integers(50, 400, (6, 3)).astype(float), np.array([1.0, 0.3, 0.03])
+    left = [[float(x) for x in row] for row in residual]
+    want = {}
+    for i in sorted(range(40), key=lambda i: (-units[i][0], i)):
+        products = [sum(l[d] / capacity[d] * units[i][d] / capacity[d] * weights[d] for d in range(3)) for l in left]  # noqa: E741
+        want[i] = max(range(6), key=lambda k: (round(products[k], 12), -k))
+        for d in range(3):
+            left[want[i]][d] -= units[i][d]
+    assert sharding.place(units, residual, capacity, weights).tolist() == [want[i] for i in range(40)]
+
+
 def test_shards_of_little_and_nothing(spark):
     few = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "url long, content string")
     assert sharding.shard_articles(few).count() == 3

@@ -14,7 +14,7 @@ from filingframe.llm import language, neardup
 from filingframe.llm.common import written
 from filingframe.llm.queries import as_articles, contamination, language_model, packed, quality_scores
 
-LEAST_QUALITY = 0.5  # calibrated probability of a good label
+LEAST_QUALITY = 0.7  # calibrated probability of a good label, as in op2_quality
 LEAST_LANGUAGE = 0.5  # share of the best language
 
 
@@ -24,7 +24,7 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely good than not."""
+    """Documents that the classifier calls good."""
     return _only(docs, quality_scores(spark, docs, sf_dir).where(F.col("score") >= LEAST_QUALITY))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import lexicon as lx
 from ..functions import maps as K
 from ..functions.numbers import parse_korean_float, parse_korean_int, performance_unit
 from ..functions.text import clean_text, page_title, strip_tags
@@ -34,6 +35,11 @@ def headed_table_rows(parsed: DataFrame, *, keys: Sequence[str], keep) -> DataFr
     return tables.select(*keys, "table_no", F.posexplode(C.headed_rows(F.col("_t"))).alias("row_no", "row"))
 
 
+def _captioned(pairs: Column, job: str, field: str) -> Column:
+    """Value under the first caption of a field that the form has."""
+    return K.kv_first(pairs, *lx.FILING_CAPTIONS[job][field])
+
+
 def _int_or_null(c: Column) -> Column:
     return F.trim(c).try_cast("bigint")
 
@@ -43,9 +49,9 @@ def filing_exercises(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     p = F.col("pairs")
     return parsed.select(
         *keys,
-        parse_korean_int(K.kv_first(p, "1. 전환청구권 행사주식수 누계 (주) (기 신고된 주식수량 제외)", "전환청구권 행사주식수 누계", "행사주식수 누계")).alias("cumulative_shares"),
-        parse_korean_int(K.kv_first(p, "-발행주식총수(주)", "발행주식총수", "발행주식총수(주)")).alias("total_shares"),
-        parse_korean_float(K.kv_first(p, "-발행주식총수 대비(%)", "발행주식총수 대비(%)", "발행주식총수 대비")).alias("ratio_pct"),
+        parse_korean_int(_captioned(p, "filing_exercises", "cumulative_shares")).alias("cumulative_shares"),
+        parse_korean_int(_captioned(p, "filing_exercises", "total_shares")).alias("total_shares"),
+        parse_korean_float(_captioned(p, "filing_exercises", "ratio_pct")).alias("ratio_pct"),
     )
 
 
@@ -55,13 +61,13 @@ def filing_claims(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     r = F.col("row")
     return rows.select(
         *keys, "table_no", "row_no",
-        K.kv_first(r, "청구일자", "청구일", "행사일자", "행사일").alias("date"),
-        _int_or_null(K.kv_first(r, "회차")).alias("series"),
-        K.kv_first(r, "종류").alias("bond_type"),
-        parse_korean_int(K.kv_first(r, "청구금액", "행사금액")).alias("amount"),
-        parse_korean_int(K.kv_first(r, "전환가액", "행사가액")).alias("conversion_price"),
-        parse_korean_int(K.kv_first(r, "발행한 주식수", "발행주식수", "주식수")).alias("shares"),
-        K.kv_first(r, "상장일 또는 예정일", "상장예정일", "상장일").alias("listing_date"),
+        _captioned(r, "filing_claims", "date").alias("date"),
+        _int_or_null(_captioned(r, "filing_claims", "series")).alias("series"),
+        _captioned(r, "filing_claims", "bond_type").alias("bond_type"),
+        parse_korean_int(_captioned(r, "filing_claims", "amount")).alias("amount"),
+        parse_korean_int(_captioned(r, "filing_claims", "conversion_price")).alias("conversion_price"),
+        parse_korean_int(_captioned(r, "filing_claims", "shares")).alias("shares"),
+        _captioned(r, "filing_claims", "listing_date").alias("listing_date"),
     )
 
 
@@ -71,12 +77,12 @@ def filing_balances(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     r = F.col("row")
     return rows.select(
         *keys, "table_no", "row_no",
-        _int_or_null(K.kv_first(r, "회차")).alias("series"),
-        parse_korean_int(K.kv_first(r, "발행당시 사채의 권면(전자등록)총액", "사채의 권면총액", "권면총액")).alias("face_value"),
-        K.kv_first(r, "통화단위").alias("currency"),
-        parse_korean_int(K.kv_first(r, "신고일 현재 미전환사채 잔액", "미전환사채 잔액", "잔액")).alias("remaining"),
-        parse_korean_int(K.kv_first(r, "전환가액(원)", "전환가액")).alias("conversion_price"),
-        parse_korean_int(K.kv_first(r, "전환가능 주식수", "전환가능주식수")).alias("convertible_shares"),
+        _int_or_null(_captioned(r, "filing_balances", "series")).alias("series"),
+        parse_korean_int(_captioned(r, "filing_balances", "face_value")).alias("face_value"),
+        _captioned(r, "filing_balances", "currency").alias("currency"),
+        parse_korean_int(_captioned(r, "filing_balances", "remaining")).alias("remaining"),
+        parse_korean_int(_captioned(r, "filing_balances", "conversion_price")).alias("conversion_price"),
+        parse_korean_int(_captioned(r, "filing_balances", "convertible_shares")).alias("convertible_shares"),
     )
 
 
@@ -101,15 +107,15 @@ def filing_price_changes(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame
     return step.select(
         *keys,
         "pos",
-        K.kv_first(p, "회사명", "발행회사").alias("company"),
-        K.kv_first(p, "공시일", "보고일").alias("disclosure_date"),
-        _int_or_null(K.kv_first(a, "회차")).alias("series"),
-        K.kv_first(a, "상장여부").alias("listed"),
-        parse_korean_int(K.kv_first(a, "조정전 전환가액 (원)", "조정전 전환가액", "조정전가액")).alias("price_before"),
-        parse_korean_int(K.kv_first(a, "조정후 전환가액 (원)", "조정후 전환가액", "조정후가액")).alias("price_after"),
-        parse_korean_int(K.kv_first(s, "미전환사채의 권면(전자등록)총액", "미전환사채 권면총액", "미전환사채")).alias("unconverted"),
-        parse_korean_int(K.kv_first(s, "조정전 전환가능 주식수 (주)", "조정전 전환가능주식수")).alias("shares_before"),
-        parse_korean_int(K.kv_first(s, "조정후 전환가능 주식수 (주)", "조정후 전환가능주식수")).alias("shares_after"),
+        _captioned(p, "filing_price_changes", "company").alias("company"),
+        _captioned(p, "filing_price_changes", "disclosure_date").alias("disclosure_date"),
+        _int_or_null(_captioned(a, "filing_price_changes", "series")).alias("series"),
+        _captioned(a, "filing_price_changes", "listed").alias("listed"),
+        parse_korean_int(_captioned(a, "filing_price_changes", "price_before")).alias("price_before"),
+        parse_korean_int(_captioned(a, "filing_price_changes", "price_after")).alias("price_after"),
+        parse_korean_int(_captioned(s, "filing_price_changes", "unconverted")).alias("unconverted"),
+        parse_korean_int(_captioned(s, "filing_price_changes", "shares_before")).alias("shares_before"),
+        parse_korean_int(_captioned(s, "filing_price_changes", "shares_after")).alias("shares_after"),
     )
 
 
@@ -126,21 +132,21 @@ def filing_contracts(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     return parsed.select(
         *keys,
         F.when(has(F.col("title"), "해지"), F.lit("단일판매ㆍ공급계약해지")).otherwise(F.lit("단일판매ㆍ공급계약체결")).alias("type"),
-        K.kv_first(p, "1. 판매ㆍ공급계약 내용", "판매ㆍ공급계약 내용", "계약 내용").alias("description"),
-        K.kv_first(p, "조건부 계약여부").alias("conditional"),
-        parse_korean_int(K.kv_first(p, "확정 계약금액")).alias("confirmed_amount"),
-        parse_korean_int(K.kv_first(p, "공시별 계약금액")).alias("disclosed_amount"),
-        parse_korean_int(K.kv_first(p, "계약금액 합계(원)", "계약금액 합계")).alias("total_amount"),
-        parse_korean_int(K.kv_first(p, "최근 매출액(원)", "최근 매출액")).alias("recent_revenue"),
-        parse_korean_float(K.kv_first(p, "매출액 대비(%)", "매출액 대비")).alias("revenue_ratio_pct"),
-        K.kv_first(p, "3. 계약상대방", "계약상대방").alias("counterparty"),
-        K.kv_first(p, "- 회사와의 관계").alias("relationship"),
-        K.kv_first(p, "4. 판매ㆍ공급지역국가", "판매ㆍ공급지역국가", "지역국가").alias("region"),
-        K.kv_first(p, "시작일", "계약 시작일").alias("period_start"),
-        K.kv_first(p, "종료일", "계약 종료일").alias("period_end"),
+        _captioned(p, "filing_contracts", "description").alias("description"),
+        _captioned(p, "filing_contracts", "conditional").alias("conditional"),
+        parse_korean_int(_captioned(p, "filing_contracts", "confirmed_amount")).alias("confirmed_amount"),
+        parse_korean_int(_captioned(p, "filing_contracts", "disclosed_amount")).alias("disclosed_amount"),
+        parse_korean_int(_captioned(p, "filing_contracts", "total_amount")).alias("total_amount"),
+        parse_korean_int(_captioned(p, "filing_contracts", "recent_revenue")).alias("recent_revenue"),
+        parse_korean_float(_captioned(p, "filing_contracts", "revenue_ratio_pct")).alias("revenue_ratio_pct"),
+        _captioned(p, "filing_contracts", "counterparty").alias("counterparty"),
+        _captioned(p, "filing_contracts", "relationship").alias("relationship"),
+        _captioned(p, "filing_contracts", "region").alias("region"),
+        _captioned(p, "filing_contracts", "period_start").alias("period_start"),
+        _captioned(p, "filing_contracts", "period_end").alias("period_end"),
         group("6.", "계약조건").alias("conditions"),
         F.struct(*(K.kv_first(p, k).alias(n) for n, k in (("own", "자체생산"), ("outsourced", "외주생산"), ("other", "기타")))).alias("supply"),
-        K.kv_first(p, "8. 계약(수주)일자", "계약(수주)일자", "계약일자").alias("contract_date"),
+        _captioned(p, "filing_contracts", "contract_date").alias("contract_date"),
         group("9.", "변경처리").alias("change_info"),
         lines.alias("notes"),
     )
@@ -223,13 +229,13 @@ def performance_records(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
 
     return step.select(
         *keys,
-        K.kv_first(p, "1. 재무제표의 종류", "재무제표의 종류", "재무제표 종류").alias("statement_type"),
+        _captioned(p, "performance_records", "statement_type").alias("statement_type"),
         performance_unit("body").alias("unit"),
-        K.kv_first(p, "- 시작일", "시작일").alias("period_start"),
-        K.kv_first(p, "- 종료일", "종료일").alias("period_end"),
+        _captioned(p, "performance_records", "period_start").alias("period_start"),
+        _captioned(p, "performance_records", "period_end").alias("period_end"),
         F.coalesce("_i", composite(_INCOME)).alias("income"),
         F.coalesce("_s", composite(_STATUS)).alias("status"),
-        K.kv_first(p, "5. 매출액 또는 손익구조 변동 주요원인", "변동 주요원인").alias("reason"),
+        _captioned(p, "performance_records", "reason").alias("reason"),
     )
 
 
@@ -255,14 +261,14 @@ def bond_issuances(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     return parsed.select(
         *keys,
         F.when(has(F.col("title"), "신주인수권부사채"), F.lit("신주인수권부사채권 발행결정")).otherwise(F.lit("전환사채권 발행결정")).alias("type"),
-        _int_or_null(K.kv_first(p, "회차", "사채 회차")).alias("series"),
-        K.kv_first(p, "종류", "사채의 종류", "1. 사채의 종류").alias("kind"),
-        parse_korean_int(K.kv_first(p, "2. 사채의 권면(전자등록)총액 (원)", "사채의 권면(전자등록)총액 (원)", "사채의 권면총액")).alias("face_value"),
-        parse_korean_int(K.kv_first(p, "전환가액 (원/주)", "전환가액", "행사가액 (원/주)", "행사가액")).alias("conversion_price"),
-        parse_korean_int(K.kv_first(p, "주식수", "전환주식수")).alias("convertible_shares"),
-        parse_korean_float(K.kv_first(p, "주식총수 대비 비율(%)", "주식총수 대비 비율")).alias("share_ratio_pct"),
-        K.kv_first(p, "시작일", "전환청구 시작일").alias("exercise_start"),
-        K.kv_first(p, "종료일", "전환청구 종료일").alias("exercise_end"),
+        _int_or_null(_captioned(p, "bond_issuances", "series")).alias("series"),
+        _captioned(p, "bond_issuances", "kind").alias("kind"),
+        parse_korean_int(_captioned(p, "bond_issuances", "face_value")).alias("face_value"),
+        parse_korean_int(_captioned(p, "bond_issuances", "conversion_price")).alias("conversion_price"),
+        parse_korean_int(_captioned(p, "bond_issuances", "convertible_shares")).alias("convertible_shares"),
+        parse_korean_float(_captioned(p, "bond_issuances", "share_ratio_pct")).alias("share_ratio_pct"),
+        _captioned(p, "bond_issuances", "exercise_start").alias("exercise_start"),
+        _captioned(p, "bond_issuances", "exercise_end").alias("exercise_end"),
     )
 
 
@@ -285,14 +291,14 @@ def rights_issues(parsed: DataFrame, *, keys: Sequence[str]) -> DataFrame:
         *keys,
         positive("보통주식 (주)", "보통주식(주)").alias("common_shares"),
         positive("기타주식 (주)", "기타주식(주)").alias("other_shares"),
-        parse_korean_int(K.kv_first(p, "기타주식 (원)", "기타주식(원)")).alias("issue_price"),
+        parse_korean_int(_captioned(p, "rights_issues", "issue_price")).alias("issue_price"),
         positive("전환가액 (원/주)", "전환가액", "전환가액(원/주)").alias("conversion_price"),
         positive("주식수", "전환주식수").alias("conversion_shares"),
-        parse_korean_float(K.kv_first(p, "전환비율 (%)", "전환비율(%)")).alias("conversion_ratio_pct"),
+        parse_korean_float(_captioned(p, "rights_issues", "conversion_ratio_pct")).alias("conversion_ratio_pct"),
         F.nullif(funding, F.lit(0)).alias("funding"),
-        K.kv_first(p, "주식의 내용", "기타주식의 내용").alias("share_type"),
-        _dashed(K.kv_first(p, "시작일", "전환청구 시작일")).alias("exercise_start"),
-        _dashed(K.kv_first(p, "종료일", "전환청구 종료일")).alias("exercise_end"),
+        _captioned(p, "rights_issues", "share_type").alias("share_type"),
+        _dashed(_captioned(p, "rights_issues", "exercise_start")).alias("exercise_start"),
+        _dashed(_captioned(p, "rights_issues", "exercise_end")).alias("exercise_end"),
     )
 
 

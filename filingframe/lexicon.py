@@ -134,3 +134,78 @@ OVERHANG_KEYWORDS = [
     "전환사채", "신주인수권부사채", "전환우선주", "상환전환우선주",
     "전환상환우선주", "주식매수선택권", "주식기준보상",
 ]
+
+# --- fixed values: captions of filing forms, by job and field, in the order they are looked for ---
+FILING_CAPTIONS = {
+    "filing_exercises": {
+        "cumulative_shares": ("1. 전환청구권 행사주식수 누계 (주) (기 신고된 주식수량 제외)", "전환청구권 행사주식수 누계", "행사주식수 누계"),
+        "total_shares": ("-발행주식총수(주)", "발행주식총수", "발행주식총수(주)"),
+        "ratio_pct": ("-발행주식총수 대비(%)", "발행주식총수 대비(%)", "발행주식총수 대비"),
+    },
+    "filing_claims": {
+        "date": ("청구일자", "청구일", "행사일자", "행사일"),
+        "series": ("회차",),
+        "bond_type": ("종류",),
+        "amount": ("청구금액", "행사금액"),
+        "conversion_price": ("전환가액", "행사가액"),
+        "shares": ("발행한 주식수", "발행주식수", "주식수"),
+        "listing_date": ("상장일 또는 예정일", "상장예정일", "상장일"),
+    },
+    "filing_balances": {
+        "series": ("회차",),
+        "face_value": ("발행당시 사채의 권면(전자등록)총액", "사채의 권면총액", "권면총액"),
+        "currency": ("통화단위",),
+        "remaining": ("신고일 현재 미전환사채 잔액", "미전환사채 잔액", "잔액"),
+        "conversion_price": ("전환가액(원)", "전환가액"),
+        "convertible_shares": ("전환가능 주식수", "전환가능주식수"),
+    },
+    "filing_price_changes": {
+        "company": ("회사명", "발행회사"),
+        "disclosure_date": ("공시일", "보고일"),
+        "series": ("회차",),
+        "listed": ("상장여부",),
+        "price_before": ("조정전 전환가액 (원)", "조정전 전환가액", "조정전가액"),
+        "price_after": ("조정후 전환가액 (원)", "조정후 전환가액", "조정후가액"),
+        "unconverted": ("미전환사채의 권면(전자등록)총액", "미전환사채 권면총액", "미전환사채"),
+        "shares_before": ("조정전 전환가능 주식수 (주)", "조정전 전환가능주식수"),
+        "shares_after": ("조정후 전환가능 주식수 (주)", "조정후 전환가능주식수"),
+    },
+    "filing_contracts": {
+        "description": ("1. 판매ㆍ공급계약 내용", "판매ㆍ공급계약 내용", "계약 내용"),
+        "conditional": ("조건부 계약여부",),
+        "confirmed_amount": ("확정 계약금액",),
+        "disclosed_amount": ("공시별 계약금액",),
+        "total_amount": ("계약금액 합계(원)", "계약금액 합계"),
+        "recent_revenue": ("최근 매출액(원)", "최근 매출액"),
+        "revenue_ratio_pct": ("매출액 대비(%)", "매출액 대비"),
+        "counterparty": ("3. 계약상대방", "계약상대방"),
+        "relationship": ("- 회사와의 관계",),
+        "region": ("4. 판매ㆍ공급지역국가", "판매ㆍ공급지역국가", "지역국가"),
+        "period_start": ("시작일", "계약 시작일"),
+        "period_end": ("종료일", "계약 종료일"),
+        "contract_date": ("8. 계약(수주)일자", "계약(수주)일자", "계약일자"),
+    },
+    "performance_records": {
+        "statement_type": ("1. 재무제표의 종류", "재무제표의 종류", "재무제표 종류"),
+        "period_start": ("- 시작일", "시작일"),
+        "period_end": ("- 종료일", "종료일"),
+        "reason": ("5. 매출액 또는 손익구조 변동 주요원인", "변동 주요원인"),
+    },
+    "bond_issuances": {
+        "series": ("회차", "사채 회차"),
+        "kind": ("종류", "사채의 종류", "1. 사채의 종류"),
+        "face_value": ("2. 사채의 권면(전자등록)총액 (원)", "사채의 권면(전자등록)총액 (원)", "사채의 권면총액"),
+        "conversion_price": ("전환가액 (원/주)", "전환가액", "행사가액 (원/주)", "행사가액"),
+        "convertible_shares": ("주식수", "전환주식수"),
+        "share_ratio_pct": ("주식총수 대비 비율(%)", "주식총수 대비 비율"),
+        "exercise_start": ("시작일", "전환청구 시작일"),
+        "exercise_end": ("종료일", "전환청구 종료일"),
+    },
+    "rights_issues": {
+        "issue_price": ("기타주식 (원)", "기타주식(원)"),
+        "conversion_ratio_pct": ("전환비율 (%)", "전환비율(%)"),
+        "share_type": ("주식의 내용", "기타주식의 내용"),
+        "exercise_start": ("시작일", "전환청구 시작일"),
+        "exercise_end": ("종료일", "전환청구 종료일"),
+    },
+}

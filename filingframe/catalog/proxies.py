@@ -68,11 +68,11 @@ def _slot() -> Column:
     return F.col("fy") * 4 + F.col("fq")
 
 
-def stmt(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stmt(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Quarterly figures with absent periods, absent fields and wholly empty rows."""
     i, slot = F.col("issuer"), _slot()
     empty = (i + slot) % 23 == 0
-    return quarters(spark, sf_dir).where((i * 11 + slot) % 29 != 0).select(
+    return (base or quarters(spark, sf_dir)).where((i * 11 + slot) % 29 != 0).select(
         "issuer",
         "fy",
         "fq",
@@ -91,9 +91,9 @@ stmt AS (
   FROM quarters WHERE (issuer*11+fy*4+fq)%29<>0)"""
 
 
-def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annual(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     i, fy = F.col("issuer"), F.col("fy")
-    sums = quarters(spark, sf_dir).groupBy("issuer", "fy").agg(*(F.sum(m).alias(m) for m in MEASURES))
+    sums = (base or quarters(spark, sf_dir)).groupBy("issuer", "fy").agg(*(F.sum(m).alias(m) for m in MEASURES))
     return sums.select(
         "issuer",
         "fy",
@@ -114,11 +114,11 @@ annual AS (
     FROM quarters GROUP BY ALL) q)"""
 
 
-def cum(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cum(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Year-to-date figures after 1..4 quarters, with gaps."""
     i, slot = F.col("issuer"), _slot()
     w = Window.partitionBy("issuer", "fy").orderBy("fq").rowsBetween(Window.unboundedPreceding, 0)
-    run = quarters(spark, sf_dir).select(
+    run = (base or quarters(spark, sf_dir)).select(
         "issuer", "fy", "fq", *(F.sum(m).over(w).alias(m) for m in MEASURES)
     )
     empty = (i * 13 + slot) % 31 == 0
@@ -203,9 +203,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cum_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cum_raw(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy("issuer", "fy").orderBy("fq").rowsBetween(Window.unboundedPreceding, 0)
-    return quarters(spark, sf_dir).select("issuer", "fy", "fq", *(F.sum(m).over(w).alias(m) for m in MEASURES))
+    return (base or quarters(spark, sf_dir)).select("issuer", "fy", "fq", *(F.sum(m).over(w).alias(m) for m in MEASURES))
 
 
 def _line_values_sql() -> str:

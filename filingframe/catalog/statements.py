@@ -16,6 +16,7 @@ from ..operators import windows as W
 from ..operators import years as Y
 from ..operators.labels import match_accounts
 from ..plans import statements as S
+from ..session import saved
 from . import proxies as X
 from . import sqltext as Q
 from .registry import query
@@ -735,9 +736,9 @@ def e13(spark, sf):
 # -- reconciliation ------------------------------------------------------------------------------
 
 
-def _performance(spark, sf):
+def _performance(spark, sf, base=None):
     """Earnings-change notices in 백만원 with a period range: quarters, half years, nine months, years."""
-    raw = X.cum_raw(spark, sf)
+    raw = X.cum_raw(spark, sf, base)
     fy, fq = F.col("fy"), F.col("fq")
     single = (F.col("issuer") + fq) % 4 == 0
     start_q = F.when(single, fq).otherwise(F.lit(1))
@@ -797,8 +798,8 @@ def e9(spark, sf):
     return Y.integrate_performance(X.stmt(spark, sf), perf, measures=MS)
 
 
-def _preliminary(spark, sf):
-    raw = X.quarters(spark, sf)
+def _preliminary(spark, sf, base=None):
+    raw = base or X.quarters(spark, sf)
     return raw.where((F.col("issuer") * 3 + F.col("fy") + F.col("fq")) % 3 == 0).select(
         "issuer",
         (F.col("fy") * 4 + F.col("fq")).alias("ord"),
@@ -839,11 +840,13 @@ _E11 = (
 
 @query("e11_reconcile_statements", _E11)
 def e11(spark, sf):
+    """Five sources derived from quarterly sums, which are computed once."""
+    base = saved(X.quarters(spark, sf), "quarters")
     return S.reconcile_statements(
-        X.stmt(spark, sf),
-        X.annual(spark, sf),
-        X.cum(spark, sf),
-        S.performance_statements(_performance(spark, sf), measures=MS),
-        S.preliminary_statements(_preliminary(spark, sf), measures=MS),
+        X.stmt(spark, sf, base),
+        X.annual(spark, sf, base),
+        X.cum(spark, sf, base),
+        S.performance_statements(_performance(spark, sf, base), measures=MS),
+        S.preliminary_statements(_preliminary(spark, sf, base), measures=MS),
         measures=MS, n_quarters=8, n_years=2,
     )

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,7 +59,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared checkpoint folder (a temporary one for a local master)."""
-    return f"{ensure_checkpoint_dir(spark)}/filingframe-{uuid.uuid4().hex}/{name}"
+    folder = f"{ensure_checkpoint_dir(spark)}/filingframe-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return f"{folder}/{name}"
+
+
+_MADE: list[str] = []  # scratch folders of this driver
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables made inside, on leaving: ``with scratch_scope(spark): query(spark, path).write.parquet(out)``.
+
+    Results that still read them must be written before the end; folders that others have made below
+    the shared one are left alone.
+    """
+    start = len(_MADE)
+    try:
+        yield
+    finally:
+        for folder in _MADE[start:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _MADE[start:]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

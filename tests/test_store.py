@@ -1,5 +1,6 @@
 """Stores: same rows as plain tables, and plans that leave the stored side where it is."""
 
+import os
 import re
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from filingframe.catalog import prices as CP
 from filingframe.catalog import proxies as X
 from filingframe.plans import statements as S
-from filingframe.session import scratch_path
+from filingframe.session import saved, scratch_path, scratch_scope
 from filingframe.sources import readers as R
 from filingframe.sources import sinks as SK
 from filingframe.sources import store as SO
@@ -75,3 +76,13 @@ def test_a_store_is_attached_in_another_session(spark):
     assert exchanges(again.groupBy("issuer").agg(F.sum("v"))) == 0
     SO.append(rows.where("v = 3"), store)
     assert SO.read(spark, store).where("v = 3").count() == 2
+
+
+def test_scratch_goes_when_the_result_is_written(spark, tmp_path):
+    before = saved(spark.range(3), "kept")
+    with scratch_scope(spark):
+        inside = saved(spark.range(5), "gone")
+        (folder,) = {f.rsplit("/gone", 1)[0] for f in inside.inputFiles()}
+        inside.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5 and before.count() == 3
+    assert not os.path.exists(folder.removeprefix("file://"))

@@ -36,8 +36,11 @@ def following(articles: DataFrame, order: str, *columns: str) -> DataFrame:
 
     Rows are put in order inside nodes of 1,024 successive numbers, so no task orders the whole
     table; only the first row of each node travels to the node before. A null order comes first;
-    rows of one number stand in the order of ``columns``.
+    rows of one number stand in the order of ``columns``. Columns that have the names of the result
+    or of a step (``_n``, ``_node``, ``_last``, ``_rank``, ``_head_<column>``) are replaced; an empty table
+    gives no rows.
     """
+    articles = articles.drop("_n", "_node", "_last", "_rank", *(f"{p}_{c}" for c in columns for p in ("next", "_head")))
     n = F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62)))
     rows = articles.withColumn("_n", n).withColumn("_node", F.shiftright("_n", 10))
     nodes = written(rows.select(F.col("_node").alias("n")).distinct(), "order_nodes")
@@ -159,7 +162,8 @@ def mark_articles(
     as an edit replaces only part of a text, its edited text mostly falls under the same rule. A
     text without words is identified by its whole text.
 
-    One row per input row. ``group`` names columns by which the rows are already partitioned: then
+    One row per input row; columns that are not named are left behind, and those of ``keep`` may not be
+    called term, side or known, nor begin with an underscore. ``group`` names columns by which the rows are already partitioned: then
     terms come together again without a shuffle, as long as ``cache_terms``, the number of frequent
     terms that are broadcast, holds the whole lexicon.
     """
@@ -169,14 +173,16 @@ def mark_articles(
     sides = F.array(*(F.struct(F.lit(i).alias("side"), F.array_append(F.array_distinct(article_words(F.lower(F.col(c)))), "").alias("words")) for i, c in enumerate(texts.values())))
     plain = [F.xxhash64(F.coalesce(F.col(c), F.lit(""))).alias(f"_plain_{i}") for i, c in enumerate(texts.values())]
     rows = rows.select(*group, "_row", *keep, *plain, F.explode(sides).alias("s"))
-    rows = rows.select(*group, "_row", *keep, *(f"_plain_{i}" for i in range(len(texts))), "s.side", F.explode("s.words").alias("word"))
-    rows = rows.withColumn("term", F.xxhash64("word")).drop("word")
+    whole = [*keep, *(f"_plain_{i}" for i in range(len(texts)))]
+    rows = rows.select(*group, "_row", *whole, "s.side", F.explode("s.words").alias("word"))
+    # what belongs to the row travels with its empty words only
+    rows = rows.select(*group, "_row", *(F.when(F.col("word") == "", F.col(c)).alias(c) for c in whole), "side", F.xxhash64("word").alias("term"))
     terms = _known(rows, lexicon, cache_terms)
     word = F.col("term") != F.xxhash64(F.lit(""))
     own = lambda i, which: F.collect_set(F.when((F.col("side") == i) & word & which, F.col("term")))
     known = F.col("known").isNotNull()
     sets = [c for i in range(len(texts)) for c in (own(i, known).alias(f"_terms_{i}"), own(i, ~known).alias(f"_others_{i}"))]
-    firsts = [F.first(c).alias(c) for c in keep] + [F.first(f"_plain_{i}").alias(f"_plain_{i}") for i in range(len(texts))]
+    firsts = [F.first(c, ignorenulls=True).alias(c) for c in whole]
     grouped = terms.groupBy(*group, "_row").agg(*firsts, *sets)
     few = lambda i: 2 * F.size(f"_terms_{i}") < F.size(f"_others_{i}")
     grouped = grouped.withColumns({f"_terms_{i}": F.sort_array(F.when(few(i), F.concat(f"_terms_{i}", f"_others_{i}")).otherwise(F.col(f"_terms_{i}"))) for i in range(len(texts))})

@@ -182,6 +182,13 @@ def test_following_is_the_sorted_order(spark):
     assert got == {n: f"t{m}" for n, m in zip(numbers, [*numbers[1:], numbers[0]], strict=True)}
 
 
+def test_following_replaces_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(2, "b", 9, 9, "x", "y"), (1, "a", 9, 9, "x", "y")], "url long, content string, _n int, _rank int, next_content string, _head_content string")
+    got = fingerprints.following(df, "url", "content")
+    assert sorted(got.columns) == ["_node", "content", "next_content", "url"]
+    assert {r["url"]: r["next_content"] for r in got.collect()} == {1: "b", 2: "a"}
+
+
 def test_revised_text(spark):
     rows = [("abcdefgh", "12345"), ("abcdefgh", "1"), ("abc", "123"), ("", "x"), ("😀é日本abcd", "ßäö")]
     df = spark.createDataFrame(rows, "a string, b string").select("a", "b", fingerprints.revised(F.col("a"), F.col("b")).alias("r"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ def letters(content: Column) -> Column:
 
 @dataclass
 class LanguageModel:
-    """One frozen context tree per language and the code lengths of all known contexts side by side."""
+    """One frozen context tree per language, and the code lengths of frequent grams side by side as a cache."""
 
     order: int
     languages: list[str]
@@ -75,7 +75,7 @@ def _places(content: Column, rank: Column, most: Column) -> Column:
 
 
 def fit_language_model(
-    articles: DataFrame, *, content: str = "content", language: str = "language", order: int = 4, training_bytes: int = 1 << 20
+    articles: DataFrame, *, content: str = "content", language: str = "language", order: int = 4, training_bytes: int = 1 << 20, cache_cells: int = 1 << 24
 ) -> LanguageModel:
     """Context counts of each language, from about ``training_bytes`` of its different texts.
 
@@ -84,6 +84,10 @@ def fit_language_model(
     ``_PLACES`` hashed parts are read: a 64th of the bound together, more where the language has too
     few texts for that. Rows with a null language or without a letter teach nothing. An empty table
     gives a model without languages.
+
+    The model grows with the languages, by a tree of ``training_bytes`` each. The table of code
+    lengths under all languages holds ``cache_cells`` numbers at most, those of the most frequent
+    grams; others are looked up in the trees, with the same result.
     """
     rows = articles.select(F.col(content).cast("string").alias("content"), F.col(language).cast("string").alias("language"))
     rows = rows.where(F.col("language").isNotNull() & F.col("content").rlike(r"\p{L}"))
@@ -119,20 +123,24 @@ def fit_language_model(
         own = names == name
         keys, n = ppm.summed(grams[own], counts[own])
         trees.append(ppm.Contexts([ppm.lower_order(keys, n, j) for j in range(order)] + [(keys, n)], exclusion=False))
-    known = np.unique(np.concatenate([t.grams[order].keys for t in trees]))
+    known, times = ppm.summed(grams, counts)
+    room = cache_cells // len(languages)
+    if len(known) > room:
+        known = np.sort(known[np.argsort(-times, kind="stable")[:room]])
     lengths = np.stack([t.bits(known) for t in trees], axis=1) if len(known) else np.empty((1, len(trees)))
     return LanguageModel(order, languages, trees, ppm.Index(known), lengths.astype(np.float32))
 
 
-def identify_language(articles: DataFrame, model: LanguageModel, *, url: str = "url", content: str = "content") -> DataFrame:
-    """(url, language, score, bits): the language whose frozen tree codes the whole text shortest.
+def identify_language(articles: DataFrame, model: LanguageModel, *, url: str = "url", content: str = "content", keep: Sequence[str] = ()) -> DataFrame:
+    """(url, language, score, bits) and ``keep``: the language whose frozen tree codes the whole text shortest.
 
     ``score`` is the share of that language among the probabilities the trees give the text,
     ``bits`` its code length. One row per input row, in one pass and without a shuffle. Null, empty
     and letterless texts, and all texts under a model without languages, are ``und`` with score 0
-    and no bits; of equally short codes the first language in alphabetical order is taken.
+    and no bits; of equally short codes the first language in alphabetical order is taken. Columns
+    in ``keep`` come along, under names that are none of the result's; all others are left behind.
     """
-    rows = read_articles(articles, url, content).select("url", letters(F.col("content")).alias("content"))
+    rows = read_articles(articles, url, content, **{k: F.col(k) for k in keep}).withColumn("content", letters(F.col("content")))
     model = articles.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +161,10 @@ def identify_language(articles: DataFrame, model: LanguageModel, *, url: str = "
                     pa.array([UNDETERMINED if x else m.languages[b] for x, b in zip(none, best, strict=True)], pa.string()),
                     pa.array(np.where(none, 0.0, score)),
                     pa.array(least, mask=none),
+                    *(batch.column(k) for k in keep),
                 ],
-                names=["url", "language", "score", "bits"],
+                names=["url", "language", "score", "bits", *keep],
             )
 
-    return rows.mapInArrow(predict, arrow_schema(rows, ["url"], ("language", T.StringType()), ("score", T.DoubleType()), ("bits", T.DoubleType())))
+    kept = arrow_schema(rows, keep).fields
+    return rows.mapInArrow(predict, arrow_schema(rows, ["url"], ("language", T.StringType()), ("score", T.DoubleType()), ("bits", T.DoubleType()), *((f.name, f.dataType) for f in kept)))

@@ -1,6 +1,7 @@
 """Language, quality and language-model scores."""
 
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -44,6 +45,30 @@ def test_language_without_articles_or_labels(spark):
     assert language.identify_language(samples.no_articles(spark), some).count() == 0
 
 
+@pytest.mark.parametrize("cache_cells", [0, 300, 1 << 14])
+def test_language_without_the_cache_is_the_same(spark, cache_cells):
+    articles = samples.articles(spark)
+    rows = lambda m: sorted(map(repr, language.identify_language(articles, m, keep=["label", "digest"]).collect()))
+    small = language.fit_language_model(articles, cache_cells=cache_cells)
+    assert small.lengths.size <= max(2, cache_cells)
+    assert rows(small) == rows(language.fit_language_model(articles))
+
+
+def test_two_hundred_languages(spark):
+    """The cache stays in its bound; every language is told by its own syllables."""
+    rng = random.Random(8)
+    alphabet = [chr(c) for c in range(0x61, 0x7B)]
+    syllables = {f"l{i:03d}": ["".join(rng.choices(alphabet, k=3)) for _ in range(12)] for i in range(200)}
+    text = lambda k, n: " ".join("".join(rng.choices(syllables[k], k=rng.randint(1, 3))) for _ in range(n))
+    taught = spark.createDataFrame([(text(k, 60), k) for k in syllables for _ in range(3)], "content string, language string")
+    model = language.fit_language_model(taught, training_bytes=2_000, cache_cells=1 << 18)
+    assert len(model.languages) == 200 and model.lengths.size <= 1 << 18
+    assert len(pickle.dumps(model)) < 60 << 20
+    asked = spark.createDataFrame([(k, text(k, 25)) for k in syllables], "url string, content string")
+    found = language.identify_language(asked, model).collect()
+    assert sum(r["url"] == r["language"] for r in found) > 190
+
+
 def test_language_draws_about_the_stated_amount(spark):
     rng = random.Random(4)
     many = spark.createDataFrame([(samples.text(rng, words=50), "en") for _ in range(400)], "content string, language string")
